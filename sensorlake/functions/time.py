@@ -45,10 +45,8 @@ def parse_ts(c, ntz: bool = False) -> Column:
 def iso_ts(c) -> Column:
     """Timestamp to ISO text the way Python's ``isoformat`` writes it: the fraction is
     left out when the microseconds are zero."""
-    c = _col(c)
-    return F.when(
-        F.date_format(c, "SSSSSS") == "000000", F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
-    ).otherwise(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+    full = F.date_format(_col(c), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    return F.when(F.endswith(full, F.lit(".000000")), F.substring(full, 1, 19)).otherwise(full)
 
 
 def strftime_to_spark(fmt: str) -> str:

@@ -81,6 +81,17 @@ def _keep(keep) -> tuple[list[Column], list[str]]:
     return [F.col(k) for k in keep], list(keep)
 
 
+def _parse_once(parsed: Column) -> Column:
+    """Expose a parsed struct's fields through a generator.
+
+    A filter on a plain projection of ``from_json(...)`` is pushed below it and the
+    parse is copied into the filter (and into every branch of a CASE), so each body
+    would be parsed several times. Filters cannot move below a generator that produces
+    the columns they read, so ``inline(array(struct))`` keeps it to one parse per
+    message. A NULL struct yields one all-NULL row, never zero rows."""
+    return F.inline(F.array(parsed))
+
+
 def decode_messages(df: DataFrame, schema: StructType = READING, keep=()) -> DataFrame:
     """Body bytes -> text -> struct by ``schema`` -> flat columns.
 
@@ -88,8 +99,8 @@ def decode_messages(df: DataFrame, schema: StructType = READING, keep=()) -> Dat
     ``new_name -> column``).
     """
     kept, names = _keep(keep)
-    parsed = F.from_json(F.col("value").cast("string"), schema).alias("data")
-    return df.select(*kept, parsed).select(*[F.col(n) for n in names], "data.*")
+    parsed = F.from_json(F.col("value").cast("string"), schema)
+    return df.select(*kept, _parse_once(parsed))
 
 
 def split_malformed(
@@ -104,18 +115,17 @@ def split_malformed(
     kept, names = _keep(keep)
     full = with_corrupt_column(schema)
     body = F.col("value").cast("string")
-    parsed = df.select(
-        *kept,
-        body.alias("_body"),
-        F.from_json(body, full, {"columnNameOfCorruptRecord": CORRUPT_COLUMN}).alias("data"),
-    )
+    parsed = F.from_json(body, full, {"columnNameOfCorruptRecord": CORRUPT_COLUMN})
+    # The body rides inside the generated struct so it is read after the parse too.
+    row = F.struct(body.alias("_body"), parsed.alias("data"))
+    flat = df.select(*kept, _parse_once(row))
     ts_text = F.col(f"data.{ts_field}")
     reason = (
         F.when(F.col("_body").isNull(), F.lit(REASON_NULL_BODY))
         .when(F.col(f"data.{CORRUPT_COLUMN}").isNotNull(), F.lit(REASON_MALFORMED))
         .when(ts_text.isNotNull() & ts_text.try_cast("timestamp").isNull(), F.lit(REASON_BAD_TIMESTAMP))
     )
-    tagged = parsed.withColumn("reason", reason)
+    tagged = flat.withColumn("reason", reason)
     fields = [F.col(f"data.{f.name}").alias(f.name) for f in schema.fields]
     good = tagged.where(F.col("reason").isNull()).select(*[F.col(n) for n in names], *fields)
     bad = tagged.where(F.col("reason").isNotNull()).select(
