@@ -51,10 +51,12 @@ def format_number(
     text = F.format_string(f"%.{int(precision)}f", c.cast("double"))
     if trim_zeros and precision > 0:
         text = F.regexp_replace(F.regexp_replace(text, r"0+$", ""), r"\.$", "")
-    finite = ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) != F.lit(float("inf")))
-    if thousands_sep:
-        grouped = F.regexp_replace(text, r"(\d)(?=(\d{3})+(\.|$))", "$1" + thousands_sep.replace("$", r"\$"))
-        text = F.when(finite, grouped).otherwise(text)
-    if decimal_sep != ".":
-        text = F.when(finite, F.replace(text, F.lit("."), F.lit(decimal_sep))).otherwise(text)
+    if thousands_sep or decimal_sep != ".":
+        finite = ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) != F.lit(float("inf")))
+        whole = F.regexp_extract(text, r"^(-?\d+)", 1)
+        frac = F.regexp_extract(text, r"^-?\d+\.(\d+)$", 1)
+        if thousands_sep:
+            whole = F.regexp_replace(whole, r"(\d)(?=(\d{3})+$)", "$1" + thousands_sep.replace("$", r"\$"))
+        local = F.when(frac == "", whole).otherwise(F.concat(whole, F.lit(decimal_sep), frac))
+        text = F.when(finite, local).otherwise(text)
     return F.when(c.isNotNull(), text)

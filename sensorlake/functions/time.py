@@ -59,8 +59,11 @@ def strftime_to_spark(fmt: str) -> str:
 
     def flush() -> None:
         if literal:
-            text = "".join(literal).replace("'", "''")
-            out.append(f"'{text}'")
+            text = "".join(literal)
+            # Letters and a few symbols are pattern syntax; other characters are literal.
+            if any(ch.isalpha() or ch in "[]{}#'" for ch in text):
+                text = "'" + text.replace("'", "''") + "'"
+            out.append(text)
             literal.clear()
 
     i = 0

@@ -136,8 +136,11 @@ def slice_keys(
     joined = _null_safe_join(base, heavy, keys, "left", n_heavy, max_broadcast_rows)
     span = F.greatest(F.col(_HI) - F.col(_LO), F.lit(1e-9))
     binned = F.floor((F.col(_OV) - F.col(_LO)) / span * F.col(_NS))
-    slice_ = F.when(F.col(_NS).isNull(), F.lit(0)).otherwise(
-        F.coalesce(F.least(binned, F.col(_NS) - 1), F.lit(0))
+    # NULL order values sort first, so they belong to slice 0 (``least`` would skip
+    # the NULL and send them to the last slice).
+    slice_ = (
+        F.when(F.col(_NS).isNull() | F.col(_OV).isNull(), F.lit(0))
+        .otherwise(F.least(binned, F.col(_NS) - 1))
     )
     out = joined.withColumn(_SLICE, slice_.cast("long")).drop(_LO, _HI)
     return Sliced(out, keys, heavy, n_heavy, n_slices, max_broadcast_rows, tuple(helpers + [_SLICE, _NS]))

@@ -1,0 +1,110 @@
+"""Report operators: plans (top-k, pushdown), paging, ordering, counts, long form."""
+
+from __future__ import annotations
+
+from datetime import datetime, timedelta
+
+from pyspark.sql import functions as F
+
+from sensorlake.operators.readings import presentation, report_columns, select_columns
+from sensorlake.operators.report import (
+    latest,
+    lookup,
+    newest_first,
+    page,
+    row_count,
+    sample_then_sort,
+    take_any,
+    unpivot_readings,
+)
+from sensorlake.plans.dashboard import dashboard, ingest_to_table
+from sensorlake.plans.fixtures import decoded_readings, envelopes_from_events, events
+from sensorlake.sources.table import read_table
+
+from tests.conftest import SMOKE_DIR
+
+
+def plan_text(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def readings(spark):
+    return decoded_readings(spark, SMOKE_DIR)
+
+
+def test_latest_is_top_k_not_sort(spark):
+    r = report_columns(readings(spark))
+    top = latest(r, 100, "timestamp", "id")
+    plan = plan_text(top)
+    assert "TakeOrderedAndProject" in plan
+    got = [x.id for x in top.collect()]
+    pdf = r.toPandas().sort_values(["timestamp", "id"], ascending=[False, True])
+    assert got == list(pdf.id[:100])
+
+
+def test_take_any_and_sample_then_sort(spark):
+    r = report_columns(readings(spark))
+    assert take_any(r, 100).count() == 100
+    rows = sample_then_sort(r, 100).collect()
+    assert len(rows) == 100
+    ts = [x.timestamp for x in rows]
+    assert ts == sorted(ts, reverse=True)
+
+
+def test_newest_first_nulls_last(spark):
+    base = datetime(2024, 1, 1)
+    df = spark.createDataFrame(
+        [(1, base), (2, None), (3, base + timedelta(hours=1)), (4, base)], "id int, timestamp timestamp"
+    )
+    got = [r.id for r in newest_first(df, "timestamp", "id").collect()]
+    assert got == [3, 1, 4, 2]
+
+
+def test_pages_concatenate_to_sorted_input(spark):
+    r = readings(spark).select("event_id", "sensor")
+    want = [x.event_id for x in r.orderBy("event_id").collect()]
+    got, after = [], None
+    while True:
+        rows = page(r, "event_id", size=137, after=after).collect()
+        if not rows:
+            break
+        got += [x.event_id for x in rows]
+        after = rows[-1].event_id
+    assert got == want
+
+
+def test_composite_keyset_page(spark):
+    r = readings(spark).select("sensor", "event_id")
+    want = [(x.sensor, x.event_id) for x in r.orderBy("sensor", "event_id").collect()]
+    first = page(r, ["sensor", "event_id"], size=50).collect()
+    second = page(r, ["sensor", "event_id"], size=50, after=(first[-1].sensor, first[-1].event_id)).collect()
+    assert [(x.sensor, x.event_id) for x in first + second] == want[:100]
+
+
+def test_lookup_pushes_filter_to_parquet(spark, scratch):
+    env = envelopes_from_events(events(spark, SMOKE_DIR))
+    env.write.parquet(f"{scratch}/m")
+    ingest_to_table(spark, f"{scratch}/m", f"{scratch}/t", f"{scratch}/c")
+    t = read_table(spark, f"{scratch}/t")
+    one = t.select("id").first().id
+    q = lookup(t, "id", one)
+    assert "PushedFilters: [IsNotNull(id), EqualTo(id," in plan_text(q)
+    assert q.count() == 1
+    day = lookup(t, "reading_date", datetime(2024, 1, 5).date())
+    assert "PartitionFilters: [isnotnull(reading_date" in plan_text(day)
+    d = dashboard(spark, f"{scratch}/t", 10)
+    assert d.columns == ["Timestamp", "PM2.5", "PM10", "CO2", "Temperature", "Humidity"]
+    assert d.count() == 10
+
+
+def test_row_count_unpivot_presentation(spark):
+    r = readings(spark)
+    assert row_count(r).first().n_rows == 1000
+    long = unpivot_readings(r, ids=("event_id", "timestamp"))
+    assert long.count() == 5000
+    assert {x.metric for x in long.select("metric").distinct().collect()} == {
+        "pm25", "pm10", "co2", "temperature", "humidity"}
+    p = presentation(report_columns(r))
+    assert p.select(F.col("`PM2.5`")).count() == 1000
+    assert select_columns(report_columns(r), skip=("id",)).columns == [
+        "pm25", "pm10", "co2", "temperature", "humidity", "timestamp"]
