@@ -120,20 +120,32 @@ def slice_keys(
         .agg(F.count(F.lit(1)).alias("_n"), F.min(_OV).alias(_LO), F.max(_OV).alias(_HI))
         .checkpoint(eager=True)
     )
+    sizes = stats.agg(F.sum("_n").alias("total"), F.max("_n").alias("biggest")).first()
+    total, biggest = int(sizes["total"] or 0), int(sizes["biggest"] or 0)
     if rows_per_slice is None:
-        total = stats.agg(F.sum("_n")).first()[0] or 0
-        rows_per_slice = auto_rows_per_slice(df.sparkSession, int(total))
+        rows_per_slice = auto_rows_per_slice(df.sparkSession, total)
+    helpers += [_OV]
+    if biggest <= rows_per_slice:
+        out = base.withColumn(_SLICE, F.lit(0).cast("long")).withColumn(_NS, F.lit(None).cast("long"))
+        return Sliced(out, keys, None, 0, 0, max_broadcast_rows, tuple(helpers + [_SLICE, _NS]))
     # At most total / rows_per_slice keys can pass this filter: the proven size bound.
     heavy = stats.where(F.col("_n") > F.lit(rows_per_slice)).select(
         *keys, _LO, _HI, F.ceil(F.col("_n") / F.lit(rows_per_slice)).cast("long").alias(_NS)
     )
-    row = heavy.agg(F.count(F.lit(1)).alias("n"), F.sum(_NS).alias("s")).first()
-    n_heavy, n_slices = int(row["n"]), int(row["s"] or 0)
-    helpers += [_OV]
-    if n_heavy == 0:
-        out = base.withColumn(_SLICE, F.lit(0).cast("long")).withColumn(_NS, F.lit(None).cast("long"))
-        return Sliced(out, keys, None, 0, 0, max_broadcast_rows, tuple(helpers + [_SLICE, _NS]))
-    joined = _null_safe_join(base, heavy, keys, "left", n_heavy, max_broadcast_rows)
+    if _ALL in keys:
+        # One sequence over everything: the single heavy row becomes literals, no join.
+        h = heavy.first()
+        n_heavy, n_slices = 1, int(h[_NS])
+        joined = base.select(
+            "*",
+            F.lit(h[_LO]).cast("double").alias(_LO),
+            F.lit(h[_HI]).cast("double").alias(_HI),
+            F.lit(n_slices).cast("long").alias(_NS),
+        )
+    else:
+        row = heavy.agg(F.count(F.lit(1)).alias("n"), F.sum(_NS).alias("s")).first()
+        n_heavy, n_slices = int(row["n"]), int(row["s"] or 0)
+        joined = _null_safe_join(base, heavy, keys, "left", n_heavy, max_broadcast_rows)
     span = F.greatest(F.col(_HI) - F.col(_LO), F.lit(1e-9))
     binned = F.floor((F.col(_OV) - F.col(_LO)) / span * F.col(_NS))
     # NULL order values sort first, so they belong to slice 0 (``least`` would skip
@@ -169,10 +181,12 @@ def number_rows(
     w = Window.partitionBy(*s.keys, _SLICE).orderBy(*_order_cols(order))
     out = s.df.withColumn("_rn", F.row_number().over(w).cast("long"))
     if s.n_heavy:
+        # Slice sizes are read off the numbered rows: same partitioning, so no second
+        # pass over the input (the window's shuffle is reused by the border table).
         counts = (
-            s.df.where(F.col(_NS).isNotNull())
+            out.where(F.col(_NS).isNotNull())
             .groupBy(*s.keys, _SLICE)
-            .agg(F.count(F.lit(1)).alias("_cnt"))
+            .agg(F.max("_rn").alias("_cnt"))
         )
         before = Window.partitionBy(*s.keys).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
         offsets = counts.select(*s.keys, _SLICE, F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"))
@@ -201,8 +215,9 @@ def with_previous(
         (F.row_number().over(w) == 1).alias("_first"),
     )
     if s.n_heavy:
+        # Last row of each slice, read off the windowed rows (the shuffle is reused).
         last = (
-            s.df.where(F.col(_NS).isNotNull())
+            out.where(F.col(_NS).isNotNull())
             .groupBy(*s.keys, _SLICE)
             .agg(F.max_by(F.struct(*cols), F.struct(*order)).alias("_last"))
         )

@@ -67,6 +67,7 @@ EPOCH_SHIFT_MS = 5_000_000_000_000
 CSV_SKIPROWS = 100
 CSV_MAXROWS = 500
 N_TOKEN_RANGES = 4
+MESSAGE_FILES = 16
 
 
 def widen(df: DataFrame) -> DataFrame:
@@ -119,13 +120,16 @@ def q_random_id(spark, sf_dir):
 
 
 def _ingest(spark: SparkSession, sf_dir: str, name: str) -> str:
-    """Store the messages as a few Parquet files, stream them into a table (one file per
-    micro-batch), and return the table path."""
+    """Store the messages as Parquet files in offset order (as a topic's log segments
+    would be), stream them into a table four files per micro-batch, and return the table
+    path."""
     base = scratch_path(spark, name)
     env = envelopes_from_events(events(spark, sf_dir))
-    env.repartitionByRange(4, "offset").write.parquet(f"{base}/messages")
+    env.repartitionByRange(MESSAGE_FILES, "offset").write.parquet(f"{base}/messages")
     table = f"{base}/table"
-    ingest_to_table(spark, f"{base}/messages", table, f"{base}/checkpoint", max_files_per_trigger=1)
+    ingest_to_table(
+        spark, f"{base}/messages", table, f"{base}/checkpoint", max_files_per_trigger=MESSAGE_FILES // 4
+    )
     return table
 
 
