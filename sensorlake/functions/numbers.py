@@ -50,13 +50,19 @@ def format_number(
     c = _col(c)
     text = F.format_string(f"%.{int(precision)}f", c.cast("double"))
     if trim_zeros and precision > 0:
-        text = F.regexp_replace(F.regexp_replace(text, r"0+$", ""), r"\.$", "")
-    if thousands_sep or decimal_sep != ".":
+        # "8.17000" -> "8.17", "100.00000" -> "100": one regex, no second pass.
+        text = F.regexp_replace(text, r"\.?0+$", "")
+    if thousands_sep:
         finite = ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) != F.lit(float("inf")))
         whole = F.regexp_extract(text, r"^(-?\d+)", 1)
         frac = F.regexp_extract(text, r"^-?\d+\.(\d+)$", 1)
-        if thousands_sep:
-            whole = F.regexp_replace(whole, r"(\d)(?=(\d{3})+$)", "$1" + thousands_sep.replace("$", r"\$"))
+        whole = F.regexp_replace(whole, r"(\d)(?=(\d{3})+$)", "$1" + thousands_sep.replace("$", r"\$"))
         local = F.when(frac == "", whole).otherwise(F.concat(whole, F.lit(decimal_sep), frac))
         text = F.when(finite, local).otherwise(text)
+    elif decimal_sep != ".":
+        # Only the point changes: a character swap, no regex (NaN/Infinity have no point).
+        if len(decimal_sep) == 1:
+            text = F.translate(text, ".", decimal_sep)
+        else:
+            text = F.replace(text, F.lit("."), F.lit(decimal_sep))
     return F.when(c.isNotNull(), text)
