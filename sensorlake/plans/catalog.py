@@ -275,6 +275,22 @@ def q_csv_roundtrip(spark, sf_dir):
     return widen(good)
 
 
+def q_csv_stream_import(spark, sf_dir):
+    """Export, then import as a stream (two files per micro-batch) into a Parquet sink."""
+    path = scratch_path(spark, "csv_stream")
+    src = _csv_source(spark, sf_dir).repartitionByRange(8, "event_id")
+    export_csv(src, f"{path}/in", **CSV_OPTIONS)
+    good, _ = import_csv(spark, f"{path}/in", CSV_SCHEMA, stream=True, max_files_per_trigger=2, **CSV_OPTIONS)
+    q = (
+        good.writeStream.format("parquet")
+        .option("checkpointLocation", f"{path}/checkpoint")
+        .trigger(availableNow=True)
+        .start(f"{path}/out")
+    )
+    q.awaitTermination()
+    return widen(spark.read.parquet(f"{path}/out"))
+
+
 def q_csv_bad_lines(spark, sf_dir):
     """Import the exported file with a boolean style that is not the one written: every
     data line fails on that column and comes back whole in the bad side."""
@@ -430,6 +446,7 @@ QUERIES: dict[str, Query] = {
     "split_bad": q_split_bad,
     "error_summary": q_error_summary,
     "csv_roundtrip": q_csv_roundtrip,
+    "csv_stream_import": q_csv_stream_import,
     "csv_bad_lines": q_csv_bad_lines,
     "csv_skip_max": q_csv_skip_max,
     "append_result": q_append_result,

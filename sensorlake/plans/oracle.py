@@ -158,6 +158,9 @@ FROM bad
     "csv_roundtrip": _with(
         f'SELECT event_id, {W}, "timestamp", co2 BETWEEN {CO2_MIN} AND {CO2_MAX} AS co2_in_range FROM r'
     ),
+    "csv_stream_import": _with(
+        f'SELECT event_id, sensor, {W}, "timestamp", co2 BETWEEN {CO2_MIN} AND {CO2_MAX} AS co2_in_range FROM r'
+    ),
     "csv_bad_lines": "SELECT event_id, 'bad_value:co2_in_range' AS reason FROM events",
     "csv_skip_max": _with(
         f'SELECT event_id, sensor, {W}, "timestamp", co2 BETWEEN {CO2_MIN} AND {CO2_MAX} AS co2_in_range '

@@ -175,6 +175,9 @@ def import_csv(
     errfile: str | None = None,
     encoding: str = "utf8",
     field_size_limit: int | None = None,
+    ttl: int | None = None,
+    stream: bool = False,
+    max_files_per_trigger: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Read CSV files (names or glob patterns; one scan) into ``(good, bad)``.
 
@@ -183,7 +186,13 @@ def import_csv(
     ``line``, ``source`` and ``reason``. ``skiprows``/``maxrows`` count lines over the
     files sorted by path (a header counts as a line there). ``maxparseerrors`` >= 0
     counts bad lines first and raises ``ParseErrorLimitExceeded`` above it; ``errfile``
-    writes the bad lines as text.
+    writes the bad lines as text. ``ttl`` (seconds) adds ``expires_at`` = import time +
+    ttl (no column: rows never expire).
+
+    ``stream=True`` returns streaming DataFrames over a folder (or glob) that keeps
+    receiving files; ``max_files_per_trigger`` caps the intake per micro-batch (the
+    import-rate setting). Row counting options (skiprows, maxrows, maxparseerrors,
+    errfile) need the whole input and are batch only.
     """
     names = [norm_name(c) for c in columns] if columns else [f.name for f in schema.fields]
     by_name = {f.name: f for f in schema.fields}
@@ -197,7 +206,16 @@ def import_csv(
     opts = _reader_options(delimiter, quote, escape, null, encoding, field_size_limit)
     plist = _paths(paths)
 
-    if skiprows > 0 or maxrows >= 0:
+    if stream:
+        if skiprows > 0 or maxrows >= 0 or (maxparseerrors is not None and maxparseerrors >= 0) or errfile:
+            raise ValueError("skiprows, maxrows, maxparseerrors and errfile need a batch import")
+        if len(plist) != 1:
+            raise ValueError("a streaming import reads one folder or glob")
+        reader = spark.readStream.schema(text_schema).options(**opts).option("header", str(bool(header)).lower())
+        if max_files_per_trigger:
+            reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
+        raw = reader.csv(plist[0]).withColumn("source", F.col("_metadata.file_path"))
+    elif skiprows > 0 or maxrows >= 0:
         first = skiprows + (1 if header else 0)
         stop = first + maxrows if maxrows >= 0 else None
         lines = _indexed_lines(spark, plist, first, stop)
@@ -236,6 +254,10 @@ def import_csv(
     )
     tagged = tagged.withColumn("reason", reason)
     good = tagged.where(F.col("reason").isNull()).select(*[n for n in names if n not in skip])
+    if ttl is not None:
+        good = good.withColumn(
+            "expires_at", F.current_timestamp() + F.make_dt_interval(secs=F.lit(ttl).cast("decimal(18,6)"))
+        )
     bad = tagged.where(F.col("reason").isNotNull()).select(
         F.coalesce(F.col(CORRUPT_COLUMN), F.col("_relined")).alias("line"), "source", "reason"
     )

@@ -129,3 +129,27 @@ def test_strftime_translation():
     assert strftime_to_spark("%Y-%m-%dT%H") == "yyyy-MM-dd'T'HH"
     with pytest.raises(ValueError):
         strftime_to_spark("%a %Y")
+
+
+def test_ttl_adds_expiry(spark, scratch):
+    write(scratch, "a.csv", ["1,2.5,true,"])
+    good, _ = import_csv(spark, scratch, SCHEMA, ttl=3600, boolstyle="true,false")
+    r = good.selectExpr("expires_at - current_timestamp() AS left").first()
+    assert 3500 < r.left.total_seconds() <= 3600
+
+
+def test_streaming_import_rate(spark, scratch):
+    for i in range(4):
+        write(f"{scratch}/in", f"p{i}.csv", [f"{i}1,1.5,True,", f"{i}2,x,True,", f"{i}3,2.5,False,"])
+    good, bad = import_csv(spark, f"{scratch}/in", SCHEMA, stream=True, max_files_per_trigger=1)
+    assert good.isStreaming
+    qg = good.writeStream.format("parquet").option("checkpointLocation", f"{scratch}/c1").trigger(availableNow=True).start(f"{scratch}/g")
+    qb = bad.writeStream.format("parquet").option("checkpointLocation", f"{scratch}/c2").trigger(availableNow=True).start(f"{scratch}/b")
+    qg.awaitTermination()
+    qb.awaitTermination()
+    assert len(qg.recentProgress) >= 4  # one file per micro-batch
+    assert spark.read.parquet(f"{scratch}/g").count() == 8
+    b = spark.read.parquet(f"{scratch}/b").collect()
+    assert len(b) == 4 and all(r.reason == "bad_value:v" for r in b)
+    with pytest.raises(ValueError):
+        import_csv(spark, f"{scratch}/in", SCHEMA, stream=True, maxrows=3)

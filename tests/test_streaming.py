@@ -90,3 +90,24 @@ def test_compaction_keeps_rows(spark, scratch):
     n_before = len(glob.glob(f"{table}/*/*.parquet"))
     n_after = len(glob.glob(f"{scratch}/compact/*/*.parquet"))
     assert n_after <= n_before
+
+
+def test_row_local_checks_run_on_a_stream(spark, scratch):
+    from sensorlake.operators.quality import range_flags, temperature_residual
+    from sensorlake.operators.readings import type_readings
+    from sensorlake.sources.messages import decode_messages
+
+    msgs = f"{scratch}/m"
+    write_messages(spark, msgs, n_files=2)
+    stream = read_messages(spark, "parquet", path=msgs, schema=ENVELOPE)
+    checked = temperature_residual(range_flags(type_readings(decode_messages(stream, keep=["offset"]))))
+    q = (
+        checked.writeStream.format("parquet").option("checkpointLocation", f"{scratch}/c")
+        .trigger(availableNow=True).start(f"{scratch}/out")
+    )
+    q.awaitTermination()
+    streamed = spark.read.parquet(f"{scratch}/out")
+    batch = temperature_residual(range_flags(type_readings(decode_messages(
+        read_messages(spark, "parquet", path=msgs, stream=False), keep=["offset"]))))
+    cols = ["offset", "co2_in_range", "humidity_in_range", "temperature_residual"]
+    assert sorted(map(tuple, streamed.select(cols).collect())) == sorted(map(tuple, batch.select(cols).collect()))
