@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, NumericType, TimestampNTZType, TimestampType
 
 from sensorlake.functions.time import ts_micros
+from sensorlake.session import parallelism
 
 MIN_ROWS_PER_SLICE = 1_000
 SLICES_PER_TASK = 4
@@ -92,7 +93,7 @@ def _null_safe_join(left: DataFrame, right: DataFrame, on: list[str], how: str,
 
 def auto_rows_per_slice(spark, total_rows: int) -> int:
     """A key is heavy when it alone exceeds a fraction of one task's fair share."""
-    par = max(1, spark.sparkContext.defaultParallelism)
+    par = parallelism(spark)
     return max(MIN_ROWS_PER_SLICE, -(-total_rows // (SLICES_PER_TASK * par)))
 
 
@@ -181,12 +182,13 @@ def number_rows(
     w = Window.partitionBy(*s.keys, _SLICE).orderBy(*_order_cols(order))
     out = s.df.withColumn("_rn", F.row_number().over(w).cast("long"))
     if s.n_heavy:
-        # Slice sizes are read off the numbered rows: same partitioning, so no second
-        # pass over the input (the window's shuffle is reused by the border table).
+        # A partial aggregation over the heavy keys' rows (key and order columns only,
+        # so a columnar scan reads little); cheaper than reading the windowed rows again,
+        # whose shuffle Spark cannot reuse once the columns differ.
         counts = (
-            out.where(F.col(_NS).isNotNull())
+            s.df.where(F.col(_NS).isNotNull())
             .groupBy(*s.keys, _SLICE)
-            .agg(F.max("_rn").alias("_cnt"))
+            .agg(F.count(F.lit(1)).alias("_cnt"))
         )
         before = Window.partitionBy(*s.keys).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
         offsets = counts.select(*s.keys, _SLICE, F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"))
@@ -215,9 +217,9 @@ def with_previous(
         (F.row_number().over(w) == 1).alias("_first"),
     )
     if s.n_heavy:
-        # Last row of each slice, read off the windowed rows (the shuffle is reused).
+        # Last row of each heavy slice: a partial aggregation (max_by merges per task).
         last = (
-            out.where(F.col(_NS).isNotNull())
+            s.df.where(F.col(_NS).isNotNull())
             .groupBy(*s.keys, _SLICE)
             .agg(F.max_by(F.struct(*cols), F.struct(*order)).alias("_last"))
         )

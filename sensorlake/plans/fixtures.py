@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from sensorlake.operators.readings import type_readings, with_id
 from sensorlake.schema import READING
+from sensorlake.session import num_partitions, parallelism
 from sensorlake.sources.messages import decode_messages, encode_messages, split_malformed
 
 # The fixture's topic partitions and the body of a corrupted message.
@@ -26,8 +27,9 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     small input is spread over the cores with one round-robin exchange. An input that
     already has a split per core (any large table) is read as it is, never reshuffled."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
+    cores = parallelism(spark)
+    n = num_partitions(df)
+    if n is not None and n < cores:
         df = df.repartition(cores)
     return df
 

@@ -40,14 +40,37 @@ def get_session(
     for k, v in settings.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
-    spark.sparkContext.setLogLevel("ERROR")
+    try:
+        spark.sparkContext.setLogLevel("ERROR")
+    except Exception:  # noqa: BLE001  (no SparkContext on a Spark Connect session)
+        pass
     checkpoint_dir(spark)
     return spark
 
 
+def parallelism(spark: SparkSession) -> int:
+    """Task slots of the cluster (``defaultParallelism``), or the shuffle partition count
+    where the session exposes no SparkContext (Spark Connect)."""
+    try:
+        return max(1, spark.sparkContext.defaultParallelism)
+    except Exception:  # noqa: BLE001
+        return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "8")))
+
+
+def num_partitions(df) -> int | None:
+    """Partitions of a DataFrame's plan (planning only, no job), or None if unknown."""
+    try:
+        return df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001
+        return None
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the session; set one only if none is named."""
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001  (Spark Connect: the server's setting applies)
+        return spark.conf.get("spark.checkpoint.dir", None) or ""
     current = sc.getCheckpointDir()
     if current:
         return current
@@ -64,4 +87,6 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder name under the shared checkpoint folder for one job's outputs."""
     base = checkpoint_dir(spark)
+    if not base:
+        raise ValueError("the session names no spark.checkpoint.dir for intermediate files")
     return f"{base.rstrip('/')}/sensorlake-scratch/{name}-{uuid.uuid4().hex}"

@@ -4,8 +4,10 @@ from sensorlake.sources.csv import export_csv, import_csv
 from sensorlake.sources.messages import (
     decode_messages,
     encode_messages,
+    kafka_options,
     read_messages,
     split_malformed,
+    write_messages,
 )
 from sensorlake.sources.table import append_result, read_table
 
@@ -15,7 +17,9 @@ __all__ = [
     "encode_messages",
     "export_csv",
     "import_csv",
+    "kafka_options",
     "read_messages",
     "read_table",
     "split_malformed",
+    "write_messages",
 ]

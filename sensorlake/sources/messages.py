@@ -40,6 +40,51 @@ def read_messages(
     return reader.load(path) if path is not None else reader.load()
 
 
+def kafka_options(
+    bootstrap_servers: str,
+    topic: str = TOPIC,
+    starting_offsets: str = "latest",
+    fail_on_data_loss: bool = True,
+    max_offsets_per_trigger: int | None = None,
+) -> dict[str, str]:
+    """Options of a Kafka subscription for ``read_messages(fmt="kafka")``: first run
+    starts at the latest offset (later runs resume from the checkpoint), lost offsets
+    fail the query, and ``max_offsets_per_trigger`` caps a micro-batch (the ingest
+    rate). Needs Spark's Kafka connector on the classpath."""
+    opts = {
+        "kafka.bootstrap.servers": bootstrap_servers,
+        "subscribe": topic,
+        "startingOffsets": starting_offsets,
+        "failOnDataLoss": str(bool(fail_on_data_loss)).lower(),
+    }
+    if max_offsets_per_trigger:
+        opts["maxOffsetsPerTrigger"] = str(max_offsets_per_trigger)
+    return opts
+
+
+def write_messages(
+    envelopes: DataFrame,
+    fmt: str = "kafka",
+    path: str | None = None,
+    options: dict[str, str] | None = None,
+    mode: str = "append",
+) -> None:
+    """Publish encoded messages (batch): to Kafka (key, value, topic, partition columns;
+    options name the servers) or as envelope files of another format (the file stream
+    that tests and queries read)."""
+    if fmt == "kafka":
+        cols = [c for c in ("key", "value", "topic", "partition") if c in envelopes.columns]
+        w = envelopes.select(*cols).write.format("kafka")
+    else:
+        w = envelopes.write.format(fmt).mode(mode)
+    if options:
+        w = w.options(**options)
+    if path is not None:
+        w.save(path)
+    else:
+        w.save()
+
+
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -92,15 +137,20 @@ def _parse_once(parsed: Column) -> Column:
     return F.inline(F.array(parsed))
 
 
-def decode_messages(df: DataFrame, schema: StructType = READING, keep=()) -> DataFrame:
+def decode_messages(df: DataFrame, schema: StructType = READING, keep=(), parse_once: bool = True) -> DataFrame:
     """Body bytes -> text -> struct by ``schema`` -> flat columns.
 
     ``keep`` lists envelope columns to carry along (a list, or a dict of
-    ``new_name -> column``).
+    ``new_name -> column``). ``parse_once=True`` (default) guarantees one parse per
+    message even under filters on parsed fields; the parse then always runs. With
+    ``parse_once=False`` Catalyst drops the parse when no parsed field is used and
+    keeps only the used fields otherwise, but copies it into pushed-down filters.
     """
     kept, names = _keep(keep)
     parsed = F.from_json(F.col("value").cast("string"), schema)
-    return df.select(*kept, _parse_once(parsed))
+    if parse_once:
+        return df.select(*kept, _parse_once(parsed))
+    return df.select(*kept, parsed.alias("_data")).select(*[F.col(n) for n in names], "_data.*")
 
 
 def split_malformed(

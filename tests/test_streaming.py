@@ -111,3 +111,24 @@ def test_row_local_checks_run_on_a_stream(spark, scratch):
         read_messages(spark, "parquet", path=msgs, stream=False), keep=["offset"]))))
     cols = ["offset", "co2_in_range", "humidity_in_range", "temperature_residual"]
     assert sorted(map(tuple, streamed.select(cols).collect())) == sorted(map(tuple, batch.select(cols).collect()))
+
+
+def test_write_messages_and_processing_time_trigger(spark, scratch):
+    import time
+
+    from sensorlake.sources.messages import kafka_options, write_messages
+
+    opts = kafka_options("broker:9092", max_offsets_per_trigger=500)
+    assert opts["subscribe"] == "air_quality" and opts["maxOffsetsPerTrigger"] == "500"
+    assert opts["startingOffsets"] == "latest" and opts["failOnDataLoss"] == "true"
+    env = envelopes_from_events(events(spark, SMOKE_DIR))
+    write_messages(env, fmt="parquet", path=f"{scratch}/m")
+    stream = read_messages(spark, "parquet", path=f"{scratch}/m", schema=ENVELOPE)
+    q = start_ingest(ingest_frame(stream), f"{scratch}/t", f"{scratch}/c", trigger={"processingTime": "1 second"})
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    assert read_table(spark, f"{scratch}/t").count() == 1000
+    assert q.lastProgress is not None
+    time.sleep(0)
