@@ -114,13 +114,10 @@ def slice_keys(
         helpers.append(_ALL)
     base = df.withColumn(_OV, order_value(df, order_col))
     # One row per key: partial aggregation, so a hot key costs one row per map task.
-    # Written to the shared checkpoint folder so the steps below neither recompute it
-    # nor depend on a live executor.
-    stats = (
-        base.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"), F.min(_OV).alias(_LO), F.max(_OV).alias(_HI))
-        .checkpoint(eager=True)
+    stats = base.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"), F.min(_OV).alias(_LO), F.max(_OV).alias(_HI)
     )
+    # One small job decides whether any key needs cutting; without skew nothing else runs.
     sizes = stats.agg(F.sum("_n").alias("total"), F.max("_n").alias("biggest")).first()
     total, biggest = int(sizes["total"] or 0), int(sizes["biggest"] or 0)
     if rows_per_slice is None:
@@ -130,8 +127,12 @@ def slice_keys(
         out = base.withColumn(_SLICE, F.lit(0).cast("long")).withColumn(_NS, F.lit(None).cast("long"))
         return Sliced(out, keys, None, 0, 0, max_broadcast_rows, tuple(helpers + [_SLICE, _NS]))
     # At most total / rows_per_slice keys can pass this filter: the proven size bound.
-    heavy = stats.where(F.col("_n") > F.lit(rows_per_slice)).select(
-        *keys, _LO, _HI, F.ceil(F.col("_n") / F.lit(rows_per_slice)).cast("long").alias(_NS)
+    # Written to the shared checkpoint folder so the joins below neither recompute the
+    # key statistics nor depend on a live executor.
+    heavy = (
+        stats.where(F.col("_n") > F.lit(rows_per_slice))
+        .select(*keys, _LO, _HI, F.ceil(F.col("_n") / F.lit(rows_per_slice)).cast("long").alias(_NS))
+        .checkpoint(eager=True)
     )
     if _ALL in keys:
         # One sequence over everything: the single heavy row becomes literals, no join.
