@@ -369,13 +369,15 @@ def q_parse_bool(spark, sf_dir):
 
 def q_format_columns(spark, sf_dir):
     r = _readings(spark, sf_dir)
-    ev = events(spark, sf_dir).select("event_id", "value")
-    j = r.join(ev, "event_id")
-    return j.select(
+    # A double whose exact decimal expansion ends before 12 places (a multiple of 2^-10):
+    # formatting needs no rounding, so it cannot hit a binary tie where Java rounds half
+    # up and C rounds half to even.
+    wide = F.col("event_id").cast("double") / F.lit(1024.0)
+    return r.select(
         "event_id",
         format_number(F.col("pm10"), 5).alias("pm10_text"),
-        format_number(F.col("value"), 12).alias("value_text"),
-        format_number(F.col("value") * F.lit(1000.0), 2, ".", ",").alias("grouped_text"),
+        format_number(wide, 12).alias("value_text"),
+        format_number(F.col("co2").cast("double") * F.lit(1000.0), 2, ".", ",").alias("grouped_text"),
         format_ts(F.col("timestamp"), "%Y-%m-%d %H:%M:%S").alias("ts_text"),
     )
 

@@ -97,8 +97,8 @@ def _trim_zeros(expr: str) -> str:
 
 
 _PM10_TEXT = _trim_zeros("printf('%.5f', CAST(pm10 AS DOUBLE))")
-_VALUE_TEXT = _trim_zeros("printf('%.12f', raw_value)")
-_GROUPED_TEXT = _trim_zeros("format('{:,.2f}', raw_value * 1000.0::DOUBLE)")
+_VALUE_TEXT = _trim_zeros("printf('%.12f', CAST(event_id AS DOUBLE) / 1024.0::DOUBLE)")
+_GROUPED_TEXT = _trim_zeros("format('{:,.2f}', CAST(co2 AS DOUBLE) * 1000.0::DOUBLE)")
 
 ORACLE: dict[str, str] = {
     "decode_readings": _with(f'SELECT event_id, {W}, "timestamp" FROM r'),
