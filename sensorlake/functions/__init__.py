@@ -3,6 +3,7 @@
 from sensorlake.functions.numbers import (
     clamp,
     format_number,
+    localize,
     parse_number,
     round2,
 )
@@ -33,6 +34,7 @@ __all__ = [
     "format_ts",
     "hour_of_day",
     "iso_ts",
+    "localize",
     "norm_name",
     "parse_bool",
     "parse_number",

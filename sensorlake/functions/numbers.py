@@ -37,6 +37,22 @@ def parse_number(c, decimal_sep: str = ".", thousands_sep: str = "", dtype: str
     return s.try_cast(dtype)
 
 
+def localize(text, decimal_sep: str = ".", thousands_sep: str = "") -> Column:
+    """Plain number text (``-1234.5``) with digit grouping and a decimal separator."""
+    text = _col(text)
+    if thousands_sep:
+        whole = F.regexp_extract(text, r"^(-?\d+)", 1)
+        frac = F.regexp_extract(text, r"^-?\d+\.(\d+)$", 1)
+        whole = F.regexp_replace(whole, r"(\d)(?=(\d{3})+$)", "$1" + thousands_sep.replace("$", r"\$"))
+        return F.when(frac == "", whole).otherwise(F.concat(whole, F.lit(decimal_sep), frac))
+    if decimal_sep != ".":
+        # Only the point changes: a character swap, no regex.
+        if len(decimal_sep) == 1:
+            return F.translate(text, ".", decimal_sep)
+        return F.replace(text, F.lit("."), F.lit(decimal_sep))
+    return text
+
+
 def format_number(
     c,
     precision: int,
@@ -52,17 +68,7 @@ def format_number(
     if trim_zeros and precision > 0:
         # "8.17000" -> "8.17", "100.00000" -> "100": one regex, no second pass.
         text = F.regexp_replace(text, r"\.?0+$", "")
-    if thousands_sep:
-        finite = ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) != F.lit(float("inf")))
-        whole = F.regexp_extract(text, r"^(-?\d+)", 1)
-        frac = F.regexp_extract(text, r"^-?\d+\.(\d+)$", 1)
-        whole = F.regexp_replace(whole, r"(\d)(?=(\d{3})+$)", "$1" + thousands_sep.replace("$", r"\$"))
-        local = F.when(frac == "", whole).otherwise(F.concat(whole, F.lit(decimal_sep), frac))
-        text = F.when(finite, local).otherwise(text)
-    elif decimal_sep != ".":
-        # Only the point changes: a character swap, no regex (NaN/Infinity have no point).
-        if len(decimal_sep) == 1:
-            text = F.translate(text, ".", decimal_sep)
-        else:
-            text = F.replace(text, F.lit("."), F.lit(decimal_sep))
+    finite = ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) != F.lit(float("inf")))
+    if thousands_sep or decimal_sep != ".":
+        text = F.when(finite, localize(text, decimal_sep, thousands_sep)).otherwise(text)
     return F.when(c.isNotNull(), text)

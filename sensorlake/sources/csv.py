@@ -28,7 +28,7 @@ from pyspark.sql.types import (
     TimestampType,
 )
 
-from sensorlake.functions.numbers import format_number, parse_number
+from sensorlake.functions.numbers import format_number, localize, parse_number
 from sensorlake.functions.text import format_bool, norm_name, parse_bool
 from sensorlake.functions.time import strftime_to_spark, utc_wall_clock
 from sensorlake.operators.keys import hash_range
@@ -299,7 +299,8 @@ def format_columns(
         elif isinstance(dt, TimestampNTZType):
             t = F.date_format(c, strftime_to_spark(datetimeformat.replace("%z", "+0000")))
         elif isinstance(dt, NumericType) and (decimalsep != "." or thousandssep):
-            t = format_number(c, 0 if isinstance(dt, IntegralType) else dt.scale, decimalsep, thousandssep, trim_zeros=False)
+            # Integers and decimals keep their exact text; only separators change.
+            t = F.when(c.isNotNull(), localize(c.cast("string"), decimalsep, thousandssep))
         else:
             t = c.cast("string")
         if null_text is not None:

@@ -7,7 +7,16 @@ import os
 from datetime import datetime
 
 import pytest
-from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField, StructType, TimestampType
+from pyspark.sql.types import (
+    BooleanType,
+    DecimalType,
+    DoubleType,
+    LongType,
+    StringType,
+    StructField,
+    StructType,
+    TimestampType,
+)
 
 from sensorlake.functions.time import strftime_to_spark
 from sensorlake.operators.keys import token_splits
@@ -153,3 +162,16 @@ def test_streaming_import_rate(spark, scratch):
     assert len(b) == 4 and all(r.reason == "bad_value:v" for r in b)
     with pytest.raises(ValueError):
         import_csv(spark, f"{scratch}/in", SCHEMA, stream=True, maxrows=3)
+
+
+def test_decimal_and_integer_export_keep_every_digit(spark, scratch):
+    from decimal import Decimal
+
+    schema = StructType([StructField("n", LongType()), StructField("d", DecimalType(38, 4))])
+    df = spark.createDataFrame([(9007199254740993, Decimal("12345678901234567890.1234")), (-5, Decimal("-0.5000"))], schema)
+    export_csv(df, f"{scratch}/o", delimiter=";", decimalsep=",", thousandssep=".")
+    lines = sorted(r.value for r in spark.read.text(f"{scratch}/o").collect())
+    assert lines == ["-5;-0,5000", "9.007.199.254.740.993;12.345.678.901.234.567.890,1234"]
+    good, bad = import_csv(spark, f"{scratch}/o", schema, delimiter=";", decimalsep=",", thousandssep=".")
+    assert bad.count() == 0
+    assert sorted(map(tuple, good.collect())) == sorted(map(tuple, df.collect()))
