@@ -85,9 +85,34 @@ def strftime_to_spark(fmt: str) -> str:
     return "".join(out)
 
 
-def format_ts(c, strftime: str) -> Column:
-    """Timestamp to text by a strftime format (``%z`` renders the session zone)."""
-    return F.date_format(_col(c), strftime_to_spark(strftime))
+def format_ts(c, strftime: str, tz: str | None = None, ntz: bool = False) -> Column:
+    """Timestamp to text by a strftime format.
+
+    Without ``tz``: an instant renders in the session zone (``%z`` its offset), a wall
+    clock (``ntz=True``) as it is, with ``%z`` as +0000. With ``tz`` (a region id such
+    as ``Europe/Berlin``): the wall clock in that zone, ``%z`` its offset at that
+    instant (so daylight saving shows). A wall clock input is read as UTC.
+    """
+    c = _col(c)
+    if tz is None:
+        if ntz:
+            return F.date_format(c, strftime_to_spark(strftime.replace("%z", "+0000")))
+        return F.date_format(c, strftime_to_spark(strftime))
+    utc_wall = c if ntz else utc_wall_clock(c)
+    wall = F.convert_timezone(F.lit("UTC"), F.lit(tz), utc_wall)
+    minutes = F.timestamp_diff("MINUTE", utc_wall, wall)
+    offset = F.concat(
+        F.when(minutes < 0, F.lit("-")).otherwise(F.lit("+")),
+        F.lpad((F.abs(minutes) / 60).cast("int").cast("string"), 2, "0"),
+        F.lpad((F.abs(minutes) % 60).cast("string"), 2, "0"),
+    )
+    pieces = []
+    for i, part in enumerate(strftime.split("%z")):
+        if i:
+            pieces.append(offset)
+        if part:
+            pieces.append(F.date_format(wall, strftime_to_spark(part)))
+    return F.when(c.isNotNull(), F.concat(*pieces) if len(pieces) > 1 else pieces[0])
 
 
 def ts_micros(c, dtype: str = "timestamp") -> Column:

@@ -30,7 +30,7 @@ from pyspark.sql.types import (
 
 from sensorlake.functions.numbers import format_number, localize, parse_number
 from sensorlake.functions.text import format_bool, norm_name, parse_bool
-from sensorlake.functions.time import strftime_to_spark, utc_wall_clock
+from sensorlake.functions.time import format_ts, strftime_to_spark, utc_wall_clock
 from sensorlake.operators.keys import hash_range
 from sensorlake.schema import CORRUPT_COLUMN
 
@@ -280,11 +280,13 @@ def format_columns(
     thousandssep: str = DEFAULTS["thousandssep"],
     boolstyle: str = DEFAULTS["boolstyle"],
     null_text: str | None = None,
+    tz: str | None = None,
 ) -> DataFrame:
     """Every column to text by its type: floats with ``float_precision`` digits after
     the point, doubles with ``double_precision`` (trailing zeros trimmed), booleans by
-    style, timestamps by strftime format (a wall clock without zone renders ``%z`` as
-    +0000). ``null_text`` replaces NULL when given."""
+    style, timestamps by strftime format in zone ``tz`` (default: the session zone; a
+    wall clock without zone renders ``%z`` as +0000). ``null_text`` replaces NULL when
+    given."""
     cols = []
     for f in df.schema.fields:
         c, dt = F.col(f.name), f.dataType
@@ -295,9 +297,9 @@ def format_columns(
         elif isinstance(dt, BooleanType):
             t = format_bool(c, boolstyle)
         elif isinstance(dt, TimestampType):
-            t = F.date_format(c, strftime_to_spark(datetimeformat))
+            t = format_ts(c, datetimeformat, tz=tz)
         elif isinstance(dt, TimestampNTZType):
-            t = F.date_format(c, strftime_to_spark(datetimeformat.replace("%z", "+0000")))
+            t = format_ts(c, datetimeformat, tz=tz, ntz=True)
         elif isinstance(dt, NumericType) and (decimalsep != "." or thousandssep):
             # Integers and decimals keep their exact text; only separators change.
             t = F.when(c.isNotNull(), localize(c.cast("string"), decimalsep, thousandssep))
@@ -331,6 +333,7 @@ def export_csv(
     endtoken: int | None = None,
     token_keys: Sequence[str] | None = None,
     mode: str = "overwrite",
+    tz: str | None = None,
 ) -> None:
     """Write ``df`` as CSV files under ``path``, one file per task (no funnel into one
     writer). ``maxoutputsize`` caps lines per file (more files, never fewer rows);
@@ -350,6 +353,7 @@ def export_csv(
         decimalsep=decimalsep,
         thousandssep=thousandssep,
         boolstyle=boolstyle,
+        tz=tz,
     )
     w = (
         text.write.mode(mode)

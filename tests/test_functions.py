@@ -102,3 +102,16 @@ def test_expiry(spark):
     e = with_expiry(df, "ts", "ttl")
     alive = unexpired(e, F.lit(datetime(2024, 1, 1, 0, 30)).cast("timestamp_ntz"))
     assert sorted(r.id for r in alive.collect()) == [1, 2]
+
+
+def test_format_ts_in_a_zone(spark):
+    from sensorlake.functions import format_ts
+
+    rows = [(datetime(2024, 1, 15, 12, 0, 0),), (datetime(2024, 7, 15, 12, 0, 0, 250000),), (None,)]
+    df = spark.createDataFrame(rows, "t timestamp")  # session zone is UTC: these are UTC instants
+    got = [r[0] for r in df.select(format_ts("t", "%Y-%m-%d %H:%M:%S%z", tz="Europe/Berlin")).collect()]
+    assert got == ["2024-01-15 13:00:00+0100", "2024-07-15 14:00:00+0200", None]
+    got = [r[0] for r in df.select(format_ts("t", "%H:%M%z", tz="America/St_Johns")).collect()]
+    assert got[:2] == ["08:30-0330", "09:30-0230"]
+    ntz = spark.createDataFrame(rows, "t timestamp_ntz")
+    assert ntz.select(format_ts("t", "%Y-%m-%dT%H:%M:%S.%f%z", ntz=True)).first()[0] == "2024-01-15T12:00:00.000000+0000"
