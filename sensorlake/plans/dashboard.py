@@ -7,7 +7,11 @@ date-partitioned Parquet table (Structured Streaming, ``availableNow`` by defaul
 
 from __future__ import annotations
 
+import re
+from datetime import date, timedelta
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sensorlake.operators.readings import presentation, report_columns
 from sensorlake.operators.report import latest
@@ -16,6 +20,8 @@ from sensorlake.sources.messages import read_messages
 from sensorlake.sources.table import read_table
 from sensorlake.streaming.ingest import ingest_frame, start_ingest
 
+_DATE_DIR = re.compile(r"/reading_date=(\d{4}-\d{2}-\d{2})/")
+
 
 def ingest_to_table(
     spark: SparkSession,
@@ -45,6 +51,42 @@ def ingest_to_table(
     return len(q.recentProgress)
 
 
+def partition_dates(spark: SparkSession, table_path: str) -> list[date]:
+    """Dates of the table's ``reading_date`` partitions, read off the file listing
+    Spark makes to plan any scan of the table (no file is opened)."""
+    files = read_table(spark, table_path).inputFiles()
+    found = set()
+    for f in files:
+        m = _DATE_DIR.search(f)
+        if m:
+            found.add(date.fromisoformat(m.group(1)))
+    return sorted(found)
+
+
+def latest_in_table(spark: SparkSession, table_path: str, n: int = 100, tiebreak="id") -> DataFrame:
+    """The ``n`` newest rows of the stored table, reading only the newest partitions.
+
+    ``reading_date`` is the date of ``timestamp``, so every row of a later date is newer
+    than every row of an earlier one: the newest ``n`` rows of the dates from a cutoff
+    on are the newest ``n`` of the table as soon as those dates hold ``n`` rows. The
+    window starts at the newest date and doubles until it does (or takes everything,
+    including rows without a timestamp). Each try is a top-``n`` with partition pruning.
+    """
+    full = read_table(spark, table_path)
+    dates = partition_dates(spark, table_path)
+    days = 1
+    while dates:
+        cutoff = dates[-1] - timedelta(days=days - 1)
+        if cutoff <= dates[0]:
+            break  # every dated partition is in: fall through to the whole table
+        recent = full.where(F.col("reading_date") >= F.lit(cutoff))
+        # A count over pruned partitions reads Parquet footers only, not data pages.
+        if recent.count() >= n:
+            return latest(report_columns(recent), n, "timestamp", tiebreak)
+        days *= 2
+    return latest(report_columns(full), n, "timestamp", tiebreak)
+
+
 def dashboard(spark: SparkSession, table_path: str, n: int = 100) -> DataFrame:
     """The report page: the ``n`` newest readings under their display headers."""
-    return presentation(latest(report_columns(read_table(spark, table_path)), n, "timestamp", "id"))
+    return presentation(latest_in_table(spark, table_path, n))

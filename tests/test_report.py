@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -108,3 +109,23 @@ def test_row_count_unpivot_presentation(spark):
     assert p.select(F.col("`PM2.5`")).count() == 1000
     assert select_columns(report_columns(r), skip=("id",)).columns == [
         "pm25", "pm10", "co2", "temperature", "humidity", "timestamp"]
+
+
+def test_latest_in_table_reads_only_newest_partitions(spark, scratch):
+    from sensorlake.plans.dashboard import latest_in_table, partition_dates
+
+    env = envelopes_from_events(events(spark, SMOKE_DIR))
+    env.write.parquet(f"{scratch}/m")
+    ingest_to_table(spark, f"{scratch}/m", f"{scratch}/t", f"{scratch}/c")
+    t = read_table(spark, f"{scratch}/t")
+    dates = partition_dates(spark, f"{scratch}/t")
+    assert len(dates) == 30
+    for n in (1, 10, 100, 999, 1000, 5000):
+        got = [r.id for r in latest_in_table(spark, f"{scratch}/t", n).collect()]
+        want = [r.id for r in latest(report_columns(t), n, "timestamp", "id").collect()]
+        assert got == want, n
+    small = latest_in_table(spark, f"{scratch}/t", 10)
+    small.collect()
+    plan = small._jdf.queryExecution().executedPlan().toString()
+    # only the newest day is scanned for the newest 10 rows
+    assert re.search(r"PartitionFilters: \[isnotnull\(reading_date#\d+\), \(reading_date#\d+ >= " + str(dates[-1]) + r"\)\]", plan)
