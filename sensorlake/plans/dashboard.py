@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sensorlake.operators.readings import presentation, report_columns
-from sensorlake.operators.report import latest
+from sensorlake.operators.report import latest, page
 from sensorlake.schema import ENVELOPE
 from sensorlake.sources.messages import read_messages
 from sensorlake.sources.table import read_table
@@ -87,6 +87,18 @@ def latest_in_table(spark: SparkSession, table_path: str, n: int = 100, tiebreak
     return latest(report_columns(full), n, "timestamp", tiebreak)
 
 
+def page_table(spark: SparkSession, table_path: str, size: int = 100, after=None) -> DataFrame:
+    """Pages of the stored table in time order (``timestamp, id``), keyset style.
+
+    ``after`` is the ``(timestamp, id)`` of the previous page's last row. Besides the
+    keyset predicate, the page adds ``reading_date >= date(after)``, which Spark cannot
+    infer by itself, so partitions before the page are never listed for reading."""
+    df = read_table(spark, table_path)
+    if after is not None:
+        df = df.where(F.col("reading_date") >= F.to_date(F.lit(after[0])))
+    return page(report_columns(df), ["timestamp", "id"], size, after=after)
+
+
 def dashboard(spark: SparkSession, table_path: str, n: int = 100) -> DataFrame:
     """The report page: the ``n`` newest readings under their display headers."""
     return presentation(latest_in_table(spark, table_path, n))

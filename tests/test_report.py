@@ -129,3 +129,23 @@ def test_latest_in_table_reads_only_newest_partitions(spark, scratch):
     plan = small._jdf.queryExecution().executedPlan().toString()
     # only the newest day is scanned for the newest 10 rows
     assert re.search(r"PartitionFilters: \[isnotnull\(reading_date#\d+\), \(reading_date#\d+ >= " + str(dates[-1]) + r"\)\]", plan)
+
+
+def test_page_table_walks_the_table_in_time_order_with_pruning(spark, scratch):
+    from sensorlake.plans.dashboard import page_table
+
+    env = envelopes_from_events(events(spark, SMOKE_DIR))
+    env.write.parquet(f"{scratch}/m")
+    ingest_to_table(spark, f"{scratch}/m", f"{scratch}/t", f"{scratch}/c")
+    want = [r.id for r in read_table(spark, f"{scratch}/t").orderBy("timestamp", "id").collect()]
+    got, after, last_plan = [], None, ""
+    while True:
+        p = page_table(spark, f"{scratch}/t", 300, after)
+        rows = p.collect()
+        if not rows:
+            break
+        last_plan = p._jdf.queryExecution().executedPlan().toString()
+        got += [r.id for r in rows]
+        after = (rows[-1].timestamp, rows[-1].id)
+    assert got == want
+    assert re.search(r"PartitionFilters: \[isnotnull\(reading_date#\d+\), \(reading_date#\d+ >= ", last_plan)
