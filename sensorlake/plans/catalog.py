@@ -41,7 +41,7 @@ from sensorlake.operators.report import (
     unpivot_readings,
 )
 from sensorlake.operators.sequence import number_rows
-from sensorlake.plans.dashboard import dashboard, ingest_to_table
+from sensorlake.plans.dashboard import dashboard, ingest_to_table, page_table
 from sensorlake.plans.fixtures import (
     decoded_readings,
     envelopes_from_events,
@@ -161,6 +161,15 @@ def q_dashboard(spark, sf_dir):
 # --- report operators ---------------------------------------------------------------
 
 
+def q_table_page(spark, sf_dir):
+    """The page after the reading of event ``PAGE_AFTER`` in time order, over the table."""
+    table = _ingest(spark, sf_dir, "table_page")
+    after_id = lookup(_readings(spark, sf_dir), "event_id", PAGE_AFTER).select("id").first().id
+    row = lookup(read_table(spark, table), "id", after_id).select("timestamp", "id").first()
+    p = page_table(spark, table, PAGE_SIZE, after=(row.timestamp, row.id))
+    return widen(p.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz")))
+
+
 def q_latest_100(spark, sf_dir):
     return widen(latest(_report(spark, sf_dir), LATEST_N, "timestamp", "id"))
 
@@ -439,6 +448,7 @@ QUERIES: dict[str, Query] = {
     "presentation": q_presentation,
     "point_lookup": q_point_lookup,
     "page_3": q_page_3,
+    "table_page": q_table_page,
     "row_numbers": q_row_numbers,
     "row_numbers_global": q_row_numbers_global,
     "row_count": q_row_count,

@@ -125,6 +125,11 @@ ORACLE: dict[str, str] = {
     "page_3": _with(
         f'SELECT event_id, {W}, "timestamp" FROM r WHERE event_id > {PAGE_AFTER} ORDER BY event_id LIMIT {PAGE_SIZE}'
     ),
+    "table_page": _with(
+        f', x AS (SELECT "timestamp" AS t0, id AS i0 FROM rid WHERE event_id = {PAGE_AFTER}) '
+        f'SELECT {REPORT} FROM rid, x WHERE "timestamp" > t0 OR ("timestamp" = t0 AND id > i0) '
+        f'ORDER BY "timestamp", id LIMIT {PAGE_SIZE}'
+    ),
     "row_numbers": _with(
         'SELECT event_id, sensor, row_number() OVER (PARTITION BY sensor ORDER BY "timestamp", event_id) '
         "AS row_number FROM r"
