@@ -30,6 +30,7 @@ from sensorlake.plans.catalog import (
     PAGE_SIZE,
 )
 from sensorlake.functions.time import MAX_EPOCH_MS, MIN_EPOCH_MS
+from sensorlake.schema import TOPIC
 
 
 def _d(x: float) -> str:
@@ -37,7 +38,7 @@ def _d(x: float) -> str:
     return f"{x!r}::DOUBLE"
 
 
-READINGS = """
+READINGS = f"""
 src AS (
   SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events
 ),
@@ -49,7 +50,7 @@ r AS (
     CAST(17.0::DOUBLE + 0.1::DOUBLE * k AS FLOAT) AS temperature,
     CAST(25.0::DOUBLE + 0.7::DOUBLE * k AS FLOAT) AS humidity,
     ts AS "timestamp",
-    md5(concat_ws('|', 'air_quality', CAST(user_id % 8 AS VARCHAR), CAST(event_id AS VARCHAR))) AS h
+    md5(concat_ws('|', '{TOPIC}', CAST(user_id % 8 AS VARCHAR), CAST(event_id AS VARCHAR))) AS h
   FROM src
 ),
 rid AS (

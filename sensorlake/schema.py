@@ -14,11 +14,8 @@ from pyspark.sql.types import (
     TimestampType,
 )
 
-# Wire format, table name and report labels that must match the
-# original pipeline.
+# The topic subscribed to and the report labels of the original pipeline.
 TOPIC = "air_quality"
-KEYSPACE = "air_monitoring"
-TABLE_NAME = "sensor_data"
 METRICS = ("pm25", "pm10", "co2", "temperature", "humidity")
 REPORT_COLUMNS = ("id", "pm25", "pm10", "co2", "temperature", "humidity", "timestamp")
 PRESENTATION_LABELS = (

@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from sensorlake.functions.time import iso_ts, parse_ts
-from sensorlake.schema import ENVELOPE, METRICS
+from sensorlake.schema import ENVELOPE, METRICS, TOPIC
 from sensorlake.sources.messages import decode_messages, encode_messages, split_malformed
 
 GOLDEN = [
@@ -25,7 +25,7 @@ GOLDEN = [
 
 def envelopes(spark, bodies):
     rows = [
-        (None, None if b is None else b.encode("utf-8"), "air_quality", 0, i, None, 0)
+        (None, None if b is None else b.encode("utf-8"), TOPIC, 0, i, None, 0)
         for i, b in enumerate(bodies)
     ]
     return spark.createDataFrame(rows, ENVELOPE)

@@ -21,6 +21,7 @@ from sensorlake.functions import (
     utc_wall_clock,
 )
 from sensorlake.operators.keys import hash_range, token_splits, unexpired, with_expiry
+from sensorlake.schema import TOPIC
 
 
 def one(spark, expr_fn, data, schema):
@@ -60,8 +61,8 @@ def test_norm_name():
 
 
 def test_stable_uuid_is_md5_layout(spark):
-    got = one(spark, lambda: stable_uuid("t", "p", "o"), [("air_quality", 3, 42)], "t string, p int, o long")[0]
-    h = hashlib.md5(b"air_quality|3|42").hexdigest()
+    got = one(spark, lambda: stable_uuid("t", "p", "o"), [(TOPIC, 3, 42)], "t string, p int, o long")[0]
+    h = hashlib.md5(f"{TOPIC}|3|42".encode()).hexdigest()
     assert got == f"{h[:8]}-{h[8:12]}-{h[12:16]}-{h[16:20]}-{h[20:]}"
 
 

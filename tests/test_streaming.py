@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sensorlake.plans.dashboard import ingest_to_table
 from sensorlake.plans.fixtures import envelopes_from_events, events
-from sensorlake.schema import ENVELOPE
+from sensorlake.schema import ENVELOPE, TOPIC
 from sensorlake.sources.messages import read_messages
 from sensorlake.sources.table import read_table
 from sensorlake.streaming.ingest import compact_table, ingest_frame, quarantine_frame, start_ingest
@@ -119,7 +119,7 @@ def test_write_messages_and_processing_time_trigger(spark, scratch):
     from sensorlake.sources.messages import kafka_options, write_messages
 
     opts = kafka_options("broker:9092", max_offsets_per_trigger=500)
-    assert opts["subscribe"] == "air_quality" and opts["maxOffsetsPerTrigger"] == "500"
+    assert opts["subscribe"] == TOPIC and opts["maxOffsetsPerTrigger"] == "500"
     assert opts["startingOffsets"] == "latest" and opts["failOnDataLoss"] == "true"
     env = envelopes_from_events(events(spark, SMOKE_DIR))
     write_messages(env, fmt="parquet", path=f"{scratch}/m")
