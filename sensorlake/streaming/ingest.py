@@ -73,20 +73,35 @@ def start_ingest(
     return w.start(table_path)
 
 
+TARGET_FILE_BYTES = 256 * 1024 * 1024
+
+
+def table_bytes(spark: SparkSession, table_path: str) -> int:
+    """Total size of the table's files (file metadata only, computed by the cluster)."""
+    files = read_table(spark, table_path).select(
+        F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_size").alias("b")
+    )
+    per_file = files.groupBy("f").agg(F.max("b").alias("b"))
+    return int(per_file.agg(F.sum("b")).first()[0] or 0)
+
+
 def compact_table(
     spark: SparkSession,
     table_path: str,
     out_path: str,
     partitions: int | None = None,
     max_records_per_file: int | None = None,
+    target_file_bytes: int = TARGET_FILE_BYTES,
 ) -> None:
     """Rewrite the many small files of a streamed table into fewer, time-sorted ones.
 
     Range-partitioned on ``(reading_date, timestamp, id)``: a busy day spreads over
     several tasks instead of one, and sorted files give tight min/max statistics for
-    time predicates."""
+    time predicates. The number of ranges follows the table's size (about
+    ``target_file_bytes`` per task), not a fixed shuffle setting, so a task never has
+    to sort a share that grows with the table."""
     df = read_table(spark, table_path)
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or max(1, -(-table_bytes(spark, table_path) // target_file_bytes))
     out = df.repartitionByRange(n, "reading_date", "timestamp", "id").sortWithinPartitions(
         "reading_date", "timestamp", "id"
     )

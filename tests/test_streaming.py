@@ -132,3 +132,16 @@ def test_write_messages_and_processing_time_trigger(spark, scratch):
     assert read_table(spark, f"{scratch}/t").count() == 1000
     assert q.lastProgress is not None
     time.sleep(0)
+
+
+def test_compaction_sizes_ranges_from_bytes(spark, scratch):
+    from sensorlake.streaming.ingest import table_bytes
+
+    msgs, table = f"{scratch}/m", f"{scratch}/t"
+    write_messages(spark, msgs, n_files=4)
+    ingest_to_table(spark, msgs, table, f"{scratch}/c", max_files_per_trigger=1)
+    size = table_bytes(spark, table)
+    on_disk = sum(os.path.getsize(p) for p in glob.glob(f"{table}/*/*.parquet"))
+    assert size == on_disk
+    compact_table(spark, table, f"{scratch}/k", target_file_bytes=max(1, size // 3))
+    assert read_table(spark, f"{scratch}/k").count() == 1000
