@@ -4,7 +4,6 @@ Spark results: floats widened to double, timestamps without zone."""
 
 from __future__ import annotations
 
-from sensorlake.operators.keys import MAX_TOKEN, MIN_TOKEN  # noqa: F401  (documented range)
 from sensorlake.operators.quality import (
     CO2_MAX,
     CO2_MIN,
