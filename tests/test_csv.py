@@ -175,3 +175,22 @@ def test_decimal_and_integer_export_keep_every_digit(spark, scratch):
     good, bad = import_csv(spark, f"{scratch}/o", schema, delimiter=";", decimalsep=",", thousandssep=".")
     assert bad.count() == 0
     assert sorted(map(tuple, good.collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_skip_and_max_rows_exact_when_files_are_split(spark, scratch):
+    write(scratch, "big.csv", [f"{i},{i * 0.5}" for i in range(3000)])
+    write(scratch, "small.csv", [f"{i},{i * 0.5}" for i in range(3000, 3100)])
+    schema = StructType([StructField("n", LongType()), StructField("v", DoubleType())])
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    old_open = spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")  # ~15 splits of big.csv
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")  # several splits share a task
+        for skip, mx in [(0, 10), (1234, 500), (2990, 50), (3050, 1000), (5, -1)]:
+            good, _ = import_csv(spark, scratch, schema, skiprows=skip, maxrows=mx)
+            got = sorted(r.n for r in good.collect())
+            stop = 3100 if mx < 0 else min(3100, skip + mx)
+            assert got == list(range(skip, stop)), (skip, mx)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        spark.conf.set("spark.sql.files.openCostInBytes", old_open)
