@@ -28,7 +28,9 @@ HEADLINE = [
     "point_lookup",
     "row_numbers",
     "row_numbers_global",
+    "row_numbers_hot_sensor",
     "step_flags",
+    "step_flags_hot_sensor",
     "temperature_residual",
     "range_flags",
     "split_good",

@@ -68,6 +68,8 @@ CSV_SKIPROWS = 100
 CSV_MAXROWS = 500
 N_TOKEN_RANGES = 4
 MESSAGE_FILES = 16
+HOT_SENSOR = -1
+HOT_EVERY = 3
 
 
 def widen(df: DataFrame) -> DataFrame:
@@ -211,6 +213,32 @@ def q_row_numbers_global(spark, sf_dir):
     return number_rows(r, ["timestamp", "event_id"]).select("event_id", "row_number")
 
 
+def _hot_sensor(spark, sf_dir) -> DataFrame:
+    """Readings where one sensor holds a third of all rows (every event kept): the
+    skewed case the sequence operators must split."""
+    r = _readings(spark, sf_dir)
+    hot = F.when(F.pmod(F.col("event_id"), F.lit(HOT_EVERY)) == 0, F.lit(HOT_SENSOR)).otherwise(F.col("sensor"))
+    return r.withColumn("sensor", hot.cast("long"))
+
+
+def q_row_numbers_hot_sensor(spark, sf_dir):
+    r = _hot_sensor(spark, sf_dir).select("event_id", "sensor", "timestamp")
+    return number_rows(r, ["timestamp", "event_id"], "sensor").select("event_id", "sensor", "row_number")
+
+
+def q_step_flags_hot_sensor(spark, sf_dir):
+    r = _hot_sensor(spark, sf_dir).select("event_id", "sensor", *METRICS, "timestamp")
+    s = step_flags(r, sensor="sensor", ts="timestamp", tiebreak=("event_id",))
+    return s.select(
+        "event_id",
+        *[F.round(F.col(f"{m}_step"), 6).alias(f"{m}_step") for m in ("pm25", "pm10", "co2", "humidity")],
+        "pm25_step_ok",
+        "pm10_step_ok",
+        "co2_step_ok",
+        "humidity_step_ok",
+    )
+
+
 def q_row_count(spark, sf_dir):
     return row_count(_readings(spark, sf_dir))
 
@@ -451,6 +479,8 @@ QUERIES: dict[str, Query] = {
     "table_page": q_table_page,
     "row_numbers": q_row_numbers,
     "row_numbers_global": q_row_numbers_global,
+    "row_numbers_hot_sensor": q_row_numbers_hot_sensor,
+    "step_flags_hot_sensor": q_step_flags_hot_sensor,
     "row_count": q_row_count,
     "unpivot": q_unpivot,
     "select_columns": q_select_columns,

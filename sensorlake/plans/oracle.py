@@ -20,6 +20,8 @@ from sensorlake.operators.quality import (
 )
 from sensorlake.plans.catalog import (
     AS_OF,
+    HOT_EVERY,
+    HOT_SENSOR,
     CSV_MAXROWS,
     CSV_SKIPROWS,
     EPOCH_SHIFT_MS,
@@ -84,6 +86,10 @@ steps AS (
 )
 """
 
+_STEP_HOT = _STEP.replace(
+    "FROM r\n", f"FROM (SELECT * REPLACE (CASE WHEN event_id % {HOT_EVERY} = 0 THEN {HOT_SENSOR} ELSE sensor END AS sensor) FROM r)\n"
+)
+
 _BASELINE = (
     f"(22.0::DOUBLE + 5.0::DOUBLE * sin({_d(2 * 3.141592653589793 / 24)} * "
     f'((hour("timestamp") + minute("timestamp") / 60.0::DOUBLE) - 6.0::DOUBLE)))'
@@ -137,6 +143,21 @@ ORACLE: dict[str, str] = {
     "row_numbers_global": _with(
         'SELECT event_id, row_number() OVER (ORDER BY "timestamp", event_id) AS row_number FROM r'
     ),
+    "row_numbers_hot_sensor": _with(
+        f", h AS (SELECT *, CASE WHEN event_id % {HOT_EVERY} = 0 THEN {HOT_SENSOR} ELSE sensor END AS hot FROM r) "
+        'SELECT event_id, hot AS sensor, row_number() OVER (PARTITION BY hot ORDER BY "timestamp", event_id) '
+        "AS row_number FROM h"
+    ),
+    "step_flags_hot_sensor": _with(
+        f", {_STEP_HOT} SELECT event_id, round(pm25_step, 6) AS pm25_step, round(pm10_step, 6) AS pm10_step, "
+        "round(co2_step, 6) AS co2_step, round(humidity_step, 6) AS humidity_step, "
+        f"{_between('pm25_step', *PM_STEP)} AS pm25_step_ok, "
+        f"{_between('pm10_step', *PM_STEP)} AS pm10_step_ok, "
+        f"{_between('co2_step', *CO2_STEP)} AS co2_step_ok, "
+        f"CASE WHEN humidity_step IS NULL THEN NULL WHEN temperature > {WARM_ABOVE} "
+        f"THEN {_between('humidity_step', *HUMIDITY_STEP_WARM)} "
+        f"ELSE {_between('humidity_step', *HUMIDITY_STEP_COOL)} END AS humidity_step_ok FROM steps"
+    ),
     "row_count": "SELECT count(*) AS n_rows FROM events",
     "unpivot": _with(
         " UNION ALL ".join(
