@@ -19,6 +19,7 @@ from sensorlake.functions.time import (
     format_ts,
     hour_of_day,
     iso_ts,
+    ntz_literal,
     parse_ts,
     strftime_to_spark,
     ts_micros,
@@ -36,6 +37,7 @@ __all__ = [
     "iso_ts",
     "localize",
     "norm_name",
+    "ntz_literal",
     "parse_bool",
     "parse_number",
     "parse_ts",

@@ -10,8 +10,15 @@ from pyspark.sql import functions as F
 
 
 
+def ntz_literal(value: datetime | str) -> Column:
+    """A TIMESTAMP_NTZ literal built from text, so no zone is involved (a Python
+    datetime literal would be read in the process zone, then shifted by the session's)."""
+    text = value.isoformat(sep=" ") if isinstance(value, datetime) else value
+    return F.lit(text).cast("timestamp_ntz")
+
+
 def _epoch_ntz() -> Column:
-    return F.lit(datetime(1970, 1, 1)).cast("timestamp_ntz")
+    return ntz_literal("1970-01-01 00:00:00")
 
 # The datetime range a client can render (years 1..9999), in epoch ms.
 MIN_EPOCH_MS = -62135596800000

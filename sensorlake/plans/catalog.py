@@ -25,7 +25,7 @@ from pyspark.sql.types import (
 
 from sensorlake.functions.numbers import clamp, format_number, parse_number, round2
 from sensorlake.functions.text import parse_bool
-from sensorlake.functions.time import decode_epoch_ms, format_ts, ts_micros
+from sensorlake.functions.time import decode_epoch_ms, format_ts, ntz_literal, ts_micros
 from sensorlake.operators.errors import error_summary
 from sensorlake.operators.keys import hash_range, token_splits, unexpired, with_expiry
 from sensorlake.operators.quality import range_flags, step_flags, temperature_residual
@@ -371,7 +371,7 @@ def q_expiry(spark, sf_dir):
     k = props_k()
     ttl = F.when(k % 7 == 0, F.lit(None)).otherwise(k * F.lit(3600))
     e = with_expiry(ev.withColumn("ttl", ttl), "ts", "ttl")
-    return unexpired(e, F.lit(AS_OF).cast("timestamp_ntz")).select("event_id", "expires_at")
+    return unexpired(e, ntz_literal(AS_OF)).select("event_id", "expires_at")
 
 
 def q_epoch_ms(spark, sf_dir):

@@ -53,3 +53,20 @@ def test_entry(spark):
     df = E.entry(spark)
     assert df.columns == ["Timestamp", "PM2.5", "PM10", "CO2", "Temperature", "Humidity"]
     assert df.count() == 100
+
+
+ZONE_SENSITIVE = ["decode_readings", "stream_ingest", "expiry", "epoch_ms", "format_columns", "csv_roundtrip", "temperature_residual"]
+
+
+@pytest.mark.parametrize("name", ZONE_SENSITIVE)
+def test_results_do_not_depend_on_the_session_zone(spark, con, name):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = E.queries()[name](spark, SMOKE_DIR)
+        rows = [tuple(r) for r in df.collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    res = con.execute(E.oracle_sql()[name])
+    ocols = [d[0] for d in res.description]
+    assert canon(df.columns, rows) == canon(ocols, res.fetchall())

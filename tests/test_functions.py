@@ -20,6 +20,7 @@ from sensorlake.functions import (
     stable_uuid,
     utc_wall_clock,
 )
+from sensorlake.functions.time import ntz_literal
 from sensorlake.operators.keys import hash_range, token_splits, unexpired, with_expiry
 from sensorlake.schema import TOPIC
 
@@ -101,7 +102,7 @@ def test_expiry(spark):
         "id int, ts timestamp_ntz, ttl int",
     )
     e = with_expiry(df, "ts", "ttl")
-    alive = unexpired(e, F.lit(datetime(2024, 1, 1, 0, 30)).cast("timestamp_ntz"))
+    alive = unexpired(e, ntz_literal(datetime(2024, 1, 1, 0, 30)))
     assert sorted(r.id for r in alive.collect()) == [1, 2]
 
 
