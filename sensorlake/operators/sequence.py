@@ -103,9 +103,11 @@ def slice_keys(
     order_col: str,
     rows_per_slice: int | None = None,
     max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
+    descending: bool = False,
 ) -> Sliced:
     """Attach ``_slice`` (see module doc). ``rows_per_slice=None`` sizes slices from the
-    row count and the cluster's parallelism."""
+    row count and the cluster's parallelism. ``descending`` numbers slices from the
+    largest values down (NULL order values last, as Spark orders them descending)."""
     keys = _cols(partition_by)
     helpers: list[str] = []
     if not keys:
@@ -152,16 +154,21 @@ def slice_keys(
     binned = F.floor((F.col(_OV) - F.col(_LO)) / span * F.col(_NS))
     # NULL order values sort first, so they belong to slice 0 (``least`` would skip
     # the NULL and send them to the last slice).
-    slice_ = (
-        F.when(F.col(_NS).isNull() | F.col(_OV).isNull(), F.lit(0))
-        .otherwise(F.least(binned, F.col(_NS) - 1))
-    )
+    last = F.col(_NS) - 1
+    if descending:
+        slice_ = (
+            F.when(F.col(_NS).isNull(), F.lit(0))
+            .when(F.col(_OV).isNull(), last)
+            .otherwise(last - F.least(binned, last))
+        )
+    else:
+        slice_ = F.when(F.col(_NS).isNull() | F.col(_OV).isNull(), F.lit(0)).otherwise(F.least(binned, last))
     out = joined.withColumn(_SLICE, slice_.cast("long")).drop(_LO, _HI)
     return Sliced(out, keys, heavy, n_heavy, n_slices, max_broadcast_rows, tuple(helpers + [_SLICE, _NS]))
 
 
-def _order_cols(order) -> list[Column]:
-    return [F.col(c) if isinstance(c, str) else c for c in _cols(order)]
+def _order_cols(order, descending: bool = False) -> list[Column]:
+    return [F.col(c).desc() if descending else F.col(c) for c in _cols(order)]
 
 
 def number_rows(
@@ -171,16 +178,17 @@ def number_rows(
     name: str = "row_number",
     rows_per_slice: int | None = DEFAULT_ROWS_PER_SLICE,
     max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
+    descending: bool = False,
 ) -> DataFrame:
     """1-based row number (bigint) per ``partition_by`` in ``order`` (batch only).
 
     With no ``partition_by`` the whole input is one sequence, still cut into slices so
     it never funnels through a single task. ``order`` is a list of column names; the
-    first is the slicing column.
+    first is the slicing column. ``descending`` orders every column descending.
     """
     order = _cols(order)
-    s = slice_keys(df, partition_by, order[0], rows_per_slice, max_broadcast_rows)
-    w = Window.partitionBy(*s.keys, _SLICE).orderBy(*_order_cols(order))
+    s = slice_keys(df, partition_by, order[0], rows_per_slice, max_broadcast_rows, descending)
+    w = Window.partitionBy(*s.keys, _SLICE).orderBy(*_order_cols(order, descending))
     out = s.df.withColumn("_rn", F.row_number().over(w).cast("long"))
     if s.n_heavy:
         # A partial aggregation over the heavy keys' rows (key and order columns only,
@@ -206,12 +214,13 @@ def with_previous(
     prefix: str = "prev_",
     rows_per_slice: int | None = DEFAULT_ROWS_PER_SLICE,
     max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
+    descending: bool = False,
 ) -> DataFrame:
     """Add ``prefix + c`` = value of ``c`` in the previous row of the same key in
     ``order`` (``lag``), NULL on a key's first row (batch only)."""
     order, cols = _cols(order), _cols(cols)
-    s = slice_keys(df, partition_by, order[0], rows_per_slice, max_broadcast_rows)
-    w = Window.partitionBy(*s.keys, _SLICE).orderBy(*_order_cols(order))
+    s = slice_keys(df, partition_by, order[0], rows_per_slice, max_broadcast_rows, descending)
+    w = Window.partitionBy(*s.keys, _SLICE).orderBy(*_order_cols(order, descending))
     out = s.df.select(
         "*",
         *[F.lag(c).over(w).alias(prefix + c) for c in cols],
@@ -222,7 +231,10 @@ def with_previous(
         last = (
             s.df.where(F.col(_NS).isNotNull())
             .groupBy(*s.keys, _SLICE)
-            .agg(F.max_by(F.struct(*cols), F.struct(*order)).alias("_last"))
+            .agg(
+                # the last row in descending order is the smallest ascending one
+                (F.min_by if descending else F.max_by)(F.struct(*cols), F.struct(*order)).alias("_last")
+            )
         )
         prev_slice = Window.partitionBy(*s.keys).orderBy(_SLICE)
         carry = last.select(*s.keys, _SLICE, F.lag("_last").over(prev_slice).alias("_carry"))

@@ -71,3 +71,18 @@ def test_auto_slice_size_runs(spark):
     df = skewed(spark, n=500)
     got = number_rows(df, ["ts", "id"], "k", name="rn")
     assert as_map(got, "rn") == as_map(brute_rn(df, ["k"], ["ts", "id"]), "rn")
+
+
+def test_descending_order_matches_window(spark):
+    df = skewed(spark)
+    want = df.withColumn(
+        "rn", F.row_number().over(Window.partitionBy("k").orderBy(F.col("ts").desc(), F.col("id").desc())).cast("long")
+    )
+    got = number_rows(df, ["ts", "id"], "k", name="rn", rows_per_slice=100, descending=True)
+    assert as_map(got, "rn") == as_map(want, "rn")
+    w = Window.partitionBy("k").orderBy(F.col("ts").desc(), F.col("id").desc())
+    lagged = df.select("id", F.lag("v").over(w).alias("prev_v"))
+    got = with_previous(df, "k", ["ts", "id"], ["v"], rows_per_slice=90, descending=True)
+    assert as_map(got, "prev_v") == as_map(lagged, "prev_v")
+    glob_want = df.withColumn("rn", F.row_number().over(Window.orderBy(F.col("ts").desc(), F.col("id").desc())).cast("long"))
+    assert as_map(number_rows(df, ["ts", "id"], name="rn", rows_per_slice=150, descending=True), "rn") == as_map(glob_want, "rn")
