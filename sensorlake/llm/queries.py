@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sensorlake.llm.packing import pack, token_pieces
 from sensorlake.llm.srs_ann import srs_neighbours
 from sensorlake.llm.vectors import usable
 from sensorlake.llm.voronoi_knn import voronoi_knn
@@ -29,8 +30,23 @@ def op5_srs_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return srs_neighbours(rows.select("vec_id", doubles.alias("v")), F.col("vec_id") % 20 == 0, k=20)
 
 
+def byte_bpe() -> tuple:
+    """The byte-level vocabulary: ranks, word pattern, and the one special token."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, "<|endoftext|>", 50256
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 1024 tokens: one row for each piece."""
+    pieces = token_pieces(table(spark, sf_dir, "documents"), byte_bpe())
+    digests = pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
+    return pack(digests)
+
+
 QUERIES = {
     "op1_voronoi_knn": op1_voronoi_knn,
+    "op4_packing": op4_packing,
     "op5_srs_neighbours": op5_srs_neighbours,
 }
 
