@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sensorlake.llm import bpe_stream
 from sensorlake.llm.packing import pack, token_pieces
 from sensorlake.llm.srs_ann import srs_neighbours
 from sensorlake.llm.vectors import usable
@@ -44,10 +45,25 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(digests)
 
 
+def op9_bpe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of each document's ids and of the text decoded from them."""
+    import public_tokenizers
+
+    coded = bpe_stream.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    decimal = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(decimal, 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
     "op1_voronoi_knn": op1_voronoi_knn,
     "op4_packing": op4_packing,
     "op5_srs_neighbours": op5_srs_neighbours,
+    "op9_bpe_stream": op9_bpe_stream,
 }
 
 ORACLE = {
