@@ -3,10 +3,10 @@ the SQL twin of those that SQL can express."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorlake.llm import bpe_stream
+from sensorlake.llm import bpe_stream, language_id, quality_gam
 from sensorlake.llm.packing import pack, token_pieces
 from sensorlake.llm.srs_ann import srs_neighbours
 from sensorlake.llm.vectors import usable
@@ -17,6 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def remainder(n: int) -> Column:
+    """crc32 of the id as text, modulo n."""
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
 def op1_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each query's 5 rows of largest integer inner product; queries: ids divisible by 50."""
     rows = table(spark, sf_dir, "embeddings").where(usable("embedding"))
@@ -45,6 +50,23 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(digests)
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document; a third of the ids is never learnt from."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.train(docs, remainder(3) != 1)
+    held_out = F.coalesce(remainder(3) == 1, F.lit(False)).alias("held_out")
+    return language_id.identify(docs.select("doc_id", "text", held_out), model).drop("text")
+
+
+def op8_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document; labels of a quarter of the ids are never learnt from."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(remainder(4) != 2)
+    model = quality_gam.train(docs, labels.select("doc_id", F.col("quality").alias("label")))
+    held_out = F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out")
+    return quality_gam.rate(docs.select("doc_id", "text", held_out), model).drop("text")
+
+
 def op9_bpe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of each document's ids and of the text decoded from them."""
     import public_tokenizers
@@ -61,8 +83,10 @@ def op9_bpe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_voronoi_knn": op1_voronoi_knn,
+    "op2_language_id": op2_language_id,
     "op4_packing": op4_packing,
     "op5_srs_neighbours": op5_srs_neighbours,
+    "op8_quality_gam": op8_quality_gam,
     "op9_bpe_stream": op9_bpe_stream,
 }
 
