@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorlake.llm import bpe_stream, language_id, quality_gam
+from sensorlake.llm import bpe_stream, language_id, main_text, quality_gam
 from sensorlake.llm.packing import pack, token_pieces
 from sensorlake.llm.srs_ann import srs_neighbours
 from sensorlake.llm.vectors import usable
@@ -58,6 +58,12 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs.select("doc_id", "text", held_out), model).drop("text")
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    pages = main_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", "n_chars")
+
+
 def op8_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality of every document; labels of a quarter of the ids are never learnt from."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -86,6 +92,7 @@ QUERIES = {
     "op2_language_id": op2_language_id,
     "op4_packing": op4_packing,
     "op5_srs_neighbours": op5_srs_neighbours,
+    "op7_main_text": op7_main_text,
     "op8_quality_gam": op8_quality_gam,
     "op9_bpe_stream": op9_bpe_stream,
 }
