@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorlake.llm import bpe_stream, language_id, main_text, quality_gam
+from sensorlake.llm import bpe_stream, language_id, main_text, minhash_dedup, quality_gam
 from sensorlake.llm.packing import pack, token_pieces
 from sensorlake.llm.srs_ann import srs_neighbours
 from sensorlake.llm.vectors import usable
@@ -58,6 +58,11 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs.select("doc_id", "text", held_out), model).drop("text")
 
 
+def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents linked at a similarity of 0.8 on shingles of four words."""
+    return minhash_dedup.link_groups(table(spark, sf_dir, "documents"), n=4, percent=80)
+
+
 def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     pages = main_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
@@ -92,6 +97,7 @@ QUERIES = {
     "op2_language_id": op2_language_id,
     "op4_packing": op4_packing,
     "op5_srs_neighbours": op5_srs_neighbours,
+    "op6_minhash_dedup": op6_minhash_dedup,
     "op7_main_text": op7_main_text,
     "op8_quality_gam": op8_quality_gam,
     "op9_bpe_stream": op9_bpe_stream,
