@@ -38,7 +38,7 @@ REMEMBERED = 400_000
 #: Bytes of ids in one batch that goes back to the JVM, about.
 BATCH_BYTES = 8 << 20
 #: Rows in a hash bucket within which pieces of one length are ranked, about.
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 10_000
 
 
 class ByteTokenizer:
