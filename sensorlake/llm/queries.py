@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorlake.llm import bpe_stream, language_id, main_text, minhash_dedup, quality_gam
+from sensorlake.llm import bpe_stream, chunk_dedup, language_id, main_text, minhash_dedup, quality_gam
 from sensorlake.llm.packing import pack, token_pieces
 from sensorlake.llm.srs_ann import srs_neighbours
 from sensorlake.llm.vectors import usable
@@ -92,6 +92,12 @@ def op9_bpe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the passages that an earlier one has, and what was cut."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return chunk_dedup.remove_repeats(docs).select("doc_id", "text", "spans", "n_removed")
+
+
 QUERIES = {
     "op1_voronoi_knn": op1_voronoi_knn,
     "op2_language_id": op2_language_id,
@@ -101,6 +107,7 @@ QUERIES = {
     "op7_main_text": op7_main_text,
     "op8_quality_gam": op8_quality_gam,
     "op9_bpe_stream": op9_bpe_stream,
+    "op10_chunk_dedup": op10_chunk_dedup,
 }
 
 ORACLE = {
