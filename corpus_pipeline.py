@@ -1,16 +1,94 @@
-"""The corpus pipeline: quality, language, near-duplicates, repeated passages, packing."""
+"""The corpus pipeline: five stages, each on all that the one before has kept.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet
+and read again as the next one's ``docs``. All but the last return the columns of ``docs``.
+
+Defined cases: null and empty texts have no letters, so the language stage rejects them if
+the quality stage has not; rows that repeat a doc_id are copies of one document, and the
+near-duplicate stage keeps one; empty tables pass through; extra columns are carried along.
+"""
 
 from __future__ import annotations
 
+import os
+import sys
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
+from sensorlake.llm import chunk_dedup, language_id, minhash_dedup, packing, quality_gam  # noqa: E402
+from sensorlake.llm.queries import byte_bpe, table  # noqa: E402
+from sensorlake.session import scratch_path  # noqa: E402
+
+#: A document whose language is less certain than this is rejected.
+LEAST_CERTAIN = 0.5
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    model = quality_gam.train(docs, labels)
+    return quality_gam.rate(docs.withColumn("_own", own(docs)), model).where("predicted = 1").select("_own.*")
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that can be told."""
+    model = language_id.train(docs, F.lit(True))
+    found = language_id.identify(docs.withColumn("_own", own(docs)), model)
+    return found.where((F.col("lang_pred") != language_id.UND) & (F.col("score") >= LEAST_CERTAIN)).select("_own.*")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates (five words, 0.8)."""
+    groups = minhash_dedup.link_groups(docs.select("doc_id", "text"), n=5, percent=80)
+    gone = groups.where(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct()
+    left = docs.join(gone, F.col("doc_id").cast("long") == F.col("_id"), "left_anti")
+    copied = groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id"))
+    same = F.col("doc_id").cast("long") == F.col("_id")
+    once = left.join(copied, same, "left_semi").dropDuplicates(["doc_id"])
+    return left.join(copied, same, "left_anti").unionByName(once)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the passages that another one has."""
+    cut = chunk_dedup.remove_repeats(docs)
+    n_chars = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
+    changed = cut.withColumn("n_chars", n_chars.cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
+    return changed.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' tokens in sequences of 1024: one row for each piece."""
+    pieces = packing.token_pieces(docs, byte_bpe())
+    return packing.pack(pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens"))
+
+
+def own(docs: DataFrame):
+    """All columns of the documents as one, so that added columns can't replace them."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("language ID", language),
+    ("MinHash near-dedup", near_duplicates),
+    ("substring dedup", repeated_passages),
+    ("packing", pack),
+]
 
-STAGES: list = []
 #: Trained models and rolling hashes are not expressible in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
-    for _, stage in STAGES:
+    """The pieces of all sequences; what a stage keeps is written to the shared folder."""
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            path = scratch_path(spark, f"pipeline-{i}")
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
     return docs
