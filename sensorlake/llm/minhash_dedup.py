@@ -5,13 +5,19 @@
 2. Two random permutations of the hash range give the whole signature: one is applied to
    the shingles, the other, shifted by one place for each coordinate, gives the coordinate's
    order (C-MinHash). Bands of coordinates put classes that may be alike in buckets.
-3. Links are confirmed on the full sets. In each bucket only some members (centres) are
-   compared with the others: first the least one, then, where members of different groups
-   remain, those of the smallest groups, until every pair of the bucket is either compared,
-   in one group already, or excluded by exact bounds (sizes of the sets, and the triangle
-   inequality with the first centre). So groups are those of all links within buckets, and
-   a bucket of many copies costs in proportion to its size.
-4. Groups are connected components of the links.
+3. Links are confirmed on the full sets. First the least member of each bucket is compared
+   with the others, and the linked ones form groups.
+4. Where a bucket still holds members of different groups, its members go through an exact
+   prefix filter: two sets at the threshold share one of their first shingles in any common
+   order, and the order is by frequency, so these are the rare ones, not those of a large
+   group of near copies. In each list of members with such a shingle the members of the
+   smaller groups are compared with all members of other groups, until no list holds two
+   groups. So no link between bucket members is lost, no pair within a group is emitted, and
+   a group of very many copies costs in proportion to its size.
+5. Groups are connected components of the links.
+
+Sets are told apart by 64-bit digests; among n different sets two are confused with a
+probability of n^2 / 2^65.
 
 With 32 bands of 4 rows a pair at the threshold 0.8 shares a bucket with a probability of
 1 - 5e-8.
@@ -30,15 +36,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from xxhash import xxh3_64_intdigest, xxh3_128_digest
+from xxhash import xxh3_64_intdigest
 
-from sensorlake.llm.components import connected_components
+from sensorlake.llm.components import connected_components, tasks_for
 from sensorlake.session import checkpoint_dir
 
 #: Shingles worked on at once, for bounded memory with very long texts.
 CHUNK = 4096
-#: Centres in each open bucket after the first round; doubled in every round.
-CENTRES = 16
+#: Members of smaller groups that are compared in each list at a time; doubled in every round.
+CENTRES = 64
+#: Counters of shingle frequencies. They order the prefix filter; any order is right.
+COUNTERS = 1 << 18
 
 
 def shingles(text: str | None, n: int) -> np.ndarray:
@@ -87,10 +95,15 @@ def band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
     return key.view("i8")
 
 
+def digest(s: np.ndarray) -> int | None:
+    """A signed 64-bit digest of a set; None if it is empty."""
+    return int(np.uint64(xxh3_64_intdigest(s.tobytes())).view("i8")) if len(s) else None
+
+
 def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     """doc_id, n_shingles, node (digest of the set), keys (one for each band)."""
     names = ["doc_id", "n_shingles", "node", "keys"]
-    types = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -98,105 +111,139 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
             for text in b.column(1):
                 s = shingles(text.as_py(), n)
                 sizes.append(len(s))
-                nodes.append(xxh3_128_digest(s.tobytes()) if len(s) else None)
+                nodes.append(digest(s))
                 keys.append(band_keys(signature(s, bands * rows), rows) if len(s) else None)
             columns = [b.column(0), *(pa.array(c, t) for c, t in zip((sizes, nodes, keys), types[1:], strict=True))]
             yield pa.RecordBatch.from_arrays(columns, names)
 
     columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return columns.mapInArrow(sign, "doc_id long, n_shingles long, node binary, keys array<long>")
+    return columns.mapInArrow(sign, "doc_id long, n_shingles long, node long, keys array<long>")
 
 
 def full_sets(docs: DataFrame, n: int) -> DataFrame:
-    """node and the full set of each text."""
+    """node and the full set of its text. Rows whose text has
+    another digest (a repeated doc_id with another text) are left out, copies count once."""
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingles(text.as_py(), n) for text in b.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([s.view("i8") for s in sets], pa.list_(pa.int64()))], ["node", "set"]
-            )
+            nodes, sets = [], []
+            for node, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                s = shingles(text.as_py(), n)
+                if digest(s) == node:
+                    nodes.append(node)
+                    sets.append(s.view("i8"))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "set"])
 
-    return docs.select("node", "text").mapInArrow(to_sets, "node binary, set array<long>")
+    found = docs.select("node", "text").mapInArrow(to_sets, "node long, set array<long>")
+    return found.dropDuplicates(["node"])
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``pairs`` (a, b) with the sizes of their intersection and union."""
+def links_among(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The ``pairs`` (a, b) whose full sets reach the threshold."""
     joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a")
     joined = joined.join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb")).cast("long")
-    return joined.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), common.alias("common")).select(
-        "a", "b", "common", (F.col("na") + F.col("nb") - F.col("common")).alias("either")
-    )
+    common = F.size(F.array_intersect("sa", "sb"))
+    sizes = joined.select("a", "b", (F.size("sa") + F.size("sb")).alias("both"), common.alias("common"))
+    return sizes.where(100 * F.col("common") >= percent * (F.col("both") - F.col("common"))).select("a", "b")
+
+
+def prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """node, n (size of its set), and its first shingles (bucket) with their place from 0, in
+    the order of their frequency among ``sets``. The frequencies are counted by hash, in a
+    table of fixed size."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, dtype="i8")
+        for b in batches:
+            values = b.column(0).flatten().to_numpy().view("u8")
+            total += np.bincount((values >> np.uint64(40)) % np.uint64(COUNTERS), minlength=COUNTERS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["k", "n"])
+
+    counted = sets.select("set").mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toPandas()
+    frequency = np.zeros(COUNTERS, dtype="i8")
+    frequency[counted["k"].to_numpy(dtype="i8")] = counted["n"].to_numpy(dtype="i8")
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            columns: list[list[np.ndarray]] = [[], [], [], []]
+            for node, values in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                s = values.values.to_numpy().view("u8")
+                # Beyond this place no set of a linked size can have its first common shingle.
+                n, most = len(s), len(s) - -(-percent * len(s) // 100) + 1
+                order = np.lexsort((s, frequency[(s >> np.uint64(40)) % np.uint64(COUNTERS)]))[:most]
+                found = s[order].view("i8"), np.full(most, node), np.full(most, n), np.arange(most)
+                for c, v in zip(columns, found, strict=True):
+                    c.append(v)
+            arrays = [pa.array(np.concatenate(c).astype("i8")) for c in columns]
+            yield pa.RecordBatch.from_arrays(arrays, ["bucket", "node", "n", "place"])
+
+    return sets.select("node", "set").mapInArrow(first, "bucket long, node long, n long, place long")
 
 
 def link_groups(docs: DataFrame, n: int = 5, percent: int = 80, bands: int = 32, rows: int = 4) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs`` (doc_id, text); texts
     with 100 * intersection >= ``percent`` * union are linked."""
-    spark = docs.sparkSession
-    checkpoint_dir(spark)
+    checkpoint_dir(docs.sparkSession)
     signed = signatures(docs, n, bands, rows).checkpoint()
     real = signed.where("node is not null and doc_id is not null")
-    classes = real.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"))
-    filed = classes.select("node", "n", F.explode("keys").alias("bucket"))
-    shared = filed.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("centre")).where("size > 1")
-    members = filed.join(shared.select("bucket", "centre"), "bucket").checkpoint()
+    classes = real.groupBy("node").agg(F.min("doc_id").alias("least"), F.max("n_shingles").alias("n"))
+    filed = real.select("node", F.col("n_shingles").alias("n"), F.explode("keys").alias("bucket"))
+    shared = filed.groupBy("bucket").agg(F.min("node").alias("centre"), F.max("node").alias("last")).where("centre < last")
+    members = filed.join(shared.select("bucket", "centre"), "bucket").distinct().checkpoint()
 
     # The texts of one document of each class that shares a bucket, as sets.
-    needed = members.select("node").distinct().join(classes.select("node", "least"), "node")
+    needed = members.select("node").distinct().join(classes, "node").select("node", "least")
     texts = docs.select(F.col("doc_id").cast("long").alias("least"), F.col("text").cast("string").alias("text"))
-    sets = full_sets(texts.join(needed, "least"), n).dropDuplicates(["node"])
-    # A repeated doc_id can bring another text with it; its set then has another digest.
-    sets = sets.checkpoint()
+    sets = full_sets(texts.join(needed, "least"), n).checkpoint()
 
     small, large = F.least("n", "other_n"), F.greatest("n", "other_n")
     alike = 100 * small >= percent * large
     first = members.where("node <> centre").select("node", "centre", "n").distinct()
     sizes = classes.select(F.col("node").alias("centre"), F.col("n").alias("other_n"))
     pairs = first.join(sizes, "centre").where(alike).select(F.col("centre").alias("a"), F.col("node").alias("b"))
-    done = verified(pairs, sets).checkpoint()
-    linked = 100 * F.col("common") >= percent * F.col("either")
-    links = done.where(linked).select("a", "b")
-
-    # Distance from the bucket's first centre, for the triangle inequality.
-    distance = done.select(
-        F.col("a").alias("centre"), F.col("b").alias("node"), (1 - F.col("common") / F.col("either")).alias("d")
-    )
-    members = members.where("node <> centre").join(distance, ["centre", "node"], "left").select("bucket", "node", "n", "d")
+    links = links_among(pairs, sets, percent).checkpoint()
+    groups = connected_components(links, "a", "b").checkpoint()
+
+    def open_ones(listed: DataFrame) -> DataFrame:
+        """Members of the lists that hold several groups, with their group."""
+        grouped = listed.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        several = grouped.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
+        return grouped.join(several.select("bucket"), "bucket", "left_semi")
+
+    unclear = open_ones(members.where("node <> centre").select("bucket", "node")).select("node").distinct().checkpoint()
+    members = prefixes(sets.join(unclear, "node", "left_semi"), percent)
+    # With at least this much in common, the first common shingle stands before either set's rest.
+    least_common = F.ceil((F.col("n") + F.col("other_n")) * percent / (100 + percent) - 1e-9)
+    near = (F.col("place") <= F.col("n") - least_common) & (F.col("other_place") <= F.col("other_n") - least_common)
     centres = CENTRES
     while True:
-        groups = connected_components(links, "a", "b").checkpoint()
-        grouped = members.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        parts = grouped.groupBy("bucket", "component").agg(F.count("*").alias("part"))
-        open_ = parts.groupBy("bucket").agg(F.count("*").alias("parts")).where("parts > 1").select("bucket")
-        members = grouped.join(open_, "bucket", "left_semi").join(parts, ["bucket", "component"]).checkpoint()
+        members = open_ones(members)
+        members = members.coalesce(tasks_for(members.count())).checkpoint()
         if members.isEmpty():
             break
-        order = Window.partitionBy("bucket").orderBy("part", "node")
-        chosen = members.withColumn("r", F.row_number().over(order)).where(F.col("r") <= centres)
-        chosen = chosen.select(
+        parts = members.groupBy("bucket", "component").agg(F.count("*").alias("part"))
+        order = Window.partitionBy("bucket").orderBy("part", "component", "node")
+        ranked = members.join(parts, ["bucket", "component"]).withColumn("r", F.row_number().over(order))
+        chosen = ranked.where(F.col("r") <= centres).select(
             "bucket",
             F.col("node").alias("other"),
             F.col("n").alias("other_n"),
-            F.col("d").alias("other_d"),
+            F.col("place").alias("other_place"),
             F.col("component").alias("other_component"),
-        ).checkpoint()
-        near = F.col("d").isNull() | F.col("other_d").isNull() | (F.abs(F.col("d") - F.col("other_d")) <= 1 - percent / 100 + 1e-9)
+        )
+        chosen = chosen.coalesce(tasks_for(chosen.count())).checkpoint()
         pairs = (
             members.join(chosen, "bucket")
             .where((F.col("component") != F.col("other_component")) & alike & near)
             .select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
             .distinct()
-            .join(done.select("a", "b"), ["a", "b"], "left_anti")
-        )
-        found = verified(pairs, sets).checkpoint()
-        done = done.unionByName(found).checkpoint()
-        links = done.where(linked).select("a", "b")
-        members = (
-            members.join(chosen.select("bucket", F.col("other").alias("node")), ["bucket", "node"], "left_anti")
-            .select("bucket", "node", "n", "d")
-            .checkpoint()
         )
+        links = links.unionByName(links_among(pairs, sets, percent)).checkpoint()
+        groups = connected_components(links, "a", "b").checkpoint()
+        members = members.join(
+            chosen.select("bucket", F.col("other").alias("node")), ["bucket", "node"], "left_anti"
+        ).select("bucket", "node", "n", "place")
         centres *= 2
 
     named = classes.select("node", "least").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))

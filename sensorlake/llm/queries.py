@@ -6,7 +6,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorlake.llm import bpe_stream, chunk_dedup, language_id, main_text, minhash_dedup, quality_gam
+from sensorlake.llm import (
+    bpe_stream,
+    chunk_dedup,
+    language_id,
+    main_text,
+    minhash_dedup,
+    quality_gam,
+    window_lm,
+)
 from sensorlake.llm.packing import pack, token_pieces
 from sensorlake.llm.srs_ann import srs_neighbours
 from sensorlake.llm.vectors import usable
@@ -36,6 +44,12 @@ def op5_srs_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return srs_neighbours(rows.select("vec_id", doubles.alias("v")), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op3_window_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pseudo-log-likelihood of every document under a network trained on all of them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return window_lm.score(docs, *window_lm.train(docs))
+
+
 def byte_bpe() -> tuple:
     """The byte-level vocabulary: ranks, word pattern, and the one special token."""
     import public_tokenizers
@@ -101,6 +115,7 @@ def op10_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_voronoi_knn": op1_voronoi_knn,
     "op2_language_id": op2_language_id,
+    "op3_window_lm": op3_window_lm,
     "op4_packing": op4_packing,
     "op5_srs_neighbours": op5_srs_neighbours,
     "op6_minhash_dedup": op6_minhash_dedup,
