@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from sensorlake.llm import chunk_dedup, language_id, minhash_dedup, packing, quality_gam  # noqa: E402
+from sensorlake.llm.columns import unused  # noqa: E402
 from sensorlake.llm.queries import byte_bpe, table  # noqa: E402
 from sensorlake.session import scratch_path  # noqa: E402
 
@@ -30,23 +31,25 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
     model = quality_gam.train(docs, labels)
-    return quality_gam.rate(docs.withColumn("_own", own(docs)), model).where("predicted = 1").select("_own.*")
+    return quality_gam.rate(docs.select("text", own(docs)), model).where("predicted = 1").select("_own.*")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that can be told."""
     model = language_id.train(docs, F.lit(True))
-    found = language_id.identify(docs.withColumn("_own", own(docs)), model)
+    found = language_id.identify(docs.select("text", own(docs)), model)
     return found.where((F.col("lang_pred") != language_id.UND) & (F.col("score") >= LEAST_CERTAIN)).select("_own.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five words, 0.8)."""
     groups = minhash_dedup.link_groups(docs.select("doc_id", "text"), n=5, percent=80)
-    gone = groups.where(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct()
-    left = docs.join(gone, F.col("doc_id").cast("long") == F.col("_id"), "left_anti")
-    copied = groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id"))
-    same = F.col("doc_id").cast("long") == F.col("_id")
+    key = unused(docs, "_id")
+    same = F.col("doc_id").cast("long") == F.col(key)
+    gone = groups.where(~F.col("kept")).select(F.col("doc_id").alias(key)).distinct()
+    left = docs.join(gone, same, "left_anti")
+    counts = groups.where("doc_id is not null").groupBy("doc_id").count()
+    copied = counts.where("count > 1").select(F.col("doc_id").alias(key))
     once = left.join(copied, same, "left_semi").dropDuplicates(["doc_id"])
     return left.join(copied, same, "left_anti").unionByName(once)
 
@@ -67,7 +70,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def own(docs: DataFrame):
     """All columns of the documents as one, so that added columns can't replace them."""
-    return F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_own")
 
 
 STAGES = [

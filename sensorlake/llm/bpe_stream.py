@@ -62,7 +62,7 @@ class Merges:
         self.rank = {p: i for i, p in enumerate(pairs)}
         made: dict[str, int] = {}
         for i, (a, b) in enumerate(pairs):
-            if made.get(a, -1) >= i or made.get(b, -1) >= i or a + b in made:
+            if a + b in made or any(p not in made and len(p.removesuffix(suffix)) > 1 for p in (a, b)):
                 raise ValueError(f"rule {i} of the merge list stands before its parts or repeats a token")
             made[a + b] = i
         self.suffix = suffix

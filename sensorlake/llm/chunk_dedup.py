@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
+from sensorlake.llm.columns import unused
 from sensorlake.session import checkpoint_dir
 
 #: Odd base of the digests' polynomial, and its inverse modulo 2^64.
@@ -161,20 +162,20 @@ def remove_repeats(
 
         return pd.Series([one(t, r) for t, r in zip(text, repeated, strict=True)], dtype=object)
 
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("spans", "n_removed")]
-    marks = marks.withColumnRenamed("doc_id", "_id")
-    joined = docs.join(marks, F.col("doc_id").cast("long") == F.col("_id"), "left").select(*kept, "_repeats")
+    repeated, key, cut = (unused(docs, c) for c in ("_repeats", "_id", "_cut"))
+    marks = marks.select(F.col("doc_id").alias(key), F.col("_repeats").alias(repeated))
+    joined = docs.join(marks, F.col("doc_id").cast("long") == F.col(key), "left").drop(key)
     text = F.col("text").cast("string")
     # Only texts with a repeated window go to Python.
-    found = joined.withColumn("_cut", spans.asNondeterministic()(F.when(F.col("_repeats").isNotNull(), text), "_repeats"))
-    cut = F.coalesce("_cut", F.array().cast("array<struct<start:int,end:int>>"))
-    found = found.withColumn("_cut", cut)
-    begins = F.concat(F.array(F.lit(0)), F.transform("_cut", lambda s: s["end"]))
-    ends = F.concat(F.transform("_cut", lambda s: s["start"]), F.array(F.length(text)))
+    found = joined.withColumn(cut, spans.asNondeterministic()(F.when(F.col(repeated).isNotNull(), text), repeated))
+    found = found.withColumn(cut, F.coalesce(cut, F.array().cast("array<struct<start:int,end:int>>")))
+    begins = F.concat(F.array(F.lit(0)), F.transform(cut, lambda s: s["end"]))
+    ends = F.concat(F.transform(cut, lambda s: s["start"]), F.array(F.length(text)))
     parts = F.zip_with(begins, ends, lambda a, b: text.substr(a + 1, b - a))
-    left = F.when(F.size("_cut") > 0, F.array_join(parts, "")).otherwise(text)
+    left = F.when(F.size(cut) > 0, F.array_join(parts, "")).otherwise(text)
+    kept = [c for c in docs.columns if c.lower() not in ("spans", "n_removed")]
     return found.select(
-        *[left.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in ("spans", "n_removed")],
-        F.col("_cut").alias("spans"),
-        F.aggregate("_cut", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"]).alias("n_removed"),
+        *[left.alias("text") if c == "text" else F.col(f"`{c}`") for c in kept],
+        F.col(cut).alias("spans"),
+        F.aggregate(cut, F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"]).alias("n_removed"),
     )

@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sensorlake.llm.columns import others, unused
+
 #: Hash buckets of character n-grams.
 BUCKETS = 1 << 14
 UND = "und"
@@ -196,6 +198,8 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
         for s in texts:
             yield pd.DataFrame([model.predict(t) for t in s], columns=["lang", "score"])
 
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")]
-    found = docs.select(*docs.columns, predict.asNondeterministic()(F.col(text).cast("string")).alias("_found"))
-    return found.select(*kept, F.col("_found.lang").alias("lang_pred"), F.col("_found.score").alias("score"))
+    found = unused(docs, "_found")
+    predicted = docs.withColumn(found, predict.asNondeterministic()(F.col(text).cast("string")))
+    return predicted.select(
+        *others(docs, "lang_pred", "score"), F.col(found)["lang"].alias("lang_pred"), F.col(found)["score"].alias("score")
+    )

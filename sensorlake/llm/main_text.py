@@ -3,9 +3,10 @@
 A page is read as a stream of tags and text and cut into blocks at block-level tags. First
 pass: each block is judged by itself. Blocks within menus, headers, footers, sidebars,
 notices, adverts, forms, comments and the like are bad, and so are blocks that are mostly
-links; long blocks with many stop words are good, and so are long blocks of an article or
-main element; short blocks and headings stay open. Second pass: an open block takes the
-label of the nearest decided block; in an article only blocks of that article count.
+links; long blocks with many stop words are good, and so are blocks without a link in an
+article or main element; headings and other short blocks stay open. Second pass: an open
+block takes the label of the nearest decided block; in an article only blocks of that
+article count.
 
 Defined cases: null or empty html gives the empty string; unclosed and unmatched tags,
 comments and scripts that never end, and text without any tag are read as far as they go;
@@ -22,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sensorlake.llm.columns import others
+
 # Elements by kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noembed noframes iframe".split())
@@ -75,7 +78,7 @@ STOP_WORDS = frozenset(
 
 _TOKEN = re.compile(
     r"<!--(?:>|->|.*?(?:-->|--!>|\Z))|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)"
-    r"|<([a-zA-Z][^\s/>]*)((?:[^\"'>]|=\s*\"[^\"]*\"|=\s*'[^']*'|[\"'])*?)(?:>|\Z)",
+    r"|<([a-zA-Z][^\s/>]*)((?:[^\"'>=]++|=\s*+(?:\"[^\"]*\"|'[^']*')?|[\"'])*+)(?:>|\Z)",
     re.DOTALL,
 )
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
@@ -183,12 +186,14 @@ def first_pass(b: Block, short: int, long: int, max_links: float, stop_low: floa
     size, linked = len(b.text), b.linked / max(1, len(b.text))
     if linked > (0.8 if b.article else max_links):
         return False
+    if b.article and not b.heading and not b.linked:
+        return True
+    if not b.article and "©" in b.text:
+        return False
     if b.heading or size < short:
         return None
     if b.article:
         return True
-    if "©" in b.text:
-        return False
     words = b.text.lower().split()
     stops = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
     if stops >= stop_low:
@@ -238,7 +243,7 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
     def extracted(column: pd.Series) -> pd.Series:
         return pd.Series([main_text(h) for h in column], dtype=object)
 
-    kept = [F.col(f"`{c}`") for c in pages.columns if c not in (html, "text", "n_chars")]
+    kept = others(pages, html.lower(), "text", "n_chars")
     text = extracted.asNondeterministic()(F.col(f"`{html}`").cast("string"))
     found = pages.select(*kept, text.alias("text"))
     return found.withColumn("n_chars", F.length("text").cast("long"))

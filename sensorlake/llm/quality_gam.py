@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sensorlake.llm.columns import others, unused
+
 FEATURES = [
     "log_chars", "log_words", "word_length", "long_words", "lower", "upper", "digit", "space", "mark", "symbol",
     "capital_words", "marked_words", "bare_words", "distinct_words", "top_word", "distinct_trigrams",
@@ -203,7 +205,9 @@ def rate(docs: DataFrame, model: QualityModel, threshold: float = 0.7) -> DataFr
             x = np.array([text_features(t) for t in s]).reshape(-1, len(FEATURES))
             yield pd.Series(model.score(x))
 
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("score", "predicted")]
-    found = docs.select(*docs.columns, predict.asNondeterministic()(F.col("text").cast("string")).alias("_score"))
-    score = F.col("_score")
-    return found.select(*kept, score.alias("score"), (score >= threshold).cast("int").alias("predicted"))
+    found = unused(docs, "_found")
+    rated = docs.withColumn(found, predict.asNondeterministic()(F.col("text").cast("string")))
+    score = F.col(found)
+    return rated.select(
+        *others(docs, "score", "predicted"), score.alias("score"), (score >= threshold).cast("int").alias("predicted")
+    )
