@@ -40,12 +40,13 @@ def norm_name(name: str) -> str:
 
 
 def stable_uuid(*cols) -> Column:
-    """UUID-shaped text (8-4-4-4-12) from the md5 of ``cols`` joined by ``|``.
+    """UUID-shaped text (8-4-4-4-12) from the md5 of ``cols`` joined by ``|`` (a NULL is
+    written as ``\\N``, so it is told apart from a column that isn't there).
 
     The same message (topic, partition, offset) always gets the same id, so a replayed
     micro-batch can be de-duplicated by ``id``.
     """
-    h = F.md5(F.concat_ws("|", *[_col(c).cast("string") for c in cols]))
+    h = F.md5(F.concat_ws("|", *[F.coalesce(_col(c).cast("string"), F.lit("\\N")) for c in cols]))
     return F.concat_ws(
         "-",
         F.substring(h, 1, 8),

@@ -157,7 +157,8 @@ def decode_epoch_ms(c, ntz: bool = True) -> Column:
 
 
 def hour_of_day(c) -> Column:
-    """Fractional hour: hour + minute / 60, seconds ignored."""
+    """Fractional hour of a wall clock: hour + minute / 60, seconds ignored. Give an instant
+    as ``utc_wall_clock(instant)``; as it is, Spark would take its hour in the session zone."""
     c = _col(c)
     return F.hour(c) + F.minute(c) / F.lit(60.0)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -13,30 +13,25 @@ def error_summary(
     sample: str = "body",
     n_samples: int = 2,
 ) -> DataFrame:
-    """Per reason: the error count, the first ``n_samples`` errors in ``order``
-    (``sample_<i>_order`` and ``sample_<i>``), and how many more were suppressed.
+    """Per reason (NULL is one): the error count, the first ``n_samples`` errors in
+    ``order`` then ``sample`` (``sample_<i>_order`` and ``sample_<i>``; equal errors are
+    samples of their own, a NULL order comes last), and how many more were suppressed.
 
-    Every pass is a partial aggregation (count and ``min`` of a struct), so a reason that
-    holds most rows never gathers them in one task; the per-reason tables are as small as
-    the set of reasons and are broadcast between passes. No list of rows is built.
-    """
+    The counts are a partial aggregation. For the samples Spark keeps ``n_samples`` rows
+    per task and reason before the shuffle, so a reason that holds most rows never gathers
+    them in one task. Both are joined on the reason, a row for each."""
     src = bad.select(F.col(reason).alias("reason"), F.col(order).alias("_o"), F.col(sample).alias("_s"))
-    first = src.groupBy("reason").agg(
-        F.count(F.lit(1)).alias("errors"), F.min(F.struct("_o", "_s")).alias("_p1")
-    )
-    out = first
-    prev = first.select("reason", F.col("_p1._o").alias("_after"))
-    for i in range(2, n_samples + 1):
-        nxt = (
-            src.join(F.broadcast(prev), "reason")
-            .where(F.col("_o") > F.col("_after"))
-            .groupBy("reason")
-            .agg(F.min(F.struct("_o", "_s")).alias(f"_p{i}"))
-        )
-        out = out.join(F.broadcast(nxt), "reason", "left")
-        prev = nxt.select("reason", F.col(f"_p{i}._o").alias("_after"))
-    cols = [F.col("reason"), F.col("errors")]
+    counts = src.groupBy("reason").agg(F.count(F.lit(1)).alias("errors"))
+    first = Window.partitionBy("reason").orderBy(F.col("_o").asc_nulls_last(), F.col("_s").asc_nulls_last())
+    ranked = src.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= n_samples)
+    picked = []
     for i in range(1, n_samples + 1):
-        cols += [F.col(f"_p{i}._o").alias(f"sample_{i}_order"), F.col(f"_p{i}._s").alias(f"sample_{i}")]
-    cols.append(F.greatest(F.col("errors") - F.lit(n_samples), F.lit(0)).cast("long").alias("suppressed"))
-    return out.select(*cols)
+        mine = F.col("_r") == i
+        picked += [
+            F.max(F.when(mine, F.col("_o"))).alias(f"sample_{i}_order"),
+            F.max(F.when(mine, F.col("_s"))).alias(f"sample_{i}"),
+        ]
+    samples = ranked.groupBy(F.col("reason").alias("_reason")).agg(*picked)
+    joined = counts.join(samples, counts["reason"].eqNullSafe(samples["_reason"])).drop("_reason")
+    suppressed = F.greatest(F.col("errors") - F.lit(n_samples), F.lit(0)).cast("long")
+    return joined.withColumn("suppressed", suppressed)

@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampType
 
-from sensorlake.functions.time import diurnal_baseline
+from sensorlake.functions.time import diurnal_baseline, utc_wall_clock
 from sensorlake.operators.sequence import DEFAULT_ROWS_PER_SLICE, with_previous
 
 # The generator's bounds.
@@ -76,8 +77,10 @@ def step_flags(
 
 def temperature_residual(df: DataFrame, ts: str = "timestamp") -> DataFrame:
     """Add the departure of temperature from the diurnal baseline and whether it is
-    beyond the generator's noise (``abs > 0.3`` plus rounding slack)."""
-    resid = F.col("temperature").cast("double") - diurnal_baseline(F.col(ts))
+    beyond the generator's noise (``abs > 0.3`` plus rounding slack). The hour is that of
+    UTC, whatever the session's zone."""
+    clock = utc_wall_clock(ts) if isinstance(df.schema[ts].dataType, TimestampType) else F.col(ts)
+    resid = F.col("temperature").cast("double") - diurnal_baseline(clock)
     return df.select(
         "*",
         resid.alias("temperature_residual"),

@@ -25,12 +25,13 @@ def with_id(
 
     ``mode="random"``: a random UUID per row, as the original job does; a replayed
     micro-batch gets new ids. ``mode="stable"``: UUID-shaped md5 of the message
-    coordinates ``keys``, identical on replay.
+    coordinates ``keys``, identical on replay. Rows whose last key (the offset) is NULL
+    can't be told apart by their coordinates and get a random id.
     """
     if mode == "random":
         return df.withColumn(name, F.expr("uuid()"))
     if mode == "stable":
-        return df.withColumn(name, stable_uuid(*keys))
+        return df.withColumn(name, F.when(F.col(keys[-1]).isNotNull(), stable_uuid(*keys)).otherwise(F.expr("uuid()")))
     raise ValueError(f"unknown id mode {mode!r}")
 
 

@@ -78,8 +78,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
         "spark.checkpoint.dir", None
     )
     if not configured:
-        # Only reached in local runs that name no shared folder (tests).
-        configured = tempfile.mkdtemp(prefix="sensorlake-ckpt-")
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        configured = tempfile.mkdtemp(prefix="sensorlake-ckpt-")  # one process: tests
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 

@@ -102,8 +102,10 @@ def encode_messages(
 
     The body has the five metrics and the timestamp as ISO text (``isoformat`` layout);
     ``to_json`` leaves NULL fields out, which decodes the same as an explicit null.
-    ``key``/``partition``/``offset``/``timestamp`` fill the envelope columns (NULL when
-    not given) so the result can be written to Kafka or stored as a file stream.
+    ``key``/``partition``/``offset``/``timestamp`` fill the envelope columns so the result
+    can be written to Kafka or stored as a file stream. Without ``partition`` it is 0, and
+    without ``offset`` the messages are numbered, so that each has coordinates of its own;
+    ``key`` and ``timestamp`` are NULL when not given.
     """
     body = F.to_json(
         F.struct(*[F.col(m) for m in METRICS], iso_ts(F.col(ts_col)).alias("timestamp"))
@@ -112,8 +114,8 @@ def encode_messages(
         (_col(key).cast("string").cast("binary") if key is not None else F.lit(None).cast("binary")).alias("key"),
         body.cast("binary").alias("value"),
         F.lit(topic).alias("topic"),
-        (_col(partition) if partition is not None else F.lit(None)).cast("int").alias("partition"),
-        (_col(offset) if offset is not None else F.lit(None)).cast("long").alias("offset"),
+        (_col(partition) if partition is not None else F.lit(0)).cast("int").alias("partition"),
+        (_col(offset) if offset is not None else F.monotonically_increasing_id()).cast("long").alias("offset"),
         (_col(timestamp) if timestamp is not None else F.lit(None)).cast("timestamp").alias("timestamp"),
         F.lit(0).alias("timestampType"),
     )
