@@ -2,24 +2,24 @@
 
 A plain ``Window.partitionBy(key)`` puts every row of a key into one task, so a sensor
 with a third of all rows would make one task sort a third of the table. Here a key
-with more than ``rows_per_slice`` rows is cut into contiguous slices of its ordering
-column, and the window runs per ``(key, slice)``:
-
-1. one aggregation over (key, order column) finds the heavy keys with their value range.
-   By default ``rows_per_slice`` is a quarter of one task's fair share of the rows, so
-   at most ``4 x parallelism`` keys can be heavy, which bounds the table that is
-   broadcast; above ``max_broadcast_rows`` it is joined with a shuffle instead;
-2. each row gets ``_slice``: 0 for light keys, equal-width value bins of its range for
-   heavy keys (monotone in the order, so slices concatenate in order);
-3. the window is partitioned by ``(key, _slice)``: one shuffle of the data;
+with more than ``rows_per_slice`` rows is cut into contiguous slices of its order,
+and the window runs per ``(key, slice)``:
+
+1. one aggregation counts the rows of each key. By default ``rows_per_slice`` is a quarter
+   of one task's fair share of the rows, so at most ``4 x parallelism`` keys can be heavy,
+   which bounds the table that is broadcast; above ``max_broadcast_rows`` it is joined
+   with a shuffle instead;
+2. for the heavy keys a sample of rows (by a hash of the order columns, about
+   ``SAMPLE_PER_SLICE`` for each slice) gives the split points: quantiles of the whole order
+   tuple, so that outliers, bursts, equal times and NULL or NaN times are cut evenly too;
+3. each row gets ``_slice``: 0 for light keys, the number of split points not after it for
+   heavy keys. The window is partitioned by ``(key, _slice)``: one shuffle of the data;
 4. what crosses a slice border (row counts before a slice, the last row of the previous
    slice) comes from a per-(heavy key, slice) aggregate whose size has the same bound,
    broadcast back.
 
-Correctness never depends on how even the slices are; balance does (bins are equal
-width in value, so a burst inside one heavy key gives a larger slice, which the
-window operator spills rather than fails on). The ordering must end in a unique column
-for the result to be deterministic.
+Correctness never depends on how even the slices are. The ordering must end in a unique
+column for the result to be deterministic, and for equal order values to be cut.
 """
 
 from __future__ import annotations
@@ -28,22 +28,20 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, NumericType, TimestampNTZType, TimestampType
 
-from sensorlake.functions.time import ts_micros
-from sensorlake.session import parallelism
+from sensorlake.session import checkpoint_dir, parallelism
 
 MIN_ROWS_PER_SLICE = 1_000
 SLICES_PER_TASK = 4
 DEFAULT_ROWS_PER_SLICE = None  # sized from the data, see auto_rows_per_slice
 DEFAULT_MAX_BROADCAST_ROWS = 1_000_000
+SAMPLE_PER_SLICE = 64
+HASH_RANGE = 1 << 30
 
 _ALL = "_all_rows"
 _SLICE = "_slice"
 _NS = "_n_slices"
-_LO = "_lo"
-_HI = "_hi"
-_OV = "_ov"
+_CUTS = "_cuts"
 
 
 def _cols(cols) -> list[str]:
@@ -52,21 +50,6 @@ def _cols(cols) -> list[str]:
     return [cols] if isinstance(cols, str) else list(cols)
 
 
-def order_value(df: DataFrame, name: str) -> Column:
-    """A double that is monotone in column ``name`` (timestamp, date or number)."""
-    dtype = df.schema[name].dataType
-    c = F.col(name)
-    if isinstance(dtype, TimestampType):
-        return ts_micros(c).cast("double")
-    if isinstance(dtype, TimestampNTZType):
-        return ts_micros(c, "timestamp_ntz").cast("double")
-    if isinstance(dtype, DateType):
-        return F.unix_date(c).cast("double")
-    if isinstance(dtype, NumericType):
-        return c.cast("double")
-    raise TypeError(f"cannot slice on column {name!r} of type {dtype.simpleString()}")
-
-
 @dataclass
 class Sliced:
     df: DataFrame  # input plus _slice (and slicing helpers)
@@ -100,7 +83,7 @@ def auto_rows_per_slice(spark, total_rows: int) -> int:
 def slice_keys(
     df: DataFrame,
     partition_by,
-    order_col: str,
+    order,
     rows_per_slice: int | None = None,
     max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
     descending: bool = False,
@@ -108,63 +91,52 @@ def slice_keys(
     """Attach ``_slice`` (see module doc). ``rows_per_slice=None`` sizes slices from the
     row count and the cluster's parallelism. ``descending`` numbers slices from the
     largest values down (NULL order values last, as Spark orders them descending)."""
-    keys = _cols(partition_by)
+    keys, order = _cols(partition_by), _cols(order)
     helpers: list[str] = []
+    base = df
     if not keys:
-        df = df.withColumn(_ALL, F.lit(0))
+        base = df.withColumn(_ALL, F.lit(0))
         keys = [_ALL]
         helpers.append(_ALL)
-    base = df.withColumn(_OV, order_value(df, order_col))
-    # One row per key: partial aggregation, so a hot key costs one row per map task.
-    stats = base.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.min(_OV).alias(_LO), F.max(_OV).alias(_HI)
-    )
-    # One small job decides whether any key needs cutting; without skew nothing else runs.
+    # One row per key: partial aggregation, so a hot key costs one row per map task. Kept in
+    # the shared checkpoint folder: its totals and its heavy keys are both read.
+    checkpoint_dir(df.sparkSession)
+    stats = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).checkpoint()
     sizes = stats.agg(F.sum("_n").alias("total"), F.max("_n").alias("biggest")).first()
     total, biggest = int(sizes["total"] or 0), int(sizes["biggest"] or 0)
     if rows_per_slice is None:
         rows_per_slice = auto_rows_per_slice(df.sparkSession, total)
-    helpers += [_OV]
+    helpers += [_SLICE, _NS]
     if biggest <= rows_per_slice:
         out = base.withColumn(_SLICE, F.lit(0).cast("long")).withColumn(_NS, F.lit(None).cast("long"))
-        return Sliced(out, keys, None, 0, 0, max_broadcast_rows, tuple(helpers + [_SLICE, _NS]))
+        return Sliced(out, keys, None, 0, 0, max_broadcast_rows, tuple(helpers))
     # At most total / rows_per_slice keys can pass this filter: the proven size bound.
-    # Written to the shared checkpoint folder so the joins below neither recompute the
-    # key statistics nor depend on a live executor.
-    heavy = (
-        stats.where(F.col("_n") > F.lit(rows_per_slice))
-        .select(*keys, _LO, _HI, F.ceil(F.col("_n") / F.lit(rows_per_slice)).cast("long").alias(_NS))
-        .checkpoint(eager=True)
+    heavy = stats.where(F.col("_n") > F.lit(rows_per_slice)).withColumn(
+        _NS, F.ceil(F.col("_n") / F.lit(rows_per_slice)).cast("long")
     )
-    if _ALL in keys:
-        # One sequence over everything: the single heavy row becomes literals, no join.
-        h = heavy.first()
-        n_heavy, n_slices = 1, int(h[_NS])
-        joined = base.select(
-            "*",
-            F.lit(h[_LO]).cast("double").alias(_LO),
-            F.lit(h[_HI]).cast("double").alias(_HI),
-            F.lit(n_slices).cast("long").alias(_NS),
-        )
-    else:
-        row = heavy.agg(F.count(F.lit(1)).alias("n"), F.sum(_NS).alias("s")).first()
-        n_heavy, n_slices = int(row["n"]), int(row["s"] or 0)
-        joined = _null_safe_join(base, heavy, keys, "left", n_heavy, max_broadcast_rows)
-    span = F.greatest(F.col(_HI) - F.col(_LO), F.lit(1e-9))
-    binned = F.floor((F.col(_OV) - F.col(_LO)) / span * F.col(_NS))
-    # NULL order values sort first, so they belong to slice 0 (``least`` would skip
-    # the NULL and send them to the last slice).
-    last = F.col(_NS) - 1
-    if descending:
-        slice_ = (
-            F.when(F.col(_NS).isNull(), F.lit(0))
-            .when(F.col(_OV).isNull(), last)
-            .otherwise(last - F.least(binned, last))
-        )
-    else:
-        slice_ = F.when(F.col(_NS).isNull() | F.col(_OV).isNull(), F.lit(0)).otherwise(F.least(binned, last))
-    out = joined.withColumn(_SLICE, slice_.cast("long")).drop(_LO, _HI)
-    return Sliced(out, keys, heavy, n_heavy, n_slices, max_broadcast_rows, tuple(helpers + [_SLICE, _NS]))
+    row = heavy.agg(F.count(F.lit(1)).alias("n"), F.sum(_NS).alias("s")).first()
+    n_heavy, n_slices = int(row["n"]), int(row["s"] or 0)
+    place = F.struct(*[F.col(c) for c in order])
+    share = F.lit(float(SAMPLE_PER_SLICE)) * F.col(_NS) / F.col("_n") * F.lit(float(HASH_RANGE))
+    sampled = _null_safe_join(base.select(*keys, *[c for c in order if c not in keys]), heavy, keys, "inner", n_heavy, max_broadcast_rows)
+    sampled = sampled.where(F.pmod(F.xxhash64(*order), F.lit(HASH_RANGE)) < share)
+    # About SAMPLE_PER_SLICE x slices places of each heavy key, whatever the key's size.
+    places = F.sort_array(F.collect_list(place))
+    nth = F.transform(
+        F.sequence(F.lit(1).cast("long"), F.col(_NS) - 1),
+        lambda i: F.element_at("_places", (F.floor(i * F.size("_places") / F.col(_NS)) + 1).cast("int")),
+    )
+    cuts = (
+        sampled.groupBy(*keys)
+        .agg(places.alias("_places"), F.max(_NS).alias(_NS))
+        .select(*keys, F.when(F.col(_NS) > 1, F.array_distinct(nth)).alias(_CUTS), _NS)
+        .checkpoint()
+    )
+    joined = _null_safe_join(base, cuts, keys, "left", n_heavy, max_broadcast_rows)
+    passed = F.size(F.filter(_CUTS, lambda cut: cut <= place)).cast("long")
+    slice_ = (F.col(_NS) - 1 - passed) if descending else passed
+    out = joined.withColumn(_SLICE, F.when(F.col(_CUTS).isNull(), F.lit(0).cast("long")).otherwise(slice_)).drop(_CUTS)
+    return Sliced(out, keys, cuts, n_heavy, n_slices, max_broadcast_rows, tuple(helpers))
 
 
 def _order_cols(order, descending: bool = False) -> list[Column]:
@@ -183,11 +155,11 @@ def number_rows(
     """1-based row number (bigint) per ``partition_by`` in ``order`` (batch only).
 
     With no ``partition_by`` the whole input is one sequence, still cut into slices so
-    it never funnels through a single task. ``order`` is a list of column names; the
-    first is the slicing column. ``descending`` orders every column descending.
+    it never funnels through a single task. ``order`` is a list of column names.
+    ``descending`` orders every column descending.
     """
     order = _cols(order)
-    s = slice_keys(df, partition_by, order[0], rows_per_slice, max_broadcast_rows, descending)
+    s = slice_keys(df, partition_by, order, rows_per_slice, max_broadcast_rows, descending)
     w = Window.partitionBy(*s.keys, _SLICE).orderBy(*_order_cols(order, descending))
     out = s.df.withColumn("_rn", F.row_number().over(w).cast("long"))
     if s.n_heavy:
@@ -219,7 +191,7 @@ def with_previous(
     """Add ``prefix + c`` = value of ``c`` in the previous row of the same key in
     ``order`` (``lag``), NULL on a key's first row (batch only)."""
     order, cols = _cols(order), _cols(cols)
-    s = slice_keys(df, partition_by, order[0], rows_per_slice, max_broadcast_rows, descending)
+    s = slice_keys(df, partition_by, order, rows_per_slice, max_broadcast_rows, descending)
     w = Window.partitionBy(*s.keys, _SLICE).orderBy(*_order_cols(order, descending))
     out = s.df.select(
         "*",

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -59,7 +60,7 @@ def test_with_previous_matches_lag(spark):
 
 def test_hot_key_is_split_and_light_keys_are_not(spark):
     df = skewed(spark)
-    s = slice_keys(df, "k", "ts", rows_per_slice=100)
+    s = slice_keys(df, "k", ["ts", "id"], rows_per_slice=100)
     per = {r.k: r.n for r in s.df.groupBy("k").agg(F.count_distinct("_slice").alias("n")).collect()}
     assert per[0] > 5
     assert all(n == 1 for k, n in per.items() if k not in (0, None))
@@ -86,3 +87,24 @@ def test_descending_order_matches_window(spark):
     assert as_map(got, "prev_v") == as_map(lagged, "prev_v")
     glob_want = df.withColumn("rn", F.row_number().over(Window.orderBy(F.col("ts").desc(), F.col("id").desc())).cast("long"))
     assert as_map(number_rows(df, ["ts", "id"], name="rn", rows_per_slice=150, descending=True), "rn") == as_map(glob_want, "rn")
+
+
+@pytest.mark.parametrize("kind", ["outlier", "nulls", "ties", "nan", "global"])
+def test_slices_stay_even(spark, kind):
+    n = 4000
+    rows = {
+        "outlier": [(i, 0, 10.0**18 if i == 7 else float(i)) for i in range(n)],
+        "nulls": [(i, 0, None if i % 2 else float(i)) for i in range(n)],
+        "ties": [(i, 0, 5.0 if i % 3 else float(i)) for i in range(n)],
+        "nan": [(i, 0, float("nan") if i % 2 else float("inf")) for i in range(n)],
+        "global": [(i, i, float(i * i)) for i in range(n)],
+    }[kind]
+    df = spark.createDataFrame(rows, "id long, k long, v double")
+    key = None if kind == "global" else "k"
+    for descending in (False, True):
+        s = slice_keys(df, key, ["v", "id"], rows_per_slice=400, descending=descending)
+        sizes = [r["count"] for r in s.df.groupBy("_slice").count().collect()]
+        assert len(sizes) == 10 and max(sizes) <= 2 * n / 10
+        got = number_rows(df, ["v", "id"], key, name="rn", rows_per_slice=400, descending=descending)
+        order = [F.col(c).desc() if descending else F.col(c) for c in ("v", "id")]
+        assert as_map(got, "rn") == as_map(brute_rn(df, ["k"] if key else [], order), "rn")
