@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import argparse
 import sys
+import uuid
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -25,8 +26,8 @@ from sensorlake.schema import ENVELOPE, METRICS, TABLE
 from sensorlake.session import get_session
 from sensorlake.sources.csv import export_csv, import_csv
 from sensorlake.sources.messages import kafka_options, read_messages
-from sensorlake.sources.table import read_table
-from sensorlake.streaming.ingest import compact_table, ingest_frame, start_ingest
+from sensorlake.sources.table import read_table, utc_date, write_batch
+from sensorlake.streaming.ingest import compact_table, ingest_frame, quarantine_frame, start_ingest
 
 # COPY option names and the keyword each maps to.
 COPY_OPTIONS = {
@@ -49,6 +50,7 @@ COPY_OPTIONS = {
     "MAXOUTPUTSIZE": ("maxoutputsize", int),
     "FLOATPRECISION": ("float_precision", int),
     "DOUBLEPRECISION": ("double_precision", int),
+    "MULTILINE": ("multiline", "bool"),
     "BEGINTOKEN": ("begintoken", int),
     "ENDTOKEN": ("endtoken", int),
 }
@@ -86,8 +88,15 @@ def cmd_ingest(spark: SparkSession, args) -> None:
     trigger = {"availableNow": True} if args.available_now else (
         {"processingTime": args.processing_time} if args.processing_time else None
     )
-    q = start_ingest(ingest_frame(stream, id_mode=args.id_mode), args.table, args.checkpoint, trigger=trigger)
+    if args.quarantine:
+        good, bad = quarantine_frame(stream, id_mode=args.id_mode)
+        side = start_ingest(bad, args.quarantine, f"{args.checkpoint.rstrip('/')}-bad", trigger, partition_by=())
+    else:
+        good, side = ingest_frame(stream, id_mode=args.id_mode), None
+    q = start_ingest(good, args.table, args.checkpoint, trigger=trigger)
     q.awaitTermination()
+    if side is not None:
+        side.awaitTermination()
 
 
 def cmd_report(spark: SparkSession, args) -> None:
@@ -108,13 +117,12 @@ def cmd_copy_to(spark: SparkSession, args) -> None:
 
 def cmd_copy_from(spark: SparkSession, args) -> None:
     kw = copy_kwargs(args.option)
-    schema = TABLE if not args.columns else None
-    good, _ = import_csv(spark, args.paths, schema or TABLE, columns=args.columns or None, **kw)
-    if "reading_date" not in good.columns:
-        good = good.withColumn("reading_date", F.to_date("timestamp"))
-    good.select(*[c for c in TABLE.fieldNames() if c in good.columns]).write.mode("append").partitionBy(
-        "reading_date"
-    ).parquet(args.table)
+    good, _ = import_csv(spark, args.paths, TABLE, columns=args.columns or None, **kw)
+    if "timestamp" in good.columns:
+        good = good.withColumn("reading_date", utc_date("timestamp"))
+    empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in TABLE.fields if f.name not in good.columns]
+    rows = good.select("*", *empty).select(*TABLE.fieldNames())
+    write_batch(rows, args.table, args.source or f"copy-{uuid.uuid4().hex}")
 
 
 def cmd_compact(spark: SparkSession, args) -> None:
@@ -124,8 +132,8 @@ def cmd_compact(spark: SparkSession, args) -> None:
 def cmd_quality(spark: SparkSession, args) -> None:
     df = read_table(spark, args.table)
     flagged = temperature_residual(range_flags(df))
-    flagged = step_flags(flagged, sensor=args.sensor or [], ts="timestamp", tiebreak=("id",))
-    cols = ["id", "timestamp", *METRICS] + [c for c in flagged.columns if c.endswith(("_ok", "_in_range", "_step"))]
+    flagged = step_flags(flagged, sensor="sensor", ts="timestamp", tiebreak=("id",))
+    cols = ["id", "sensor", "timestamp", *METRICS] + [c for c in flagged.columns if c.endswith(("_ok", "_in_range", "_step"))]
     cols += ["temperature_residual", "temperature_off_baseline"]
     flagged.select(*dict.fromkeys(cols)).write.mode("overwrite").parquet(args.out)
 
@@ -146,6 +154,7 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--max-per-trigger", type=int, default=None)
     s.add_argument("--processing-time", default=None)
     s.add_argument("--available-now", action="store_true")
+    s.add_argument("--quarantine", help="folder for messages that can't be read; without it they become rows of NULLs")
     s.add_argument("--id-mode", choices=["stable", "random"], default="stable")
     s.set_defaults(fn=cmd_ingest)
 
@@ -166,6 +175,7 @@ def parser() -> argparse.ArgumentParser:
     s = sub.add_parser("copy-from")
     s.add_argument("--table", required=True)
     s.add_argument("--paths", nargs="+", required=True)
+    s.add_argument("--source", help="name of this import's folder in the table; the same name again replaces it")
     s.add_argument("--columns", nargs="*")
     s.add_argument("--option", action="append", default=[])
     s.set_defaults(fn=cmd_copy_from)
@@ -178,7 +188,6 @@ def parser() -> argparse.ArgumentParser:
     s = sub.add_parser("quality")
     s.add_argument("--table", required=True)
     s.add_argument("--out", required=True)
-    s.add_argument("--sensor", nargs="*", help="key columns of a sensor (default: one sequence)")
     s.set_defaults(fn=cmd_quality)
     return p
 

@@ -66,12 +66,14 @@ def page(
 
 
 def _after(cols: list[str], vals: list) -> Column:
-    """Lexicographic ``(cols) > (vals)`` as an OR of prefix equalities."""
+    """Lexicographic ``(cols) > (vals)`` as an OR of prefix equalities; a NULL comes before
+    every value, as in Spark's ascending order."""
     cond = None
     for i in range(len(cols)):
-        term = F.col(cols[i]) > F.lit(vals[i])
+        term = F.col(cols[i]).isNotNull() if vals[i] is None else F.col(cols[i]) > F.lit(vals[i])
         for j in range(i):
-            term = term & (F.col(cols[j]) == F.lit(vals[j]))
+            same = F.col(cols[j]).isNull() if vals[j] is None else F.col(cols[j]) == F.lit(vals[j])
+            term = term & same
         cond = term if cond is None else (cond | term)
     return cond
 

@@ -7,8 +7,7 @@ date-partitioned Parquet table (Structured Streaming, ``availableNow`` by defaul
 
 from __future__ import annotations
 
-import re
-from datetime import date, timedelta
+from datetime import date, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,12 +16,9 @@ from sensorlake.operators.readings import presentation, report_columns
 from sensorlake.operators.report import latest, page
 from sensorlake.schema import ENVELOPE
 from sensorlake.sources.messages import read_messages
-from sensorlake.sources.table import read_table
+from sensorlake.sources.table import partition_dates, read_table
 from sensorlake.streaming.ingest import ingest_frame, start_ingest
 
-_DATE_DIR = re.compile(r"/reading_date=(\d{4}-\d{2}-\d{2})/")
-
-
 def ingest_to_table(
     spark: SparkSession,
     messages_path: str,
@@ -51,18 +47,6 @@ def ingest_to_table(
     return len(q.recentProgress)
 
 
-def partition_dates(spark: SparkSession, table_path: str) -> list[date]:
-    """Dates of the table's ``reading_date`` partitions, read off the file listing
-    Spark makes to plan any scan of the table (no file is opened)."""
-    files = read_table(spark, table_path).inputFiles()
-    found = set()
-    for f in files:
-        m = _DATE_DIR.search(f)
-        if m:
-            found.add(date.fromisoformat(m.group(1)))
-    return sorted(found)
-
-
 def latest_in_table(spark: SparkSession, table_path: str, n: int = 100, tiebreak="id") -> DataFrame:
     """The ``n`` newest rows of the stored table, reading only the newest partitions.
 
@@ -88,15 +72,35 @@ def latest_in_table(spark: SparkSession, table_path: str, n: int = 100, tiebreak
 
 
 def page_table(spark: SparkSession, table_path: str, size: int = 100, after=None) -> DataFrame:
-    """Pages of the stored table in time order (``timestamp, id``), keyset style.
-
-    ``after`` is the ``(timestamp, id)`` of the previous page's last row. Besides the
-    keyset predicate, the page adds ``reading_date >= date(after)``, which Spark cannot
-    infer by itself, so partitions before the page are never listed for reading."""
-    df = read_table(spark, table_path)
-    if after is not None:
-        df = df.where(F.col("reading_date") >= F.to_date(F.lit(after[0])))
-    return page(report_columns(df), ["timestamp", "id"], size, after=after)
+    """Pages of the stored table in time order (``timestamp, id``; rows without a time come
+    first), keyset style.
+
+    ``after`` is the ``(timestamp, id)`` of the previous page's last row. ``reading_date`` is
+    the day of ``timestamp`` in UTC, so a page lies in the days from that row's on (one day
+    of slack); the window of days doubles until it holds a page, and partitions outside of it
+    are not read."""
+    full = read_table(spark, table_path)
+    dates = partition_dates(spark, table_path)
+    order = ["timestamp", "id"]
+    if after is not None and after[0] is not None:
+        first = after[0].astimezone(timezone.utc).date() - timedelta(days=1)
+        dates = [d for d in dates if d >= first]
+        start = F.col("reading_date") >= F.lit(first)
+        windows = [start & (F.col("reading_date") <= F.lit(d)) for d in _doubling(dates)]
+    else:
+        start = F.lit(True)
+        undated = F.col("reading_date").isNull()
+        windows = [undated, *[undated | (F.col("reading_date") <= F.lit(d)) for d in _doubling(dates)]]
+    for days in windows:
+        found = page(report_columns(full.where(days)), order, size, after=after)
+        if found.count() >= size:
+            return found
+    return page(report_columns(full.where(start)), order, size, after=after)
+
+
+def _doubling(dates: list[date]) -> list[date]:
+    """The 1st, 2nd, 4th, 8th ... date but the last."""
+    return [dates[i] for i in (2**k - 1 for k in range(40)) if i < len(dates) - 1]
 
 
 def dashboard(spark: SparkSession, table_path: str, n: int = 100) -> DataFrame:

@@ -46,12 +46,15 @@ ENVELOPE = StructType(
     ]
 )
 
-# The stored table: report columns plus the date partition column.
+# The stored table: report columns, the sensor (the message key, or the source partition
+# where a message has none), an expiry time, and the date partition column (in UTC).
 TABLE = StructType(
     [StructField("id", StringType(), True)]
     + [StructField(m, FloatType(), True) for m in METRICS]
     + [
         StructField("timestamp", TimestampType(), True),
+        StructField("sensor", StringType(), True),
+        StructField("expires_at", TimestampType(), True),
         StructField("reading_date", DateType(), True),
     ]
 )

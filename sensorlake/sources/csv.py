@@ -1,10 +1,13 @@
 """Bulk CSV import and export with dialect and formatting options.
 
-Import reads every field as text (so no value is lost to the reader), converts each
-column by the option set, and splits the rows into ``(good, bad)``: a line with the
-wrong number of fields, or a value that does not convert, goes to ``bad`` with the
-source line, file and reason. Export formats each column to text by type and writes
-with Spark's CSV writer; parallelism is the DataFrame's partitions.
+Import reads whole lines in the file's charset, parses each once into text fields,
+converts each column by the option set, and splits the rows into ``(good, bad)``: a line
+with the wrong number of fields, or a value that does not convert, goes to ``bad`` with the
+source line as it stands in the file, the file and the reason. Every option goes through
+the same reader; only ``multiline`` (quoted fields with line breaks) must let Spark's CSV
+reader find the rows, and then a bad row's line is written anew from its fields. Export
+formats each column to text by type and writes with Spark's CSV writer; parallelism is the
+DataFrame's partitions.
 """
 
 from __future__ import annotations
@@ -33,6 +36,7 @@ from sensorlake.functions.text import format_bool, norm_name, parse_bool
 from sensorlake.functions.time import format_ts, strftime_to_spark, utc_wall_clock
 from sensorlake.operators.keys import hash_range
 from sensorlake.schema import CORRUPT_COLUMN
+from sensorlake.session import checkpoint_dir
 
 # Option defaults of the COPY command.
 DEFAULTS = {
@@ -51,6 +55,7 @@ DEFAULTS = {
 
 REASON_MALFORMED_LINE = "malformed_line"
 REASON_BAD_VALUE = "bad_value"
+_LINE = "_line"
 
 
 class ParseErrorLimitExceeded(RuntimeError):
@@ -103,54 +108,48 @@ def _convert(text: Column, field: StructField, fmt: str, decimalsep: str, thousa
     return text.try_cast(dt)
 
 
-def _seg_key(row) -> Column:
-    return F.struct(
-        F.lit(row["_f"]).alias("_f"), F.lit(row["_b"]).cast("bigint").alias("_b"), F.lit(row["_p"]).cast("int").alias("_p")
+def _lines(reader, encoding: str, header: bool):
+    """A reader of whole lines in the given charset, each file's header left out: a CSV reader
+    whose separator and quote don't occur in text."""
+    return (
+        reader.schema(StructType([StructField(_LINE, StringType(), True)]))
+        .option("sep", "\u0001")
+        .option("quote", "\u0000")
+        .option("escape", "\u0000")
+        .option("encoding", _charset(encoding))
+        .option("header", str(bool(header)).lower())
     )
 
 
-def _indexed_lines(spark: SparkSession, paths: list[str], first: int, stop: int | None) -> DataFrame:
-    """Text lines whose 0-based position over the files (sorted by path, then by offset)
-    is in ``[first, stop)``.
-
-    Lines are counted per input split (one partial aggregation; the table has one row
-    per split), the split holding each boundary is found from running counts, and the
-    rest is a filter: no line is numbered one by one and nothing funnels through one task.
-    """
-    lines = spark.read.text(paths).select(
-        F.col("value"),
-        F.col("_metadata.file_path").alias("_f"),
-        F.col("_metadata.file_block_start").alias("_b"),
-        F.spark_partition_id().alias("_p"),
-        F.monotonically_increasing_id().alias("_m"),
-    )
-    seg = lines.groupBy("_f", "_b", "_p").agg(F.count(F.lit(1)).alias("_n"), F.min("_m").alias("_m0"))
-    # One row per input split: a single ordered pass over this small table is cheap.
-    run = Window.orderBy("_f", "_b", "_p").rowsBetween(Window.unboundedPreceding, -1)
-    seg = seg.withColumn("_start", F.coalesce(F.sum("_n").over(run), F.lit(0)))
-    seg = seg.withColumn("_end", F.col("_start") + F.col("_n"))
-    keep = seg.where(F.col("_end") > F.lit(first))
-    if stop is not None:
-        keep = keep.where(F.col("_start") < F.lit(stop))
-    bounds = keep.agg(
-        F.min(F.struct("_f", "_b", "_p", "_m0", "_start")).alias("lo"),
-        F.max(F.struct("_f", "_b", "_p", "_m0", "_start")).alias("hi"),
-    ).first()
-    if bounds["lo"] is None:
-        return lines.where(F.lit(False)).select("value", "_f")
-    lo, hi = bounds["lo"], bounds["hi"]
-    key = F.struct("_f", "_b", "_p")
-    lo_key = _seg_key(lo)
-    hi_key = _seg_key(hi)
-    cond = (key >= lo_key) & (key <= hi_key)
-    in_lo = (F.col("_f") == lo["_f"]) & (F.col("_b") == lo["_b"]) & (F.col("_p") == lo["_p"])
-    pos_lo = F.col("_m") - F.lit(lo["_m0"]) + F.lit(lo["_start"])
-    cond = cond & (~in_lo | (pos_lo >= F.lit(first)))
-    if stop is not None:
-        in_hi = (F.col("_f") == hi["_f"]) & (F.col("_b") == hi["_b"]) & (F.col("_p") == hi["_p"])
-        pos_hi = F.col("_m") - F.lit(hi["_m0"]) + F.lit(hi["_start"])
-        cond = cond & (~in_hi | (pos_hi < F.lit(stop)))
-    return lines.where(cond).select("value", "_f")
+def _between_rows(rows: DataFrame, read_file, first: int, stop: int | None) -> DataFrame:
+    """Rows whose 0-based position over the files (sorted by path, then by place) is in
+    ``[first, stop)``. ``rows`` has ``source`` (the file).
+
+    Rows are counted for each file, which doesn't depend on how files are split. Files within
+    the range are kept by a filter on their path, which prunes the others. Only the one or
+    two files in which the range begins or ends need positions; they are read by
+    ``read_file`` and written to the shared checkpoint folder with their row numbers, so
+    that no later scan can number them otherwise."""
+    checkpoint_dir(rows.sparkSession)
+    counts = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n")).orderBy("source").collect()
+    whole, parts, at = [], [], 0
+    for r in counts:
+        lo, hi = max(first - at, 0), r["n"] if stop is None else min(stop - at, r["n"])
+        at += r["n"]
+        if lo == 0 and hi == r["n"]:
+            whole.append(r["source"])
+        elif lo < hi:
+            parts.append((r["source"], lo, hi))
+    out = rows.where(F.col("source").between(whole[0], whole[-1]) if whole else F.lit(False))
+    for source, lo, hi in parts:
+        placed = read_file(source).withColumn("_m", F.monotonically_increasing_id()).checkpoint()
+        blocks = placed.groupBy("_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_m").alias("_m0"))
+        # One row for each split of one file.
+        before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+        starts = blocks.select("_block", "_m0", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+        place = F.col("_start") + F.col("_m") - F.col("_m0")
+        out = out.unionByName(placed.join(starts, "_block").where((place >= lo) & (place < hi)).select(*rows.columns))
+    return out
 
 
 def import_csv(
@@ -176,6 +175,7 @@ def import_csv(
     encoding: str = "utf8",
     field_size_limit: int | None = None,
     ttl: int | None = None,
+    multiline: bool = False,
     stream: bool = False,
     max_files_per_trigger: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
@@ -183,10 +183,11 @@ def import_csv(
 
     ``schema`` gives the target types; ``columns`` the file's column order (default: the
     schema's). ``good`` has the converted columns minus ``skipcols``; ``bad`` has
-    ``line``, ``source`` and ``reason``. ``skiprows``/``maxrows`` count lines over the
-    files sorted by path (a header counts as a line there). ``maxparseerrors`` >= 0
-    counts bad lines first and raises ``ParseErrorLimitExceeded`` above it; ``errfile``
-    writes the bad lines as text. ``ttl`` (seconds) adds ``expires_at`` = import time +
+    ``line``, ``source`` and ``reason``. ``header`` drops the first line of every file.
+    ``skiprows``/``maxrows`` count rows over the files sorted by path, without headers and
+    empty lines. ``multiline`` reads quoted fields with line breaks (a file is then one
+    task). ``maxparseerrors`` >= 0 counts bad lines first and raises
+    ``ParseErrorLimitExceeded`` above it; ``errfile`` appends the bad lines as text. ``ttl`` (seconds) adds ``expires_at`` = import time +
     ttl (no column: rows never expire).
 
     ``stream=True`` returns streaming DataFrames over a folder (or glob) that keeps
@@ -211,41 +212,37 @@ def import_csv(
             raise ValueError("skiprows, maxrows, maxparseerrors and errfile need a batch import")
         if len(plist) != 1:
             raise ValueError("a streaming import reads one folder or glob")
-        reader = spark.readStream.schema(text_schema).options(**opts).option("header", str(bool(header)).lower())
-        if max_files_per_trigger:
+
+    def read(where) -> DataFrame:
+        """Rows as text columns, the line (NULL if only the fields are known) and the source."""
+        reader = spark.readStream if stream else spark.read
+        if stream and max_files_per_trigger:
             reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
-        raw = reader.csv(plist[0]).withColumn("source", F.col("_metadata.file_path"))
-    elif skiprows > 0 or maxrows >= 0:
-        first = skiprows + (1 if header else 0)
-        stop = first + maxrows if maxrows >= 0 else None
-        lines = _indexed_lines(spark, plist, first, stop)
-        csv_opts = {k: v for k, v in opts.items() if k not in ("encoding",)}
-        raw = lines.select(
-            F.from_csv(F.col("value"), text_schema.simpleString(), csv_opts).alias("r"),
-            F.col("value").alias("_line"),
-            F.col("_f").alias("source"),
-        ).select("r.*", "_line", "source")
-        raw = raw.withColumn(
-            CORRUPT_COLUMN, F.when(F.col(CORRUPT_COLUMN).isNotNull(), F.col("_line"))
-        ).drop("_line")
-    else:
-        raw = (
-            spark.read.schema(text_schema)
-            .options(**opts)
-            .option("header", str(bool(header)).lower())
-            .csv(plist)
-            .withColumn("source", F.col("_metadata.file_path"))
-        )
+        meta = [F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("_block")]
+        if multiline:
+            reader = reader.schema(text_schema).options(**opts).option("header", str(bool(header)).lower())
+            found = reader.option("multiLine", "true").csv(where).select("*", *meta)
+            return found.withColumn(_LINE, F.col(f"`{CORRUPT_COLUMN}`"))
+        ddl = ", ".join(f"`{f.name}` string" for f in text_schema.fields)
+        parsed = F.from_csv(F.col(_LINE), ddl, {k: v for k, v in opts.items() if k != "encoding"})
+        return _lines(reader, encoding, header).csv(where).select(_LINE, parsed.alias("_r"), *meta).select("_r.*", _LINE, "source", "_block")
+
+    raw = read(plist[0] if stream else plist)
+    if skiprows > 0 or maxrows >= 0:
+        stop = skiprows + maxrows if maxrows >= 0 else None
+        raw = _between_rows(raw, read, max(0, skiprows), stop)
 
     converted = {
-        n: _convert(F.col(n), by_name[n], datetimeformat, decimalsep, thousandssep, boolstyle) for n in names
+        n: _convert(F.col(f"`{n}`"), by_name[n], datetimeformat, decimalsep, thousandssep, boolstyle) for n in names
     }
-    failed = [F.when(F.col(n).isNotNull() & converted[n].isNull(), F.lit(n)) for n in names if n not in skip]
+    failed = [F.when(F.col(f"`{n}`").isNotNull() & converted[n].isNull(), F.lit(n)) for n in names if n not in skip]
     bad_cols = F.concat_ws(",", *failed) if failed else F.lit("")
+    fields = F.struct(*[F.col(f"`{n}`") for n in names])
+    written = F.to_csv(fields, {"sep": delimiter, "quote": quote, "escape": escape, "nullValue": null})
     tagged = raw.select(
         *[converted[n].alias(n) for n in names],
         F.col(CORRUPT_COLUMN),
-        F.to_csv(F.struct(*[F.col(n) for n in names]), {"sep": delimiter, "quote": quote, "escape": escape, "nullValue": null}).alias("_relined"),
+        (F.coalesce(_LINE, written) if multiline else F.col(_LINE)).alias(_LINE),
         bad_cols.alias("_bad_cols"),
         F.col("source"),
     )
@@ -253,20 +250,18 @@ def import_csv(
         F.col("_bad_cols") != "", F.concat(F.lit(REASON_BAD_VALUE + ":"), F.col("_bad_cols"))
     )
     tagged = tagged.withColumn("reason", reason)
-    good = tagged.where(F.col("reason").isNull()).select(*[n for n in names if n not in skip])
+    good = tagged.where(F.col("reason").isNull()).select(*[F.col(f"`{n}`") for n in names if n not in skip])
     if ttl is not None:
         good = good.withColumn(
             "expires_at", F.current_timestamp() + F.make_dt_interval(secs=F.lit(ttl).cast("decimal(18,6)"))
         )
-    bad = tagged.where(F.col("reason").isNotNull()).select(
-        F.coalesce(F.col(CORRUPT_COLUMN), F.col("_relined")).alias("line"), "source", "reason"
-    )
+    bad = tagged.where(F.col("reason").isNotNull()).select(F.col(_LINE).alias("line"), "source", "reason")
     if maxparseerrors is not None and maxparseerrors >= 0:
         n_bad = bad.count()
         if n_bad > maxparseerrors:
             raise ParseErrorLimitExceeded(f"{n_bad} lines failed to import; MAXPARSEERRORS is {maxparseerrors}")
     if errfile:
-        bad.select("line").write.mode("overwrite").text(errfile)
+        bad.select("line").write.mode("append").text(errfile)
     return good, bad
 
 
@@ -289,7 +284,7 @@ def format_columns(
     given."""
     cols = []
     for f in df.schema.fields:
-        c, dt = F.col(f.name), f.dataType
+        c, dt = F.col(f"`{f.name}`"), f.dataType
         if isinstance(dt, FloatType):
             t = format_number(c, float_precision, decimalsep, thousandssep)
         elif isinstance(dt, DoubleType):
@@ -344,7 +339,7 @@ def export_csv(
             raise ValueError("token range export needs token_keys")
         out = hash_range(out, token_keys, begintoken, endtoken)
     if columns:
-        out = out.select(*[norm_name(c) for c in columns])
+        out = out.select(*[F.col(f"`{norm_name(c)}`") for c in columns])
     text = format_columns(
         out,
         float_precision=float_precision,

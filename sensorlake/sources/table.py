@@ -1,9 +1,20 @@
-"""The stored readings table (partitioned Parquet) and appending results to files."""
+"""The stored readings table (partitioned Parquet) and appending results to files.
+
+Every writer of the table (a stream, an import) has a folder of its own in it,
+``source=<writer>/batch=<n>/reading_date=<day>/``, and writes each batch to one folder. A
+batch that is written again replaces itself, writers don't know of each other, and a reader
+sees them all by Spark's ordinary partition discovery. A compacted table has
+``reading_date=<day>/`` alone.
+"""
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from sensorlake.functions.time import utc_wall_clock
 from sensorlake.schema import TABLE
 
 
@@ -11,7 +22,46 @@ def read_table(spark: SparkSession, table_path: str, stream: bool = False) -> Da
     """Scan the stored table with its declared schema (no inference). Filters on
     ``reading_date`` prune partitions; other filters reach the Parquet reader."""
     reader = spark.readStream if stream else spark.read
-    return reader.schema(TABLE).parquet(table_path)
+    return reader.schema(TABLE).parquet(table_path).select(*TABLE.fieldNames())
+
+
+def write_batch(
+    df: DataFrame, table_path: str, source: str, batch: int = 0, partition_by=("reading_date",), fmt: str = "parquet"
+) -> None:
+    """Write one batch of the writer ``source``; the same batch again replaces it."""
+    w = df.write.mode("overwrite").format(fmt)
+    if partition_by:
+        w = w.partitionBy(*partition_by)
+    w.save(f"{table_path.rstrip('/')}/source={source}/batch={batch}")
+
+
+def utc_date(ts: str, ntz: bool = False):
+    """The ``reading_date`` of a timestamp: its day in UTC, whatever the session zone."""
+    return F.to_date(F.col(ts) if ntz else utc_wall_clock(ts))
+
+
+def _folder(spark: SparkSession, table_path: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(table_path)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def partition_dates(spark: SparkSession, table_path: str) -> list[date]:
+    """Dates of the table's ``reading_date`` partitions, from the names of their folders (no
+    file is listed or opened)."""
+    path, fs = _folder(spark, table_path)
+    found = set()
+    for pattern in ("reading_date=*", "source=*/batch=*/reading_date=*"):
+        for status in fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(path, pattern)) or []:
+            name = status.getPath().getName().partition("=")[2]
+            if not name.startswith("__"):  # the partition of rows without a date
+                found.add(date.fromisoformat(name))
+    return sorted(found)
+
+
+def table_bytes(spark: SparkSession, table_path: str) -> int:
+    """Total size of the table's files, from the file system's own summary."""
+    path, fs = _folder(spark, table_path)
+    return int(fs.getContentSummary(path).getLength())
 
 
 def append_result(df: DataFrame, path: str, fmt: str = "parquet", **options) -> None:

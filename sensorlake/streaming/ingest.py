@@ -1,14 +1,16 @@
 """The ingest job: decode, type, id, and append to a date-partitioned Parquet table.
 
-Works on a streaming or a batch message DataFrame. The Parquet file sink with a
-checkpoint folder is exactly-once: offsets are logged before a micro-batch and the
-sink's own log records which files a batch committed, so a replayed batch does not add
-rows. With ``id_mode="stable"`` the id is a function of (topic, partition, offset), so
-any other sink can be de-duplicated by ``id`` as well.
+Works on a streaming or a batch message DataFrame. Each micro-batch is written to a folder
+named after its number; offsets are logged before a micro-batch, so a batch that is run
+again after a failure has the same rows and replaces its folder: exactly once. Other
+writers may add to the same table meanwhile. With ``id_mode="stable"`` the id is a function
+of (topic, partition, offset), so any other sink can be de-duplicated by ``id`` as well.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -16,35 +18,39 @@ from pyspark.sql.streaming import StreamingQuery
 from sensorlake.operators.readings import type_readings, with_id
 from sensorlake.schema import METRICS, READING
 from sensorlake.sources.messages import decode_messages, split_malformed
-from sensorlake.sources.table import read_table
+from sensorlake.sources.table import read_table, table_bytes, utc_date, write_batch
 
-_COORDS = ("topic", "partition", "offset")
+_COORDS = ("key", "topic", "partition", "offset")
 
 
-def ingest_frame(messages: DataFrame, id_mode: str = "stable", keep=(), ntz: bool = False) -> DataFrame:
-    """Messages -> table rows ``id, pm25..humidity, timestamp, reading_date`` (plus
-    ``keep`` envelope columns). Garbage bodies become all-NULL rows, as in the original
-    job; use ``quarantine_frame`` to set them aside instead."""
-    carry = list(dict.fromkeys(list(_COORDS) + list(keep)))
-    decoded = decode_messages(messages, READING, keep=carry)
-    typed = type_readings(decoded, ntz=ntz)
-    ided = with_id(typed, mode=id_mode)
-    return ided.select(
+def _table_rows(readings: DataFrame, id_mode: str, ntz: bool, keep=()) -> DataFrame:
+    """Decoded readings with their coordinates -> rows of the table."""
+    rows = with_id(type_readings(readings, ntz=ntz), mode=id_mode)
+    sensor = F.coalesce(F.col("key").cast("string"), F.concat_ws("/", "topic", F.col("partition").cast("string")))
+    return rows.select(
         "id",
         *METRICS,
         "timestamp",
-        F.to_date("timestamp").alias("reading_date"),
-        *[c for c in keep if c not in ("id",)],
+        sensor.alias("sensor"),
+        F.lit(None).cast("timestamp").alias("expires_at"),
+        utc_date("timestamp", ntz).alias("reading_date"),
+        *[c for c in keep if c not in ("id", "sensor", "timestamp")],
     )
 
 
+def ingest_frame(messages: DataFrame, id_mode: str = "stable", keep=(), ntz: bool = False) -> DataFrame:
+    """Messages -> table rows (``TABLE``, plus ``keep`` envelope columns). Garbage bodies
+    become rows of NULL readings, as in the original job; use ``quarantine_frame`` to set
+    them aside instead."""
+    carry = list(dict.fromkeys([*_COORDS, *keep]))
+    return _table_rows(decode_messages(messages, READING, keep=carry), id_mode, ntz, keep)
+
+
 def quarantine_frame(messages: DataFrame, id_mode: str = "stable", ntz: bool = False) -> tuple[DataFrame, DataFrame]:
     """``(good table rows, bad messages)``; bad rows keep the body, coordinates and a
     reason. Start one sink per side, each with its own checkpoint."""
     good, bad = split_malformed(messages, READING, keep=list(_COORDS))
-    good = with_id(type_readings(good, ntz=ntz), mode=id_mode)
-    good = good.select("id", *METRICS, "timestamp", F.to_date("timestamp").alias("reading_date"))
-    return good, bad
+    return _table_rows(good, id_mode, ntz), bad.drop("key")
 
 
 def start_ingest(
@@ -56,35 +62,30 @@ def start_ingest(
     query_name: str | None = None,
     fmt: str = "parquet",
 ) -> StreamingQuery:
-    """Append ``stream`` to ``table_path`` with an exactly-once file sink.
+    """Append ``stream`` to ``table_path``, exactly once, beside any other writer. The
+    stream's folder in the table is named after its checkpoint.
 
     ``trigger``: ``None`` (next batch as soon as the previous ends), or a dict such as
     ``{"processingTime": "30 seconds"}`` (fewer, larger files) or
     ``{"availableNow": True}`` (drain what is there, then stop). Rows with a NULL
     timestamp land in the default partition, late rows in their own date.
     """
-    w = stream.writeStream.format(fmt).outputMode("append").option("checkpointLocation", checkpoint)
-    if partition_by:
-        w = w.partitionBy(*partition_by)
+    source = "stream-" + hashlib.md5(checkpoint.rstrip("/").encode()).hexdigest()[:12]
+
+    def save(batch: DataFrame, number: int) -> None:
+        write_batch(batch, table_path, source, number, partition_by, fmt)
+
+    w = stream.writeStream.foreachBatch(save).outputMode("append").option("checkpointLocation", checkpoint)
     if trigger:
         w = w.trigger(**trigger)
     if query_name:
         w = w.queryName(query_name)
-    return w.start(table_path)
+    return w.start()
 
 
 TARGET_FILE_BYTES = 256 * 1024 * 1024
 
 
-def table_bytes(spark: SparkSession, table_path: str) -> int:
-    """Total size of the table's files (file metadata only, computed by the cluster)."""
-    files = read_table(spark, table_path).select(
-        F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_size").alias("b")
-    )
-    per_file = files.groupBy("f").agg(F.max("b").alias("b"))
-    return int(per_file.agg(F.sum("b")).first()[0] or 0)
-
-
 def compact_table(
     spark: SparkSession,
     table_path: str,

@@ -112,7 +112,8 @@ def test_row_count_unpivot_presentation(spark):
 
 
 def test_latest_in_table_reads_only_newest_partitions(spark, scratch):
-    from sensorlake.plans.dashboard import latest_in_table, partition_dates
+    from sensorlake.plans.dashboard import latest_in_table
+    from sensorlake.sources.table import partition_dates
 
     env = envelopes_from_events(events(spark, SMOKE_DIR))
     env.write.parquet(f"{scratch}/m")

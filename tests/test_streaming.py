@@ -87,8 +87,8 @@ def test_compaction_keeps_rows(spark, scratch):
     a = read_table(spark, table)
     b = read_table(spark, f"{scratch}/compact")
     assert sorted(map(tuple, a.collect()), key=repr) == sorted(map(tuple, b.collect()), key=repr)
-    n_before = len(glob.glob(f"{table}/*/*.parquet"))
-    n_after = len(glob.glob(f"{scratch}/compact/*/*.parquet"))
+    n_before = len(glob.glob(f"{table}/**/*.parquet", recursive=True))
+    n_after = len(glob.glob(f"{scratch}/compact/**/*.parquet", recursive=True))
     assert n_after <= n_before
 
 
@@ -135,13 +135,13 @@ def test_write_messages_and_processing_time_trigger(spark, scratch):
 
 
 def test_compaction_sizes_ranges_from_bytes(spark, scratch):
-    from sensorlake.streaming.ingest import table_bytes
+    from sensorlake.sources.table import table_bytes
 
     msgs, table = f"{scratch}/m", f"{scratch}/t"
     write_messages(spark, msgs, n_files=4)
     ingest_to_table(spark, msgs, table, f"{scratch}/c", max_files_per_trigger=1)
     size = table_bytes(spark, table)
-    on_disk = sum(os.path.getsize(p) for p in glob.glob(f"{table}/*/*.parquet"))
+    on_disk = sum(os.path.getsize(p) for p in glob.glob(f"{table}/**/*.parquet", recursive=True))
     assert size == on_disk
     compact_table(spark, table, f"{scratch}/k", target_file_bytes=max(1, size // 3))
     assert read_table(spark, f"{scratch}/k").count() == 1000
