@@ -1,7 +1,7 @@
 """Relational operators on readings (all built-in column expressions)."""
 
 from sensorlake.operators.errors import error_summary
-from sensorlake.operators.keys import hash_range, token, token_splits, unexpired, with_expiry
+from sensorlake.operators.keys import hash_range, token, token_range, token_splits, unexpired, with_expiry
 from sensorlake.operators.quality import range_flags, step_flags, temperature_residual
 from sensorlake.operators.readings import (
     presentation,
@@ -41,6 +41,7 @@ __all__ = [
     "take_any",
     "temperature_residual",
     "token",
+    "token_range",
     "token_splits",
     "type_readings",
     "unexpired",

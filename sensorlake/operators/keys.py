@@ -15,17 +15,22 @@ def token(*keys) -> Column:
     return F.xxhash64(*[F.col(k) if isinstance(k, str) else k for k in keys])
 
 
-def hash_range(df: DataFrame, keys, begin: int | None = None, end: int | None = None) -> DataFrame:
-    """Rows whose key hash is in ``[begin, end)`` (``end=None``: up to and including the
-    top of the hash space). Splits an export into disjoint jobs; row-local, no shuffle."""
-    keys = [keys] if isinstance(keys, str) else list(keys)
-    t = token(*keys)
+def token_range(keys, begin: int | None = None, end: int | None = None) -> Column:
+    """Whether the hash of the keys is in ``[begin, end)`` (``end=None``: up to and including
+    the top of the hash space)."""
+    t = token(*([keys] if isinstance(keys, str) else list(keys)))
     cond = F.lit(True)
     if begin is not None:
         cond = cond & (t >= F.lit(begin))
     if end is not None:
         cond = cond & (t < F.lit(end))
-    return df.where(cond)
+    return cond
+
+
+def hash_range(df: DataFrame, keys, begin: int | None = None, end: int | None = None) -> DataFrame:
+    """Rows whose key hash is in a ``token_range``. Splits an export into disjoint jobs;
+    row-local, no shuffle."""
+    return df.where(token_range(keys, begin, end))
 
 
 def token_splits(n: int) -> list[tuple[int, int | None]]:

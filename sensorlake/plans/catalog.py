@@ -10,14 +10,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
     BooleanType,
     FloatType,
     IntegerType,
     LongType,
+    StringType,
     StructField,
     StructType,
     TimestampNTZType,
@@ -27,7 +29,7 @@ from sensorlake.functions.numbers import clamp, format_number, parse_number, rou
 from sensorlake.functions.text import parse_bool
 from sensorlake.functions.time import decode_epoch_ms, format_ts, ntz_literal, ts_micros
 from sensorlake.operators.errors import error_summary
-from sensorlake.operators.keys import hash_range, token_splits, unexpired, with_expiry
+from sensorlake.operators.keys import token_range, token_splits, unexpired, with_expiry
 from sensorlake.operators.quality import range_flags, step_flags, temperature_residual
 from sensorlake.operators.readings import presentation, report_columns, select_columns, with_id
 from sensorlake.operators.report import (
@@ -49,10 +51,10 @@ from sensorlake.plans.fixtures import (
     props_k,
     split_readings,
 )
-from sensorlake.schema import METRICS
-from sensorlake.session import scratch_path
+from sensorlake.schema import METRICS, TABLE
+from sensorlake.session import parallelism, scratch_path
 from sensorlake.sources.csv import export_csv, import_csv
-from sensorlake.sources.table import append_result, read_table
+from sensorlake.sources.table import append_result, read_table, write_batch
 from sensorlake.streaming.ingest import compact_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,7 +69,8 @@ EPOCH_SHIFT_MS = 5_000_000_000_000
 CSV_SKIPROWS = 100
 CSV_MAXROWS = 500
 N_TOKEN_RANGES = 4
-MESSAGE_FILES = 16
+MICRO_BATCHES = 4
+TABLE_PAGES = 4
 HOT_SENSOR = -1
 HOT_EVERY = 3
 
@@ -121,18 +124,25 @@ def q_random_id(spark, sf_dir):
 # --- ingest path --------------------------------------------------------------------
 
 
-def _ingest(spark: SparkSession, sf_dir: str, name: str) -> str:
-    """Store the messages as Parquet files in offset order (as a topic's log segments
-    would be), stream them into a table four files per micro-batch, and return the table
-    path."""
+def _messages(spark: SparkSession, env: DataFrame, path: str) -> None:
+    """Store messages as Parquet files in offset order, as a topic's log segments would be:
+    a file for each task slot, so that their size follows the input."""
+    files = max(MICRO_BATCHES, parallelism(spark))
+    env.repartitionByRange(files, "offset").write.mode("append").parquet(path)
+
+
+def _stream(spark: SparkSession, base: str) -> str:
+    """Stream what is new under ``base``/messages into the table, in several micro-batches."""
+    per_batch = max(1, parallelism(spark) // MICRO_BATCHES)
+    ingest_to_table(spark, f"{base}/messages", f"{base}/table", f"{base}/checkpoint", max_files_per_trigger=per_batch)
+    return f"{base}/table"
+
+
+def _ingest(spark: SparkSession, sf_dir: str, name: str, corrupt: bool = False) -> str:
+    """Store all events as messages, stream them into a table, and return its path."""
     base = scratch_path(spark, name)
-    env = envelopes_from_events(events(spark, sf_dir))
-    env.repartitionByRange(MESSAGE_FILES, "offset").write.parquet(f"{base}/messages")
-    table = f"{base}/table"
-    ingest_to_table(
-        spark, f"{base}/messages", table, f"{base}/checkpoint", max_files_per_trigger=MESSAGE_FILES // 4
-    )
-    return table
+    _messages(spark, envelopes_from_events(events(spark, sf_dir), corrupt=corrupt), f"{base}/messages")
+    return _stream(spark, base)
 
 
 def _table_out(df: DataFrame) -> DataFrame:
@@ -147,6 +157,49 @@ def q_stream_ingest(spark, sf_dir):
     return _table_out(read_table(spark, _ingest(spark, sf_dir, "stream_ingest")))
 
 
+def q_stream_restart(spark, sf_dir):
+    """Half of the messages are streamed, the stream is started again on the same ones, and
+    again when the other half has come: every message is in the table once."""
+    base = scratch_path(spark, "stream_restart")
+    env = envelopes_from_events(events(spark, sf_dir))
+    odd = F.pmod(F.col("offset"), F.lit(2)) == 1
+    _messages(spark, env.where(~odd), f"{base}/messages")
+    _stream(spark, base)
+    _stream(spark, base)
+    _messages(spark, env.where(odd), f"{base}/messages")
+    return _table_out(read_table(spark, _stream(spark, base)))
+
+
+def q_stream_then_copy(spark, sf_dir):
+    """A table that a stream and a bulk import (of its own export) have both written."""
+    table = _ingest(spark, sf_dir, "stream_then_copy")
+    opts = dict(header=True, datetimeformat="%Y-%m-%d %H:%M:%S.%f%z")
+    export_csv(read_table(spark, table), f"{table}_csv", **opts)
+    rows, _ = import_csv(spark, f"{table}_csv", TABLE, maxparseerrors=0, **opts)
+    write_batch(rows, table, "copy")
+    return _table_out(read_table(spark, table))
+
+
+def q_stored_step_flags(spark, sf_dir):
+    """Steps between readings of one sensor, on the stored table."""
+    t = read_table(spark, _ingest(spark, sf_dir, "stored_step_flags"))
+    s = step_flags(t, sensor="sensor", ts="timestamp", tiebreak=("id",))
+    return s.select("id", "sensor", F.round("co2_step", 6).alias("co2_step"), "pm25_step_ok", "co2_step_ok", "humidity_step_ok")
+
+
+def q_table_pages_all(spark, sf_dir):
+    """All pages of a table that holds rows without a time, put one behind the other."""
+    table = _ingest(spark, sf_dir, "table_pages_all", corrupt=True)
+    size = -(-read_table(spark, table).count() // TABLE_PAGES)
+    pages, after = [], None
+    for number in range(TABLE_PAGES):
+        found = page_table(spark, table, size, after)
+        pages.append(found.select("id", F.col("timestamp").cast("timestamp_ntz").alias("timestamp"), F.lit(number).alias("page")))
+        last = found.orderBy(F.col("timestamp").desc_nulls_last(), F.col("id").desc()).first()
+        after = (last.timestamp, last.id)
+    return reduce(DataFrame.unionByName, pages)
+
+
 def q_compacted_table(spark, sf_dir):
     table = _ingest(spark, sf_dir, "compacted_table")
     out = table + "_compacted"
@@ -182,8 +235,13 @@ def q_take_any(spark, sf_dir):
 
 
 def q_sample_then_sort(spark, sf_dir):
-    t = sample_then_sort(_report(spark, sf_dir), LATEST_N)
-    return t.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("id").alias("n_ids"))
+    """Which rows are taken is not fixed; that they come newest first is."""
+    t = sample_then_sort(_report(spark, sf_dir), LATEST_N).select("id", "timestamp", F.monotonically_increasing_id().alias("pos"))
+    before = F.lag("timestamp").over(Window.orderBy("pos"))  # over LATEST_N rows
+    ordered = t.withColumn("ordered", F.coalesce(before >= F.col("timestamp"), F.lit(True)))
+    return ordered.agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_distinct("id").alias("n_ids"), F.min("ordered").alias("newest_first")
+    )
 
 
 def q_newest_first(spark, sf_dir):
@@ -239,6 +297,21 @@ def q_step_flags_hot_sensor(spark, sf_dir):
     )
 
 
+def q_row_numbers_outlier(spark, sf_dir):
+    """One sensor holds all rows; a third has no time, a third the same time, and one row a
+    time far off: slices by equal width would put nearly all in one task."""
+    r = _readings(spark, sf_dir).select("event_id", "timestamp")
+    k = F.pmod(F.col("event_id"), F.lit(3))
+    odd = (
+        F.when(F.col("event_id") == 1, ntz_literal(datetime(9999, 1, 1)))
+        .when(k == 0, F.lit(None).cast("timestamp_ntz"))
+        .when(k == 1, ntz_literal(AS_OF))
+        .otherwise(F.col("timestamp"))
+    )
+    r = r.select("event_id", F.lit(HOT_SENSOR).alias("sensor"), odd.alias("timestamp"))
+    return number_rows(r, ["timestamp", "event_id"], "sensor").select("event_id", "row_number")
+
+
 def q_row_count(spark, sf_dir):
     return row_count(_readings(spark, sf_dir))
 
@@ -270,6 +343,17 @@ def q_error_summary(spark, sf_dir):
     return error_summary(bad, reason="reason", order="event_id", sample="body", n_samples=2)
 
 
+def q_error_summary_ties(spark, sf_dir):
+    """Three reasons, one of them NULL, with many errors of equal order."""
+    k = F.pmod(F.col("event_id"), F.lit(3))
+    bad = events(spark, sf_dir).select(
+        F.when(k == 0, F.lit("a")).when(k == 1, F.lit("b")).alias("reason"),
+        F.pmod(F.col("event_id"), F.lit(7)).alias("order"),
+        F.col("event_type").alias("body"),
+    )
+    return error_summary(bad, reason="reason", order="order", sample="body", n_samples=2)
+
+
 # --- copy options ---------------------------------------------------------------------
 
 CSV_OPTIONS = dict(
@@ -315,7 +399,7 @@ def q_csv_roundtrip(spark, sf_dir):
 def q_csv_stream_import(spark, sf_dir):
     """Export, then import as a stream (two files per micro-batch) into a Parquet sink."""
     path = scratch_path(spark, "csv_stream")
-    src = _csv_source(spark, sf_dir).repartitionByRange(8, "event_id")
+    src = _csv_source(spark, sf_dir).repartitionByRange(max(2, parallelism(spark)), "event_id")
     export_csv(src, f"{path}/in", **CSV_OPTIONS)
     good, _ = import_csv(spark, f"{path}/in", CSV_SCHEMA, stream=True, max_files_per_trigger=2, **CSV_OPTIONS)
     q = (
@@ -329,26 +413,52 @@ def q_csv_stream_import(spark, sf_dir):
 
 
 def q_csv_bad_lines(spark, sf_dir):
-    """Import the exported file with a boolean style that is not the one written: every
-    data line fails on that column and comes back whole in the bad side."""
+    """Lines as text: good ones, a value that doesn't convert (in quotes and spaces), a field
+    too few and one too many. The bad ones come back as they stand in the file."""
     path = scratch_path(spark, "csv_bad")
-    export_csv(_csv_source(spark, sf_dir), path, **CSV_OPTIONS)
-    opts = dict(CSV_OPTIONS, boolstyle="true,false")
-    _, bad = import_csv(spark, [f"{path}/*.csv"], CSV_SCHEMA, **opts)
-    return bad.select(
-        F.split(F.col("line"), ";").getItem(0).cast("long").alias("event_id"), "reason"
+    i, k = F.col("event_id").cast("string"), F.pmod(F.col("event_id"), F.lit(4))
+    line = (
+        F.when(k == 0, F.concat(i, F.lit(',"a ""b"" c",1.5')))
+        .when(k == 1, F.concat(i, F.lit(',"x, y",  not a number ')))
+        .when(k == 2, F.concat(i, F.lit(",short")))
+        .otherwise(F.concat(i, F.lit(",x,2,extra")))
     )
+    events(spark, sf_dir).select(line.alias("value")).write.text(path)
+    schema = StructType([StructField("event_id", LongType()), StructField("t", StringType()), StructField("n", FloatType())])
+    _, bad = import_csv(spark, path, schema, escape='"')
+    return bad.select("line", "reason")
 
 
 def q_csv_skip_max(spark, sf_dir):
+    """A range of rows over several files with a header each."""
     path = scratch_path(spark, "csv_skip_max")
-    src = _csv_source(spark, sf_dir).orderBy("event_id")
-    opts = dict(CSV_OPTIONS, header=False)
-    export_csv(src, path, **opts)
-    good, _ = import_csv(spark, f"{path}/*.csv", CSV_SCHEMA, skiprows=CSV_SKIPROWS, maxrows=CSV_MAXROWS, **opts)
+    src = _csv_source(spark, sf_dir).repartitionByRange(parallelism(spark), "event_id").sortWithinPartitions("event_id")
+    export_csv(src, path, **CSV_OPTIONS)
+    good, _ = import_csv(spark, f"{path}/*.csv", CSV_SCHEMA, skiprows=CSV_SKIPROWS, maxrows=CSV_MAXROWS, **CSV_OPTIONS)
     return widen(good)
 
 
+TEXT_SCHEMA = StructType([StructField("event_id", LongType()), StructField("t", StringType())])
+
+
+def q_csv_encoding_skip(spark, sf_dir):
+    """A range of rows of Latin-1 files with headers."""
+    path = scratch_path(spark, "csv_encoding")
+    text = events(spark, sf_dir).select("event_id", F.concat(F.lit("é"), "event_type", F.lit("ü")).alias("t"))
+    text = text.repartitionByRange(parallelism(spark), "event_id").sortWithinPartitions("event_id")
+    opts = dict(header=True, encoding="latin1")
+    export_csv(text, path, **opts)
+    return import_csv(spark, path, TEXT_SCHEMA, skiprows=CSV_SKIPROWS, maxrows=CSV_MAXROWS, **opts)[0]
+
+
+def q_csv_multiline(spark, sf_dir):
+    """Quoted fields with line breaks, separators and quotes."""
+    path = scratch_path(spark, "csv_multiline")
+    text = events(spark, sf_dir).select("event_id", F.concat("event_type", F.lit('\n"a", '), "event_id").alias("t"))
+    export_csv(text, path, header=True)
+    return import_csv(spark, path, TEXT_SCHEMA, header=True, multiline=True, maxparseerrors=0)[0]
+
+
 def q_append_result(spark, sf_dir):
     path = scratch_path(spark, "append_result")
     rep = widen(_report(spark, sf_dir))
@@ -358,12 +468,11 @@ def q_append_result(spark, sf_dir):
 
 
 def q_hash_range_cover(spark, sf_dir):
+    """Rows of each token range, in one scan: every row lies in exactly one."""
     r = _readings(spark, sf_dir).select("event_id", "sensor")
-    parts = [hash_range(r, ["sensor", "event_id"], b, e) for b, e in token_splits(N_TOKEN_RANGES)]
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
-    return u.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("event_id").alias("n_distinct"))
+    ranges = [token_range(["sensor", "event_id"], b, e).cast("int") for b, e in token_splits(N_TOKEN_RANGES)]
+    per_row = r.select("event_id", reduce(Column.__add__, ranges).alias("n"))
+    return per_row.agg(F.sum("n").alias("n_rows"), F.count_if(F.col("n") == 1).alias("n_distinct"))
 
 
 def q_expiry(spark, sf_dir):
@@ -465,6 +574,10 @@ QUERIES: dict[str, Query] = {
     "decode_readings": q_decode_readings,
     "props_json": q_props_json,
     "stream_ingest": q_stream_ingest,
+    "stream_restart": q_stream_restart,
+    "stream_then_copy": q_stream_then_copy,
+    "stored_step_flags": q_stored_step_flags,
+    "table_pages_all": q_table_pages_all,
     "compacted_table": q_compacted_table,
     "dashboard": q_dashboard,
     "stable_id": q_stable_id,
@@ -481,16 +594,20 @@ QUERIES: dict[str, Query] = {
     "row_numbers_global": q_row_numbers_global,
     "row_numbers_hot_sensor": q_row_numbers_hot_sensor,
     "step_flags_hot_sensor": q_step_flags_hot_sensor,
+    "row_numbers_outlier": q_row_numbers_outlier,
     "row_count": q_row_count,
     "unpivot": q_unpivot,
     "select_columns": q_select_columns,
     "split_good": q_split_good,
     "split_bad": q_split_bad,
     "error_summary": q_error_summary,
+    "error_summary_ties": q_error_summary_ties,
     "csv_roundtrip": q_csv_roundtrip,
     "csv_stream_import": q_csv_stream_import,
     "csv_bad_lines": q_csv_bad_lines,
     "csv_skip_max": q_csv_skip_max,
+    "csv_encoding_skip": q_csv_encoding_skip,
+    "csv_multiline": q_csv_multiline,
     "append_result": q_append_result,
     "hash_range_cover": q_hash_range_cover,
     "expiry": q_expiry,

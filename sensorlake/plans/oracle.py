@@ -29,6 +29,7 @@ from sensorlake.plans.catalog import (
     LOOKUP_EVENT_ID,
     PAGE_AFTER,
     PAGE_SIZE,
+    TABLE_PAGES,
 )
 from sensorlake.functions.time import MAX_EPOCH_MS, MIN_EPOCH_MS
 from sensorlake.schema import TOPIC
@@ -86,6 +87,12 @@ steps AS (
 )
 """
 
+_STEP_STORED = (
+    _STEP.replace("SELECT event_id, temperature", "SELECT id, CAST(sensor AS VARCHAR) AS sensor, temperature")
+    .replace("FROM r\n", "FROM rid\n")
+    .replace('ORDER BY "timestamp", event_id', 'ORDER BY "timestamp", id')
+)
+
 _STEP_HOT = _STEP.replace(
     "FROM r\n", f"FROM (SELECT * REPLACE (CASE WHEN event_id % {HOT_EVERY} = 0 THEN {HOT_SENSOR} ELSE sensor END AS sensor) FROM r)\n"
 )
@@ -110,6 +117,23 @@ ORACLE: dict[str, str] = {
     "decode_readings": _with(f'SELECT event_id, {W}, "timestamp" FROM r'),
     "props_json": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events",
     "stream_ingest": _with(f'SELECT {REPORT}, CAST("timestamp" AS DATE) AS reading_date FROM rid'),
+    "stream_restart": _with(f'SELECT {REPORT}, CAST("timestamp" AS DATE) AS reading_date FROM rid'),
+    "stream_then_copy": _with(
+        f'SELECT {REPORT}, CAST("timestamp" AS DATE) AS reading_date FROM rid UNION ALL '
+        f'SELECT {REPORT}, CAST("timestamp" AS DATE) AS reading_date FROM rid'
+    ),
+    "stored_step_flags": _with(
+        f", {_STEP_STORED} SELECT id, sensor, round(co2_step, 6) AS co2_step, "
+        f"{_between('pm25_step', *PM_STEP)} AS pm25_step_ok, {_between('co2_step', *CO2_STEP)} AS co2_step_ok, "
+        f"CASE WHEN humidity_step IS NULL THEN NULL WHEN temperature > {WARM_ABOVE} "
+        f"THEN {_between('humidity_step', *HUMIDITY_STEP_WARM)} "
+        f"ELSE {_between('humidity_step', *HUMIDITY_STEP_COOL)} END AS humidity_step_ok FROM steps"
+    ),
+    "table_pages_all": _with(
+        ', t AS (SELECT id, CASE WHEN event_id % 10 <> 0 THEN "timestamp" END AS "timestamp" FROM rid), '
+        'n AS (SELECT *, row_number() OVER (ORDER BY "timestamp" NULLS FIRST, id) - 1 AS place FROM t) '
+        f'SELECT id, "timestamp", CAST(place // (((SELECT count(*) FROM events) + {TABLE_PAGES - 1}) // {TABLE_PAGES}) AS INTEGER) AS page FROM n'
+    ),
     "compacted_table": _with(f'SELECT {REPORT}, CAST("timestamp" AS DATE) AS reading_date FROM rid'),
     "dashboard": _with(
         'SELECT "timestamp" AS "Timestamp", CAST(pm25 AS DOUBLE) AS "PM2.5", CAST(pm10 AS DOUBLE) AS "PM10", '
@@ -120,7 +144,8 @@ ORACLE: dict[str, str] = {
     "random_id": "SELECT count(*) AS n_rows, count(*) AS n_ids, 36 AS min_len, 36 AS max_len FROM events",
     "latest_100": _with(f'SELECT {REPORT} FROM rid ORDER BY "timestamp" DESC, id LIMIT {LATEST_N}'),
     "take_any": f"SELECT least(count(*), {LATEST_N}) AS n_rows, least(count(*), {LATEST_N}) AS n_ids FROM events",
-    "sample_then_sort": f"SELECT least(count(*), {LATEST_N}) AS n_rows, least(count(*), {LATEST_N}) AS n_ids FROM events",
+    "sample_then_sort": f"SELECT least(count(*), {LATEST_N}) AS n_rows, least(count(*), {LATEST_N}) AS n_ids, "
+    "true AS newest_first FROM events",
     "newest_first": _with(f"SELECT {REPORT} FROM rid"),
     "presentation": _with(
         'SELECT "timestamp" AS "Timestamp", CAST(pm25 AS DOUBLE) AS "PM2.5", CAST(pm10 AS DOUBLE) AS "PM10", '
@@ -158,6 +183,11 @@ ORACLE: dict[str, str] = {
         f"THEN {_between('humidity_step', *HUMIDITY_STEP_WARM)} "
         f"ELSE {_between('humidity_step', *HUMIDITY_STEP_COOL)} END AS humidity_step_ok FROM steps"
     ),
+    "row_numbers_outlier": _with(
+        f"SELECT event_id, row_number() OVER (ORDER BY CASE WHEN event_id = 1 THEN TIMESTAMP '9999-01-01' "
+        f"WHEN event_id % 3 = 0 THEN NULL WHEN event_id % 3 = 1 THEN TIMESTAMP '{AS_OF.isoformat(sep=' ')}' "
+        'ELSE "timestamp" END NULLS FIRST, event_id) AS row_number FROM r'
+    ),
     "row_count": "SELECT count(*) AS n_rows FROM events",
     "unpivot": _with(
         " UNION ALL ".join(
@@ -180,6 +210,16 @@ SELECT 'malformed_json' AS reason, count(*) AS errors,
   max(CASE WHEN rn = 2 THEN 'not json' END) AS sample_2,
   greatest(count(*) - 2, 0) AS suppressed
 FROM bad
+""",
+    "error_summary_ties": """
+WITH bad AS (
+  SELECT CASE event_id % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' END AS reason, event_id % 7 AS o, event_type AS b FROM events
+), n AS (SELECT *, row_number() OVER (PARTITION BY reason ORDER BY o, b) AS rn FROM bad)
+SELECT reason, count(*) AS errors,
+  max(CASE WHEN rn = 1 THEN o END) AS sample_1_order, max(CASE WHEN rn = 1 THEN b END) AS sample_1,
+  max(CASE WHEN rn = 2 THEN o END) AS sample_2_order, max(CASE WHEN rn = 2 THEN b END) AS sample_2,
+  greatest(count(*) - 2, 0) AS suppressed
+FROM n GROUP BY reason
 """,
     "csv_roundtrip": _with(
         f'SELECT event_id, {W}, "timestamp", co2 BETWEEN {CO2_MIN} AND {CO2_MAX} AS co2_in_range FROM r'
@@ -187,7 +227,14 @@ FROM bad
     "csv_stream_import": _with(
         f'SELECT event_id, sensor, {W}, "timestamp", co2 BETWEEN {CO2_MIN} AND {CO2_MAX} AS co2_in_range FROM r'
     ),
-    "csv_bad_lines": "SELECT event_id, 'bad_value:co2_in_range' AS reason FROM events",
+    "csv_bad_lines": """
+SELECT event_id || CASE event_id % 4 WHEN 1 THEN ',"x, y",  not a number ' WHEN 2 THEN ',short' ELSE ',x,2,extra' END AS line,
+  CASE event_id % 4 WHEN 1 THEN 'bad_value:n' ELSE 'malformed_line' END AS reason
+FROM events WHERE event_id % 4 <> 0
+""",
+    "csv_encoding_skip": "SELECT event_id, 'é' || event_type || 'ü' AS t FROM events ORDER BY event_id "
+    f"LIMIT {CSV_MAXROWS} OFFSET {CSV_SKIPROWS}",
+    "csv_multiline": "SELECT event_id, event_type || chr(10) || '\"a\", ' || event_id AS t FROM events",
     "csv_skip_max": _with(
         f'SELECT event_id, sensor, {W}, "timestamp", co2 BETWEEN {CO2_MIN} AND {CO2_MAX} AS co2_in_range '
         f"FROM r ORDER BY event_id LIMIT {CSV_MAXROWS} OFFSET {CSV_SKIPROWS}"
