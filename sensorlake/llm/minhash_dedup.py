@@ -223,19 +223,23 @@ def link_groups(docs: DataFrame, n: int = 5, percent: int = 80, bands: int = 32,
         if members.isEmpty():
             break
         parts = members.groupBy("bucket", "component").agg(F.count("*").alias("part"))
-        order = Window.partitionBy("bucket").orderBy("part", "component", "node")
-        ranked = members.join(parts, ["bucket", "component"]).withColumn("r", F.row_number().over(order))
+        sized = members.join(parts, ["bucket", "component"])
+        order = ["part", "component", "node"]
+        ranked = sized.withColumn("r", F.row_number().over(Window.partitionBy("bucket").orderBy(*order)))
         chosen = ranked.where(F.col("r") <= centres).select(
             "bucket",
             F.col("node").alias("other"),
             F.col("n").alias("other_n"),
             F.col("place").alias("other_place"),
             F.col("component").alias("other_component"),
+            F.col("part").alias("other_part"),
         )
         chosen = chosen.coalesce(tasks_for(chosen.count())).checkpoint()
+        # A member that stands before the chosen one is chosen too and meets it from its side.
+        behind = F.struct(*order) > F.struct("other_part", "other_component", "other")
         pairs = (
-            members.join(chosen, "bucket")
-            .where((F.col("component") != F.col("other_component")) & alike & near)
+            sized.join(chosen, "bucket")
+            .where((F.col("component") != F.col("other_component")) & behind & alike & near)
             .select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
             .distinct()
         )
