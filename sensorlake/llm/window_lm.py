@@ -33,13 +33,16 @@ from pyspark.sql import functions as F
 from sensorlake.session import checkpoint_dir
 
 #: Classes of words, and words in each. Token 0 stands for what is before and behind a text.
-CLASSES = MEMBERS = 32
+CLASSES = MEMBERS = 24
 #: Tokens for words that are not in the vocabulary, by their shape.
 SHAPES = 32
 #: Places of the window, relative to the predicted token.
 WINDOW = (-2, -1, 1, 2)
-#: Tokens in a training step, and in a block of texts that is scored at once.
-STEP, BLOCK = 4096, 1 << 16
+#: Tokens in a training step, and in a block of texts that is scored at once: they fit a
+#: processor's cache.
+STEP, BLOCK = 4096, 1 << 14
+#: Other words whose token is remembered in a task, at most, and the vocabulary.
+REMEMBERED = 200_000
 #: Different words counted in a task before the counts go back to the JVM, and the numbers
 #: in a row that carries a part of the parameters.
 COUNTED, ROW = 200_000, 64
@@ -63,10 +66,14 @@ class Vocabulary(dict):
             self.share[1 + k] = -np.log(max(1, n))
 
     def __missing__(self, word: str) -> int:
-        return 1 + shape(word)
+        token = 1 + shape(word)
+        if len(self) < REMEMBERED:
+            self[word] = token
+        return token
 
     def tokens(self, text: str | None) -> np.ndarray:
-        return np.array([self[w] for w in (text or "").lower().split()], dtype="i2")
+        words = (text or "").lower().split()
+        return np.fromiter(map(self.__getitem__, words), dtype="i2", count=len(words))
 
 
 class Network:
@@ -110,7 +117,7 @@ class Network:
         """Writes the gradient of the mean log loss over the inner tokens into ``g``."""
         h, y = self.context(t), t[2:-2]
         c, m, n = y // MEMBERS, y % MEMBERS, np.float32(len(y))
-        d = np.exp(log_softmax(h @ self.wc + self.bc))
+        d = softmax(h @ self.wc + self.bc)
         d[np.arange(len(y)), c] -= 1
         g.wc[:], g.bc[:] = h.T @ d / n, d.sum(axis=0) / n
         dh = d @ self.wc.T
@@ -119,7 +126,7 @@ class Network:
         for k in np.flatnonzero(np.diff(ends)):
             rows = order[ends[k] : ends[k + 1]]
             hk = h[rows]
-            d = np.exp(log_softmax(hk @ self.wm[k] + self.bm[k]))
+            d = softmax(hk @ self.wm[k] + self.bm[k])
             d[np.arange(len(rows)), m[rows]] -= 1
             g.wm[k], g.bm[k] = hk.T @ d / n, d.sum(axis=0) / n
             dh[rows] += d @ self.wm[k].T
@@ -129,8 +136,9 @@ class Network:
         for e, at in zip(g.embed, WINDOW, strict=True):
             near = t[2 + at : len(t) - 2 + at]
             order = np.argsort(near, kind="stable")
-            words, first = np.unique(near[order], return_index=True)
-            e[words] = np.add.reduceat(dh[order], first, axis=0)
+            near = near[order]
+            first = np.flatnonzero(np.concatenate([[True], near[1:] != near[:-1]]))
+            e[near[first]] = np.add.reduceat(dh[order], first, axis=0)
 
 
 def log_softmax(z: np.ndarray) -> np.ndarray:
@@ -139,6 +147,13 @@ def log_softmax(z: np.ndarray) -> np.ndarray:
     return z
 
 
+def softmax(z: np.ndarray) -> np.ndarray:
+    z -= z.max(axis=1, keepdims=True)
+    np.exp(z, out=z)
+    z /= z.sum(axis=1, keepdims=True)
+    return z
+
+
 def by_class(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions ordered by class, and where each class begins and ends."""
     return np.argsort(c, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(c, minlength=CLASSES))])
@@ -241,7 +256,7 @@ def score(docs: DataFrame, vocabulary: Vocabulary, network: Network) -> DataFram
                     rows = row[at : at + BLOCK]
                     p = net.log_probabilities(t[at : at + len(rows) + 4])
                     real = rows >= 0
-                    np.add.at(sums, rows[real], p[real].astype("f8"))
+                    sums[:] += np.bincount(rows[real], p[real], len(sums))
 
             size = 0
             for i, text in enumerate(f["text"]):
