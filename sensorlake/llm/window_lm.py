@@ -108,9 +108,12 @@ class Network:
         c, m = y // MEMBERS, y % MEMBERS
         out = log_softmax(h @ self.wc + self.bc)[np.arange(len(y)), c]
         order, ends = by_class(c)
+        h, m, within = h[order], m[order], np.empty_like(out)
         for k in np.flatnonzero(np.diff(ends)):
-            rows = order[ends[k] : ends[k + 1]]
-            out[rows] += log_softmax(h[rows] @ self.wm[k] + self.bm[k])[np.arange(len(rows)), m[rows]]
+            of = slice(ends[k], ends[k + 1])
+            z = log_softmax(h[of] @ self.wm[k] + self.bm[k])
+            within[of] = z[np.arange(len(z)), m[of]]
+        out[order] += within
         return out
 
     def gradient(self, t: np.ndarray, g: Network) -> None:
@@ -123,13 +126,14 @@ class Network:
         dh = d @ self.wc.T
         g.wm[:], g.bm[:] = 0, 0
         order, ends = by_class(c)
+        sorted_h, m, more = h[order], m[order], np.empty_like(h)
         for k in np.flatnonzero(np.diff(ends)):
-            rows = order[ends[k] : ends[k + 1]]
-            hk = h[rows]
-            d = softmax(hk @ self.wm[k] + self.bm[k])
-            d[np.arange(len(rows)), m[rows]] -= 1
-            g.wm[k], g.bm[k] = hk.T @ d / n, d.sum(axis=0) / n
-            dh[rows] += d @ self.wm[k].T
+            of = slice(ends[k], ends[k + 1])
+            d = softmax(sorted_h[of] @ self.wm[k] + self.bm[k])
+            d[np.arange(len(d)), m[of]] -= 1
+            g.wm[k], g.bm[k] = sorted_h[of].T @ d / n, d.sum(axis=0) / n
+            np.matmul(d, self.wm[k].T, out=more[of])
+        dh[order] += more
         dh *= (1 - h * h) / n
         g.bias[:] = dh.sum(axis=0)
         g.embed[:] = 0
