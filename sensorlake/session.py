@@ -8,6 +8,7 @@ own is set only when the session names none (local tests).
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -65,6 +66,19 @@ def num_partitions(df) -> int | None:
         return None
 
 
+def add_to_python_path(spark: SparkSession, folder: str) -> None:
+    """Put ``folder`` on the Python path of the session's workers, wherever the driver was
+    started: functions that run there are found by their module's name. (On a cluster whose
+    workers don't see the folder, ship the package with ``--py-files``.)"""
+    try:
+        env = spark.sparkContext.environment
+    except Exception:  # noqa: BLE001  (Spark Connect: the server's path applies)
+        return
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if folder not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([folder, *paths])
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the session; set one only if none is named."""
     try:
