@@ -12,21 +12,35 @@ from __future__ import annotations
 
 import os
 import sys
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+ROOT = os.path.dirname(os.path.abspath(__file__))
+sys.path.insert(0, ROOT)
 
 from sensorlake.llm import chunk_dedup, language_id, minhash_dedup, packing, quality_gam  # noqa: E402
 from sensorlake.llm.columns import unused  # noqa: E402
 from sensorlake.llm.queries import byte_bpe, table  # noqa: E402
-from sensorlake.session import scratch_path  # noqa: E402
+from sensorlake.session import add_to_python_path, scratch_path  # noqa: E402
 
 #: A document whose language is less certain than this is rejected.
 LEAST_CERTAIN = 0.5
 
 
+def on_workers(stage):
+    """``stage`` with this folder on the Python path of Spark's workers."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        add_to_python_path(spark, ROOT)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+@on_workers
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
@@ -34,6 +48,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_gam.rate(docs.select("text", own(docs)), model).where("predicted = 1").select("_own.*")
 
 
+@on_workers
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that can be told."""
     model = language_id.train(docs, F.lit(True))
@@ -41,6 +56,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where((F.col("lang_pred") != language_id.UND) & (F.col("score") >= LEAST_CERTAIN)).select("_own.*")
 
 
+@on_workers
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five words, 0.8)."""
     groups = minhash_dedup.link_groups(docs.select("doc_id", "text"), n=5, percent=80)
@@ -54,6 +70,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return left.join(copied, same, "left_anti").unionByName(once)
 
 
+@on_workers
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the passages that another one has."""
     cut = chunk_dedup.remove_repeats(docs)
@@ -62,6 +79,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return changed.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+@on_workers
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' tokens in sequences of 1024: one row for each piece."""
     pieces = packing.token_pieces(docs, byte_bpe())
