@@ -118,7 +118,11 @@ def slice_keys(
     n_heavy, n_slices = int(row["n"]), int(row["s"] or 0)
     place = F.struct(*[F.col(c) for c in order])
     share = F.lit(float(SAMPLE_PER_SLICE)) * F.col(_NS) / F.col("_n") * F.lit(float(HASH_RANGE))
-    sampled = _null_safe_join(base.select(*keys, *[c for c in order if c not in keys]), heavy, keys, "inner", n_heavy, max_broadcast_rows)
+    sampled = base.select(*keys, *[c for c in order if c not in keys])
+    if _ALL in keys:  # one key: its numbers are literals, and its cuts a scalar subquery
+        sampled = sampled.withColumns({"_n": F.lit(total), _NS: F.lit(n_slices)})
+    else:
+        sampled = _null_safe_join(sampled, heavy, keys, "inner", n_heavy, max_broadcast_rows)
     sampled = sampled.where(F.pmod(F.xxhash64(*order), F.lit(HASH_RANGE)) < share)
     # About SAMPLE_PER_SLICE x slices places of each heavy key, whatever the key's size.
     places = F.sort_array(F.collect_list(place))
@@ -132,7 +136,10 @@ def slice_keys(
         .select(*keys, F.when(F.col(_NS) > 1, F.array_distinct(nth)).alias(_CUTS), _NS)
         .checkpoint()
     )
-    joined = _null_safe_join(base, cuts, keys, "left", n_heavy, max_broadcast_rows)
+    if _ALL in keys:
+        joined = base.withColumns({_CUTS: cuts.select(_CUTS).scalar(), _NS: F.lit(n_slices).cast("long")})
+    else:
+        joined = _null_safe_join(base, cuts, keys, "left", n_heavy, max_broadcast_rows)
     passed = F.size(F.filter(_CUTS, lambda cut: cut <= place)).cast("long")
     slice_ = (F.col(_NS) - 1 - passed) if descending else passed
     out = joined.withColumn(_SLICE, F.when(F.col(_CUTS).isNull(), F.lit(0).cast("long")).otherwise(slice_)).drop(_CUTS)
