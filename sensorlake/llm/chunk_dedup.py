@@ -56,9 +56,11 @@ def chunk_starts(h: np.ndarray, words_per_chunk: int, max_words: int) -> np.ndar
     gear[1:] += gear[:-1] << np.uint32(16)  # older words are shifted out of the 32 bits
     ends = (gear >> np.uint32(16)) % np.uint32(words_per_chunk) == 0
     starts = np.concatenate([[0], np.flatnonzero(ends[:-1]) + 1]) if len(h) else np.zeros(0, dtype="i8")
-    gaps = np.diff(np.append(starts, len(h)))
-    if len(gaps) and gaps.max() > max_words:
-        starts = np.concatenate([np.arange(s, s + g, max_words) for s, g in zip(starts, gaps, strict=True)])
+    ends_at = np.append(starts[1:], len(h))
+    long = np.flatnonzero(ends_at - starts > max_words)
+    if len(long):
+        more = [np.arange(starts[i] + max_words, ends_at[i], max_words) for i in long]
+        starts = np.sort(np.concatenate([starts, *more]))
     return starts
 
 
