@@ -44,9 +44,14 @@ def _col(c) -> Column:
 def parse_ts(c, ntz: bool = False) -> Column:
     """ISO-8601 text to timestamp, NULL when malformed (never raises under ANSI).
 
+    Text without a zone is UTC, whatever the session zone; text with one is that instant.
     ``ntz=True`` yields TIMESTAMP_NTZ, read as a wall clock and free of the session zone.
     """
-    return _col(c).try_cast("timestamp_ntz" if ntz else "timestamp")
+    text = _col(c)
+    if ntz:
+        return text.try_cast("timestamp_ntz")
+    # With a second zone behind its own the text isn't a timestamp, and is taken as it is.
+    return F.coalesce(F.concat(text, F.lit("Z")).try_cast("timestamp"), text.try_cast("timestamp"))
 
 
 def iso_ts(c) -> Column:

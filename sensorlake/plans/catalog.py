@@ -27,7 +27,7 @@ from pyspark.sql.types import (
 
 from sensorlake.functions.numbers import clamp, format_number, parse_number, round2
 from sensorlake.functions.text import parse_bool
-from sensorlake.functions.time import decode_epoch_ms, format_ts, ntz_literal, ts_micros
+from sensorlake.functions.time import decode_epoch_ms, format_ts, ntz_literal, ts_micros, utc_wall_clock
 from sensorlake.operators.errors import error_summary
 from sensorlake.operators.keys import token_range, token_splits, unexpired, with_expiry
 from sensorlake.operators.quality import range_flags, step_flags, temperature_residual
@@ -148,7 +148,7 @@ def _ingest(spark: SparkSession, sf_dir: str, name: str, corrupt: bool = False)
 def _table_out(df: DataFrame) -> DataFrame:
     return widen(
         df.select(
-            "id", *METRICS, F.col("timestamp").cast("timestamp_ntz").alias("timestamp"), "reading_date"
+            "id", *METRICS, utc_wall_clock("timestamp").alias("timestamp"), "reading_date"
         )
     )
 
@@ -194,7 +194,7 @@ def q_table_pages_all(spark, sf_dir):
     pages, after = [], None
     for number in range(TABLE_PAGES):
         found = page_table(spark, table, size, after)
-        pages.append(found.select("id", F.col("timestamp").cast("timestamp_ntz").alias("timestamp"), F.lit(number).alias("page")))
+        pages.append(found.select("id", utc_wall_clock("timestamp").alias("timestamp"), F.lit(number).alias("page")))
         last = found.orderBy(F.col("timestamp").desc_nulls_last(), F.col("id").desc()).first()
         after = (last.timestamp, last.id)
     return reduce(DataFrame.unionByName, pages)
@@ -210,7 +210,7 @@ def q_compacted_table(spark, sf_dir):
 def q_dashboard(spark, sf_dir):
     table = _ingest(spark, sf_dir, "dashboard")
     d = dashboard(spark, table, LATEST_N)
-    return widen(d.withColumn("Timestamp", F.col("Timestamp").cast("timestamp_ntz")))
+    return widen(d.withColumn("Timestamp", utc_wall_clock("Timestamp")))
 
 
 # --- report operators ---------------------------------------------------------------
@@ -222,7 +222,7 @@ def q_table_page(spark, sf_dir):
     after_id = lookup(_readings(spark, sf_dir), "event_id", PAGE_AFTER).select("id").first().id
     row = lookup(read_table(spark, table), "id", after_id).select("timestamp", "id").first()
     p = page_table(spark, table, PAGE_SIZE, after=(row.timestamp, row.id))
-    return widen(p.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz")))
+    return widen(p.withColumn("timestamp", utc_wall_clock("timestamp")))
 
 
 def q_latest_100(spark, sf_dir):

@@ -56,7 +56,7 @@ def test_entry(spark):
     assert df.count() == 100
 
 
-ZONE_SENSITIVE = ["decode_readings", "stream_ingest", "expiry", "epoch_ms", "format_columns", "csv_roundtrip", "temperature_residual"]
+ZONE_SENSITIVE = ["decode_readings", "stream_ingest", "expiry", "epoch_ms", "format_columns", "csv_roundtrip", "temperature_residual", "table_pages_all", "stream_then_copy"]
 
 
 @pytest.mark.parametrize("name", ZONE_SENSITIVE)
