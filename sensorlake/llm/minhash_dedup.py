@@ -205,25 +205,32 @@ def link_groups(docs: DataFrame, n: int = 5, percent: int = 80, bands: int = 32,
     links = links_among(pairs, sets, percent).checkpoint()
     groups = connected_components(links, "a", "b").checkpoint()
 
-    def open_ones(listed: DataFrame) -> DataFrame:
+    def open_ones(listed: DataFrame, tasks: int) -> DataFrame:
         """Members of the lists that hold several groups, with their group."""
-        grouped = listed.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        grouped = listed.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")).coalesce(tasks)
         several = grouped.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
         return grouped.join(several.select("bucket"), "bucket", "left_semi")
 
-    unclear = open_ones(members.where("node <> centre").select("bucket", "node")).select("node").distinct().checkpoint()
-    members = prefixes(sets.join(unclear, "node", "left_semi"), percent)
+    listed = members.where("node <> centre").select("bucket", "node")
+    unclear = open_ones(listed, tasks_for(members.count())).select("node").distinct()
+    unclear = unclear.coalesce(tasks_for(1)).checkpoint()
+    members = prefixes(sets.join(unclear, "node", "left_semi"), percent).checkpoint()
+    chosen = None
     # With at least this much in common, the first common shingle stands before either set's rest.
     least_common = F.ceil((F.col("n") + F.col("other_n")) * percent / (100 + percent) - 1e-9)
     near = (F.col("place") <= F.col("n") - least_common) & (F.col("other_place") <= F.col("other_n") - least_common)
     centres = CENTRES
     while True:
-        members = open_ones(members)
-        members = members.coalesce(tasks_for(members.count())).checkpoint()
+        members = open_ones(members.select("bucket", "node", "n", "place"), tasks_for(members.count()))
+        if chosen is not None:  # they have met all others of their lists
+            met = chosen.select("bucket", F.col("other").alias("node"))
+            members = members.join(met, ["bucket", "node"], "left_anti")
+        members = members.checkpoint()
+        tasks = tasks_for(members.count())
         if members.isEmpty():
             break
         parts = members.groupBy("bucket", "component").agg(F.count("*").alias("part"))
-        sized = members.join(parts, ["bucket", "component"])
+        sized = members.join(parts, ["bucket", "component"]).coalesce(tasks)
         order = ["part", "component", "node"]
         ranked = sized.withColumn("r", F.row_number().over(Window.partitionBy("bucket").orderBy(*order)))
         chosen = ranked.where(F.col("r") <= centres).select(
@@ -241,13 +248,11 @@ def link_groups(docs: DataFrame, n: int = 5, percent: int = 80, bands: int = 32,
             sized.join(chosen, "bucket")
             .where((F.col("component") != F.col("other_component")) & behind & alike & near)
             .select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
+            .coalesce(tasks)
             .distinct()
         )
         links = links.unionByName(links_among(pairs, sets, percent)).checkpoint()
         groups = connected_components(links, "a", "b").checkpoint()
-        members = members.join(
-            chosen.select("bucket", F.col("other").alias("node")), ["bucket", "node"], "left_anti"
-        ).select("bucket", "node", "n", "place")
         centres *= 2
 
     named = classes.select("node", "least").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
