@@ -6,8 +6,9 @@ both sides. The context is tanh of a sum of embeddings, one table for each place
 window. A token's probability is that of its class times that within its class (classes are
 runs of words by frequency), so a prediction costs two small softmaxes and is normalised.
 
-The vocabulary are the most frequent words over all documents, without regard to case; other
-words share a token with those of their shape, and each of a shape's words (counted over all
+The vocabulary are the most frequent words over all documents, without regard to case; it
+grows with the corpus, by the square root of the number of different words. Other words
+share a token with those of their shape, and each of a shape's words (counted over all
 documents) has an equal part of that token's probability. Training is data-parallel: in each round every task trains in
 numpy on its part of the documents, from the common parameters on, and the results are
 averaged by Spark, weighted by their tokens. Each document is in one round, so all of the
@@ -22,6 +23,7 @@ names.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -32,8 +34,11 @@ from pyspark.sql import functions as F
 
 from sensorlake.session import checkpoint_dir
 
-#: Classes of words, and words in each. Token 0 stands for what is before and behind a text.
-CLASSES = MEMBERS = 24
+#: Classes of words, and words in each, at least. Token 0 stands for what is before and
+#: behind a text.
+CLASSES = MEMBERS = 32
+#: Tokens for each square root of the number of different words.
+GROWTH = 4
 #: Tokens for words that are not in the vocabulary, by their shape.
 SHAPES = 32
 #: Places of the window, relative to the predicted token.
@@ -48,6 +53,11 @@ REMEMBERED = 200_000
 COUNTED, ROW = 200_000, 64
 
 
+def classes_for(different: int) -> int:
+    """Classes, and words in each, for a corpus of so many different words."""
+    return max(CLASSES, math.ceil(math.sqrt(GROWTH * math.sqrt(different))))
+
+
 def shape(word: str) -> int:
     """One of ``SHAPES`` shapes of a word, by its marks and digits and its length."""
     marks = len(word) - sum(map(str.isalpha, word))
@@ -59,9 +69,10 @@ class Vocabulary(dict):
     """Token of each word; a word that isn't in it gets the token of its shape. ``share`` is
     the log of each token's part that falls to one of its words."""
 
-    def __init__(self, words: list[str], of_shape: dict[int, int]) -> None:
+    def __init__(self, words: list[str], of_shape: dict[int, int], classes: int = CLASSES) -> None:
         super().__init__({w: 1 + SHAPES + i for i, w in enumerate(words)})
-        self.share = np.zeros(CLASSES * MEMBERS)
+        self.classes = classes
+        self.share = np.zeros(classes * classes)
         for k, n in of_shape.items():
             self.share[1 + k] = -np.log(max(1, n))
 
@@ -73,21 +84,21 @@ class Vocabulary(dict):
 
     def tokens(self, text: str | None) -> np.ndarray:
         words = (text or "").lower().split()
-        return np.fromiter(map(self.__getitem__, words), dtype="i2", count=len(words))
+        return np.fromiter(map(self.__getitem__, words), dtype="i4", count=len(words))
 
 
 class Network:
     """Parameters in one flat array: an embedding table for each place, the bias, and the
     weights and biases of the classes and of the words within each class."""
 
-    def __init__(self, hidden: int = 16, flat: np.ndarray | None = None, seed: int = 11) -> None:
-        v = CLASSES * MEMBERS
-        shapes = [(len(WINDOW), v, hidden), (hidden,), (hidden, CLASSES), (CLASSES,), (CLASSES, hidden, MEMBERS), (CLASSES, MEMBERS)]
+    def __init__(self, hidden: int = 16, flat: np.ndarray | None = None, seed: int = 11, classes: int = CLASSES) -> None:
+        n = classes
+        shapes = [(len(WINDOW), n * n, hidden), (hidden,), (hidden, n), (n,), (n, hidden, n), (n, n)]
         sizes = [int(np.prod(s)) for s in shapes]
         if flat is None:
             flat = np.zeros(sum(sizes))
             flat[: sizes[0]] = np.random.default_rng(seed).normal(0, 0.1, sizes[0])
-        self.hidden, self.flat = hidden, np.array(flat, dtype="f4")
+        self.hidden, self.classes, self.flat = hidden, classes, np.array(flat, dtype="f4")
         ends = np.cumsum([0, *sizes])
         parts = [self.flat[a:b].reshape(s) for a, b, s in zip(ends, ends[1:], shapes, strict=False)]
         self.embed, self.bias, self.wc, self.bc, self.wm, self.bm = parts
@@ -105,9 +116,9 @@ class Network:
         if len(t) <= 4:
             return np.zeros(0, dtype="f4")
         h, y = self.context(t), t[2:-2]
-        c, m = y // MEMBERS, y % MEMBERS
+        c, m = y // self.classes, y % self.classes
         out = log_softmax(h @ self.wc + self.bc)[np.arange(len(y)), c]
-        order, ends = by_class(c)
+        order, ends = by_class(c, self.classes)
         h, m, within = h[order], m[order], np.empty_like(out)
         for k in np.flatnonzero(np.diff(ends)):
             of = slice(ends[k], ends[k + 1])
@@ -119,13 +130,13 @@ class Network:
     def gradient(self, t: np.ndarray, g: Network) -> None:
         """Writes the gradient of the mean log loss over the inner tokens into ``g``."""
         h, y = self.context(t), t[2:-2]
-        c, m, n = y // MEMBERS, y % MEMBERS, np.float32(len(y))
+        c, m, n = y // self.classes, y % self.classes, np.float32(len(y))
         d = softmax(h @ self.wc + self.bc)
         d[np.arange(len(y)), c] -= 1
         g.wc[:], g.bc[:] = h.T @ d / n, d.sum(axis=0) / n
         dh = d @ self.wc.T
         g.wm[:], g.bm[:] = 0, 0
-        order, ends = by_class(c)
+        order, ends = by_class(c, self.classes)
         sorted_h, m, more = h[order], m[order], np.empty_like(h)
         for k in np.flatnonzero(np.diff(ends)):
             of = slice(ends[k], ends[k + 1])
@@ -158,14 +169,14 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return z
 
 
-def by_class(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def by_class(c: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions ordered by class, and where each class begins and ends."""
-    return np.argsort(c, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(c, minlength=CLASSES))])
+    return np.argsort(c, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(c, minlength=classes))])
 
 
 def stream(texts: Iterator[str | None], vocabulary: Vocabulary, size: int) -> Iterator[np.ndarray]:
     """Runs of about ``size`` tokens of texts with their borders, overlapping by a window."""
-    border, held, n = np.zeros(2, dtype="i2"), [np.zeros(2, dtype="i2")], 2
+    border, held, n = np.zeros(2, dtype="i4"), [np.zeros(2, dtype="i4")], 2
     for t in texts:
         tokens = vocabulary.tokens(t)
         held += [tokens, border]
@@ -181,9 +192,9 @@ def stream(texts: Iterator[str | None], vocabulary: Vocabulary, size: int) -> It
         yield run
 
 
-def vocabulary_of(docs: DataFrame, size: int) -> Vocabulary:
-    """The ``size`` most frequent words over all documents, ties by the word, and how many
-    other words have each shape."""
+def vocabulary_of(docs: DataFrame) -> Vocabulary:
+    """The most frequent words over all documents, ties by the word, and how many other words
+    have each shape. Only these words and one row for each frequency reach the driver."""
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: Counter = Counter()
@@ -202,26 +213,39 @@ def vocabulary_of(docs: DataFrame, size: int) -> Vocabulary:
     checkpoint_dir(docs.sparkSession)
     words = docs.select(F.col("text").cast("string").alias("text")).mapInPandas(count, "word string, n long")
     words = words.groupBy("word").agg(F.sum("n").alias("n")).checkpoint()
-    top = [r["word"] for r in words.orderBy(F.desc("n"), "word").limit(size).collect()]
     shapes = dict(map(tuple, words.select(shape_of("word").alias("k")).groupBy("k").count().collect()))
+    classes = classes_for(sum(shapes.values()))
+    size, more, least = classes * classes - SHAPES - 1, 0, 0
+    for n, k in sorted(map(tuple, words.groupBy("n").count().collect()), reverse=True):
+        least = n
+        if more + k > size:
+            break
+        more += k
+    often = words.where(F.col("n") > least).collect()
+    top = [r["word"] for r in sorted(often, key=lambda r: (-r["n"], r["word"]))]
+    top += [r["word"] for r in words.where(F.col("n") == least).orderBy("word").limit(size - len(top)).collect()]
     for w in top:
         shapes[shape(w)] -= 1
-    return Vocabulary(top, shapes)
+    return Vocabulary(top, shapes, classes)
 
 
 def train(docs: DataFrame, rounds: int = 2, hidden: int = 16, rate: float = 0.15) -> tuple[Vocabulary, Network]:
     """Vocabulary and network from all of ``docs`` (doc_id, text). The driver gets the
-    vocabulary and the averaged parameters, whose sizes are fixed."""
-    vocabulary = vocabulary_of(docs, CLASSES * MEMBERS - SHAPES - 1)
-    network = Network(hidden)
+    vocabulary and the averaged parameters, whose sizes grow with the square root of the
+    number of different words."""
+    vocabulary = vocabulary_of(docs)
+    classes = vocabulary.classes
+    network = Network(hidden, classes=classes)
     size = len(network.flat)
     columns = [f"p{i}" for i in range(ROW)]
+    # Every task sends all parameters once: no more tasks than keep the cores busy.
+    tasks = 4 * docs.sparkSession.sparkContext.defaultParallelism
     turn = F.coalesce(F.pmod(F.xxhash64("doc_id", F.lit("round")), F.lit(rounds)), F.lit(0))
     for r in range(rounds):
         now = network.flat
 
         def learn(frames: Iterator[pd.DataFrame], now: np.ndarray = now) -> Iterator[pd.DataFrame]:
-            net, g = Network(hidden, now), Network(hidden)
+            net, g = Network(hidden, now, classes=classes), Network(hidden, classes=classes)
             squares, seen = np.full(size, 1e-6, dtype="f4"), 0
             for t in stream((x for f in frames for x in f["text"]), vocabulary, STEP):
                 net.gradient(t, g)
@@ -234,21 +258,21 @@ def train(docs: DataFrame, rounds: int = 2, hidden: int = 16, rate: float = 0.15
                 yield pd.DataFrame(rows * seen, columns=columns).assign(part=np.arange(len(rows)), seen=float(seen))
 
         schema = ", ".join(f"{c} double" for c in columns) + ", part long, seen double"
-        trained = docs.where(turn == r).select(F.col("text").cast("string").alias("text")).mapInPandas(learn, schema)
+        trained = docs.where(turn == r).select(F.col("text").cast("string").alias("text")).coalesce(tasks).mapInPandas(learn, schema)
         sums = trained.groupBy("part").agg(*[(F.sum(c) / F.sum("seen")).alias(c) for c in columns])
         rows = sums.toPandas().sort_values("part")
         if len(rows):
-            network = Network(hidden, rows[columns].to_numpy().reshape(-1)[:size])
+            network = Network(hidden, rows[columns].to_numpy().reshape(-1)[:size], classes=classes)
     return vocabulary, network
 
 
 def score(docs: DataFrame, vocabulary: Vocabulary, network: Network) -> DataFrame:
     """doc_id, n_tokens, log_prob (the sum over the tokens), score (their mean)."""
-    flat, hidden = network.flat, network.hidden
+    flat, hidden, classes = network.flat, network.hidden, network.classes
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vocab, net = vocabulary, Network(hidden, flat)
-        border = np.zeros(2, dtype="i2")
+        vocab, net = vocabulary, Network(hidden, flat, classes=classes)
+        border = np.zeros(2, dtype="i4")
         for f in frames:
             n, sums = np.zeros(len(f), dtype="i8"), np.zeros(len(f))
             held: list[np.ndarray] = [border]

@@ -118,6 +118,17 @@ def test_language_model_scores(spark):
     assert np.mean([got[r.doc_id].score > after[r.doc_id] for r in plain]) > 0.8
 
 
+def test_vocabulary_grows_with_the_corpus(spark):
+    words = [f"{'abcdefghij'[i % 10]}{i:07d}" for i in range(160_000)]
+    often = ["x" + "".join("abcdefghij"[int(c)] for c in f"{i:04d}") for i in range(1300)]
+    rows = [(k, " ".join([*words[k::40], *often])) for k in range(40)]
+    small, large = (window_lm.vocabulary_of(spark.createDataFrame(r, "doc_id long, text string")) for r in (rows[:1], rows))
+    assert len(large.share) > len(small.share) >= 1024
+    assert len(set(large.tokens(" ".join(often)).tolist())) == len(often)  # told apart, though all of one shape
+    assert set(large.tokens("xzzzz xyyyy").tolist()) == {1 + window_lm.shape("xzzzz")}
+    assert window_lm.classes_for(10**8) ** 2 > 5 * window_lm.classes_for(10**6) ** 2
+
+
 def test_language_model_edge_cases(spark):
     docs = odd(spark)
     got = window_lm.score(docs, *window_lm.train(docs)).collect()
