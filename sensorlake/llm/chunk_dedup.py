@@ -1,26 +1,25 @@
-"""Removal of repeated passages by content-defined chunking.
-
-1. Words are the symbols of a gear rolling hash: every step shifts the hash and adds the
-   word's own hash, so it depends on the last two words. A chunk ends where the hash says
-   so (every ``words_per_chunk`` words on average), or at ``max_words``. Chunk ends move with
-   the text, so an insertion changes only the chunks around it.
-2. A digest is taken of every ``window`` consecutive chunks; a short phrase that happens to
-   occur twice is thus no repeat. Digests are counted over all documents, after a first
-   count in each task.
-3. A digest that several documents have is a repeat in all of them but the one of the
-   smallest doc_id, which keeps it. Consecutive chunks covered by repeats form a passage; if
-   it has ``min_words`` words or more, it is removed. A text that repeats itself is left alone.
-
-Up to the first and after the last chunk end within a passage nothing is known of it, so
-what is found of a passage is a few words shorter. A passage of 51 words is missed, by these
-lengths' distribution, once in 600 times; one of 60 words, once in 7,000. One word over
-and over has no chunk ends of its own, and is found only where the cuts at ``max_words`` are
-in step.
+"""Removal of repeated passages, by content-defined cuts that every passage contains.
+
+A passage is a repeat where ``min_words`` consecutive words stand in a document of smaller
+doc_id, or further up in the same document; the smallest doc_id keeps it. All words of such
+runs are removed, and no others: passages go up to their exact borders, and any shared
+passage of ``min_words`` words or more is found, whatever its words.
+
+1. Words are hashed, and ``gram`` consecutive ones have a rolling hash. In every run of
+   ``min_words`` words the last of the least rolling hashes is picked: that depends on the
+   run's words only, so two documents that share a run share its pick. One word in about six
+   is picked. Picks are counted over all documents, after a first count in each task.
+2. In documents with a pick that several documents have, the digests of all runs of
+   ``min_words`` words around such a pick are compared in the same way; runs that are also
+   in a document of smaller doc_id are marked.
+3. Marked runs, and runs that stood further up in the same document, are cut. Occurrences
+   that overlap (a run in a phrase of under ``min_words`` words said over and over) are one
+   occurrence, so a text that is such a phrase and nothing else is left alone.
 
 Words are compared as they are, white space between them is not.
 
-Defined cases: null texts stay null and empty texts empty; texts with fewer chunks than a
-window have no digests and stay as they are; rows without a doc_id stay as they are; rows
+Defined cases: null texts stay null and empty texts empty; texts of fewer than ``min_words``
+words stay as they are; rows without a doc_id stay as they are; rows
 that repeat a doc_id with the same text count as one document and are treated alike; an
 empty table gives an empty result. Added columns replace columns of their own name only;
 all others are kept.
@@ -28,13 +27,14 @@ all others are kept.
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
@@ -46,6 +46,8 @@ BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 #: Digests held in a task before they go back to the JVM, about.
 BATCH_ROWS = 1 << 18
+#: Words whose picks are sought at once, about.
+BATCH_WORDS = 1 << 16
 
 _WORD = re.compile(r"\S+")
 
@@ -82,84 +84,173 @@ def word_hashes(words: list[str]) -> np.ndarray:
     return np.fromiter(map(xxh3_64_intdigest, words), dtype="u8", count=len(words))
 
 
-def all_digests(docs: DataFrame, words_per_chunk: int, max_words: int, window: int) -> DataFrame:
-    """doc_id, chunk (position of the window's first chunk), digest."""
-    names = ["doc_id", "chunk", "digest"]
+def grams(h: np.ndarray, n: int) -> np.ndarray:
+    """A digest of every ``n`` consecutive words."""
+    return digests(h, np.arange(len(h)), n)
+
+
+def picks(h: np.ndarray, min_words: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """The digest of every ``gram`` words; where, for every run of ``min_words`` words, the
+    last of its least digests is."""
+    d, n = grams(h, gram), max(0, len(h) - min_words + 1)
+    u, at = d.view("u8"), np.zeros(n, dtype="i8")
+    least = u[:n].copy()
+    for j in range(1, min_words - gram + 1):
+        at[u[j : j + n] <= least] = j
+        np.minimum(least, u[j : j + n], out=least)
+    return d, at + np.arange(n)
+
+
+def texts_of(docs: DataFrame) -> DataFrame:
+    columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return columns.where("doc_id is not null and text is not null")
+
+
+def all_picks(docs: DataFrame, min_words: int, gram: int) -> DataFrame:
+    """doc_id, digest (each of a document's picks once), again (whether it is also picked
+    ``min_words`` words or more further down)."""
+    names = ["doc_id", "digest", "again"]
+
+    def batch(ids: list[int], hashes: list[np.ndarray]) -> pa.RecordBatch:
+        h, of = np.concatenate(hashes), np.repeat(np.arange(len(ids)), [len(x) for x in hashes])
+        d, at = picks(h, min_words, gram)
+        at = np.unique(at[of[: len(at)] == of[min_words - 1 :]] if len(at) else at)
+        order = np.lexsort((at, d[at], of[at]))
+        at = at[order]
+        new = np.ones(len(at), dtype=bool)
+        new[1:] = (of[at[1:]] != of[at[:-1]]) | (d[at[1:]] != d[at[:-1]])
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(at))[: len(first)] - 1
+        again = at[last] - at[first] >= min_words
+        at = at[first]
+        return pa.RecordBatch.from_arrays([pa.array(np.array(ids, dtype="i8")[of[at]]), pa.array(d[at]), pa.array(again)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, hashes, words = [], [], 0
+        for b in batches:
+            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                h = word_hashes(text.as_py().split())
+                if len(h) >= min_words:
+                    ids.append(doc_id)
+                    hashes.append(h)
+                    words += len(h)
+                if words >= BATCH_WORDS:
+                    yield batch(ids, hashes)
+                    ids, hashes, words = [], [], 0
+        if words:
+            yield batch(ids, hashes)
+
+    return texts_of(docs).mapInArrow(run, "doc_id long, digest long, again boolean")
+
+
+def repeated_picks(docs: DataFrame, min_words: int, gram: int) -> DataFrame:
+    """doc_id, _picks (its picks that several documents have), _again (whether the document
+    may repeat itself)."""
+    found = all_picks(docs, min_words, gram)
+    counted = found.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max("again").alias("any"))
+    counted = counted.where("first < last or any").select("digest", (F.col("first") < F.col("last")).alias("shared"))
+    marked = found.join(counted, "digest").where("shared or again")
+    shared = F.collect_list(F.when(F.col("shared"), F.col("digest")))
+    return marked.groupBy("doc_id").agg(shared.alias("_picks"), F.max("again").alias("_again"))
+
+
+def shared_runs(docs: DataFrame, marks: DataFrame, min_words: int, gram: int) -> DataFrame:
+    """doc_id, digest of each of its runs of ``min_words`` words around a shared pick."""
+    names = ["doc_id", "digest"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, found, rows = [], [], 0
 
         def batch() -> pa.RecordBatch:
-            n = [len(d) for d in found]
-            chunk = np.concatenate([np.arange(k, dtype="i4") for k in n])
-            return pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(chunk), pa.array(np.concatenate(found))], names)
+            of = np.repeat(np.array(ids, dtype="i8"), [len(x) for x in found])
+            return pa.RecordBatch.from_arrays([pa.array(of), pa.array(np.concatenate(found))], names)
 
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for doc_id, text, shared in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
                 h = word_hashes(text.as_py().split())
-                d = digests(h, chunk_starts(h, words_per_chunk, max_words), window)
-                if len(d):
+                d, at = picks(h, min_words, gram)
+                near = np.isin(d[at], shared.values.to_numpy())
+                if near.any():
                     ids.append(doc_id)
-                    found.append(d)
-                    rows += len(d)
+                    found.append(np.unique(grams(h, min_words)[near]))
+                    rows += len(found[-1])
                 if rows >= BATCH_ROWS:
                     yield batch()
                     ids, found, rows = [], [], 0
         if rows:
             yield batch()
 
-    columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return columns.where("doc_id is not null and text is not null").mapInArrow(run, "doc_id long, chunk int, digest long")
+    shared = marks.where(F.size("_picks") > 0).select(F.col("doc_id").alias("_id"), "_picks")
+    joined = texts_of(docs).join(shared, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "_picks")
+    return joined.mapInArrow(run, "doc_id long, digest long")
+
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of tables that are no longer used."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
-def repeats(docs: DataFrame, words_per_chunk: int, max_words: int, window: int) -> DataFrame:
-    """doc_id and its repeated windows, as an array of (chunk, digest)."""
-    found = all_digests(docs, words_per_chunk, max_words, window)
+
+def repeats(docs: DataFrame, min_words: int, gram: int) -> DataFrame:
+    """doc_id and _repeats, the digests of its runs that a document of smaller doc_id has;
+    an empty array for documents that may only repeat themselves."""
+    marks = repeated_picks(docs, min_words, gram).checkpoint()
+    release(docs.sparkSession)
+    runs = shared_runs(docs, marks, min_words, gram).checkpoint()
+    release(docs.sparkSession)
     originals = (
-        found.groupBy("digest")
+        runs.groupBy("digest")
         .agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
         .where("first < last")
         .select("digest", "first")
     )
-    marked = found.join(originals, "digest").where("doc_id > first")
-    return marked.groupBy("doc_id").agg(F.collect_set(F.struct("chunk", "digest")).alias("_repeats"))
+    later = runs.join(originals, "digest").where("doc_id > first").select("doc_id", "digest")
+    own = marks.where("_again").select("doc_id", F.lit(None).cast("long").alias("digest"))
+    return later.unionByName(own).groupBy("doc_id").agg(F.collect_set("digest").alias("_repeats"))
 
 
-def passages(text: str, repeated: dict[int, int], words_per_chunk: int, max_words: int, window: int, min_words: int) -> list[tuple[int, int]]:
+def stood_before(g: np.ndarray, min_words: int) -> np.ndarray:
+    """Whether each run has an earlier occurrence in its own text; occurrences of a run that
+    overlap count as one."""
+    order = np.argsort(g, kind="stable")
+    same = np.zeros(len(g), dtype=bool)
+    same[1:] = g[order[1:]] == g[order[:-1]]
+    apart = same.copy()
+    apart[1:] &= np.diff(order) >= min_words
+    count = np.cumsum(apart)
+    start = np.maximum.accumulate(np.where(same, 0, np.arange(len(g))))
+    out = np.zeros(len(g), dtype=bool)
+    out[order] = count > count[start]
+    return out
+
+
+def passages(text: str, repeated: np.ndarray, min_words: int) -> list[tuple[int, int]]:
     """The (start, end) in characters of the passages of ``text`` to be removed."""
     at = [m.span() for m in _WORD.finditer(text)]
-    h = word_hashes([text[a:b] for a, b in at])
-    starts = chunk_starts(h, words_per_chunk, max_words)
-    d = digests(h, starts, window)
-    covered = np.zeros(len(starts) + 1, dtype=bool)
-    for chunk, digest in repeated.items():
-        if chunk < len(d) and d[chunk] == digest:
-            covered[chunk : chunk + window] = True
+    g = grams(word_hashes([text[a:b] for a, b in at]), min_words)
+    gone = np.flatnonzero(np.isin(g, repeated) | stood_before(g, min_words))
+    step = np.zeros(len(at) + 1, dtype="i8")
+    np.add.at(step, gone, 1)
+    np.add.at(step, gone + min_words, -1)
+    covered = np.cumsum(step) > 0
     edges = np.flatnonzero(np.diff(np.concatenate([[0], covered.astype("i1")])))
-    ends = np.append(starts, len(at))
-    out = []
-    for a, b in zip(edges[::2], edges[1::2], strict=True):
-        if ends[b] - ends[a] >= min_words:
-            out.append((at[ends[a]][0], at[ends[b]][0] if ends[b] < len(at) else len(text)))
-    return out
+    return [(at[a][0], at[b][0] if b < len(at) else len(text)) for a, b in zip(edges[::2], edges[1::2], strict=True)]
 
 
-def remove_repeats(
-    docs: DataFrame, words_per_chunk: int = 4, max_words: int = 16, window: int = 4, min_words: int = 20
-) -> DataFrame:
+def remove_repeats(docs: DataFrame, min_words: int = 20, gram: int = 10) -> DataFrame:
     """``docs`` (doc_id, text, ...) with repeated passages cut from the text, and two more
     columns: spans (start and end of each cut in the text as it was) and n_removed
     (characters)."""
     checkpoint_dir(docs.sparkSession)
-    marks = repeats(docs.select("doc_id", "text"), words_per_chunk, max_words, window).checkpoint()
+    marks = repeats(docs.select("doc_id", "text"), min_words, gram).checkpoint()
+    release(docs.sparkSession)
 
     @F.pandas_udf("array<struct<start:int,end:int>>")
     def spans(text: pd.Series, repeated: pd.Series) -> pd.Series:
         def one(t: str | None, r) -> list | None:
             if t is None or r is None:
                 return None
-            known = {int(x["chunk"]): int(x["digest"]) for x in r}
-            cut = passages(t, known, words_per_chunk, max_words, window, min_words)
+            cut = passages(t, np.asarray(r, dtype="i8"), min_words)
             return [{"start": a, "end": b} for a, b in cut]
 
         return pd.Series([one(t, r) for t, r in zip(text, repeated, strict=True)], dtype=object)

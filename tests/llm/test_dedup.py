@@ -177,3 +177,50 @@ def test_passage_edge_cases(spark):
     assert len(texts) == len(rows) and all(x in texts for x in kept)
     assert len(same[6]) < 60 and same[11].startswith("😀") and len(same[11]) < 60
     assert chunk_dedup.remove_repeats(df.where("false")).count() == 0
+
+
+def exact_cuts(docs, n=20):
+    """doc_id -> words left, by comparing all runs of n words."""
+    words, first, left = {i: t.split() for i, t in docs}, {}, {}
+    for i in sorted(words):
+        w, own, gone = words[i], {}, set()
+        for s in range(len(w) - n + 1):
+            run = tuple(w[s : s + n])
+            last, later = own.get(run, (s, False))
+            later = later or s - last >= n
+            own[run] = (s, later)
+            if later or first.setdefault(run, i) < i:
+                gone |= set(range(s, s + n))
+        left[i] = [x for k, x in enumerate(w) if k not in gone]
+    return left
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_passages_of_few_words_are_all_found_to_their_borders(spark, seed):
+    rng = np.random.default_rng(seed)
+    docs = []
+
+    def some(k, of):
+        return [f"w{i}" for i in rng.integers(0, of, k)]
+
+    for variety in (1, 2, 4, 8, 51, 4000):
+        for size in (20, 51, 60, 200):
+            for _ in range(6):
+                cycle = some(variety, 4000)
+                passage = [cycle[k % variety] for k in range(size)]
+                for _ in range(2):
+                    docs.append((len(docs), " ".join([*some(rng.integers(0, 40), 4000), *passage, *some(rng.integers(0, 40), 4000)])))
+    docs += [(len(docs) + k, " ".join(some(300, 2))) for k in range(20)]  # two words only
+    got = {r.doc_id: r for r in chunk_dedup.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    want = exact_cuts(docs)
+    assert {i: r.text.split() for i, r in got.items()} == want
+    assert all(got[i].n_removed for i in range(1, 288, 2))  # each second copy
+
+
+def test_a_passage_repeated_in_its_own_document_stays_once(spark):
+    rng = np.random.default_rng(3)
+    passage, *between = ([f"w{i}" for i in rng.integers(0, 4000, 51)] for _ in range(100))
+    text = " ".join(" ".join([*passage, *b]) for b in between)
+    got = chunk_dedup.remove_repeats(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert got.text.split() == exact_cuts([(1, text)])[1]
+    assert " ".join(passage) not in got.text[len(" ".join(passage)) :] and len(got.spans) == 98
