@@ -4,9 +4,11 @@ A page is read as a stream of tags and text and cut into blocks at block-level t
 pass: each block is judged by itself. Blocks within menus, headers, footers, sidebars,
 notices, adverts, forms, comments and the like are bad, and so are blocks that are mostly
 links; long blocks with many stop words are good, and so are blocks without a link in an
-article or main element; headings and other short blocks stay open. Second pass: an open
-block takes the label of the nearest decided block; in an article only blocks of that
-article count.
+article or main element; headings, other short blocks, and blocks without a link that have
+few stop words (names, commands, other languages) stay open. Second pass: an open block
+takes the label of the nearest decided block; in an article only blocks of that article
+count, and long blocks without a link outside articles do not look at menus, lists of
+links, footers and the like.
 
 Defined cases: null or empty html gives the empty string; unclosed and unmatched tags,
 comments and scripts that never end, and text without any tag are read as far as they go;
@@ -198,13 +200,32 @@ def first_pass(b: Block, short: int, long: int, max_links: float, stop_low: floa
     stops = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
     if stops >= stop_low:
         return True if size >= long or linked == 0 else None
-    return None if size >= long and linked == 0 else False
+    return None if linked == 0 else False
 
 
-def second_pass(found: list[Block], labels: list[bool | None]) -> list[bool]:
+def second_pass(found: list[Block], labels: list[bool | None], short: int, max_links: float) -> list[bool]:
     """Open blocks take the label of the nearest decided block; an article's block looks at
-    blocks of its own article only. Between equally near ones, or where there is none, an
-    article's block is good, and any other is good if no decided block near it is bad."""
+    blocks of its own article only, and a block of ``short`` characters or more without a
+    link, outside articles, not at menus, lists of links and copyright notes. Between equally
+    near ones, or where there is none, an article's block is good, and any other is good if no
+    decided block near it is bad. Other open blocks then see the labels of those long ones."""
+
+    def own(b: Block) -> bool:
+        return not b.article and not b.heading and not b.linked and len(b.text) >= short
+
+    def frame(b: Block) -> bool:
+        return b.aside or b.linked > max_links * len(b.text) or not b.article and "©" in b.text
+
+    free = [label is None and own(b) for b, label in zip(found, labels, strict=True)]
+    if any(free):
+        judged = [None if frame(b) else label for b, label in zip(found, labels, strict=True)]
+        told = by_neighbours(found, judged)
+        labels = [told[i] if free[i] else label for i, label in enumerate(labels)]
+    return by_neighbours(found, labels)
+
+
+def by_neighbours(found: list[Block], labels: list[bool | None]) -> list[bool]:
+    """All blocks' labels, open ones by the nearest decided block."""
 
     def nearest(order: range) -> list[int | None]:
         last: dict[int, int] = {}
@@ -233,7 +254,7 @@ def main_text(html: str | None, short: int = 70, long: int = 140, max_links: flo
         return ""
     found = blocks(html)
     labels = [first_pass(b, short, long, max_links, stop_low) for b in found]
-    return " ".join(b.text for b, good in zip(found, second_pass(found, labels), strict=True) if good)
+    return " ".join(b.text for b, good in zip(found, second_pass(found, labels, short, max_links), strict=True) if good)
 
 
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:

@@ -68,3 +68,34 @@ def test_columns_and_odd_rows(spark):
         [(1, "u", "", 0), (1, "u", "", 0), (None, None, "😀", 1), (2, "", "", 0)], key=repr
     )
     assert extract(df.where("false")).count() == 0
+
+
+MENU = "<nav><a href=a>Home</a> <a href=b>About</a></nav>"
+FOOTER = "<footer>All rights reserved by the owners of this page, who may be reached at the address given above.</footer>"
+OTHERS = [
+    "Wczoraj wieczorem mieszkańcy miasta spotkali się przy rzece, aby wspólnie obejrzeć pokaz sztucznych ogni nad mostem.",
+    "Вчера вечером жители города собрались у реки, чтобы вместе посмотреть праздничный салют над старым мостом и набережной.",
+    "昨天晚上全市居民聚集在河边一起观看大桥上空的烟花表演活动持续了一个多小时吸引了数千名游客参加当地商家也推出了各种优惠活动欢迎大家前来体验传统文化与现代艺术的完美结合给人留下深刻印象",
+]
+
+
+@pytest.mark.parametrize("text", OTHERS)
+@pytest.mark.parametrize("times", [1, 3])
+def test_other_languages_in_plain_divs(text, times):
+    for long in (text, f"{text} {text}"):
+        body = "".join(f"<div>{long}</div>" for _ in range(2))
+        assert main_text(f"{MENU}<div><h2>Tytuł</h2>{body}</div>{FOOTER}" * times).count(text) == times * long.count(text) * 2
+        links = "<div><a href=a>Home</a> <a href=b>About the town and its people</a></div>"
+        assert main_text(f"{links}{body}{links}<div>© 2020</div>") == f"{long} {long}"
+        assert "Home" not in main_text(MENU + body + FOOTER) and "reserved" not in main_text(MENU + body + FOOTER)
+
+
+@pytest.mark.parametrize("names", ["Alice Johnson, Robert Miller, Catherine Brown, Gustav Lindqvist, Maria Fernandez", "git clone repository; cd repository; make install; systemctl restart example.service"])
+def test_paragraphs_of_few_stop_words_between_good_ones(names):
+    assert 70 <= len(names) < 140
+    assert main_text(f"{MENU}<p>{PROSE}</p><p>{names}</p><p>{PROSE}</p>{FOOTER}") == f"{PROSE.strip()} {names} {PROSE.strip()}"
+
+
+def test_blocks_with_links_and_few_stop_words_stay_bad():
+    linked = "Alice Johnson, Robert Miller, Catherine Brown, Gustav Lindqvist, <a href=x>Maria Fernandez</a>"
+    assert main_text(f"<p>{PROSE}</p><p>{linked}</p><p>{PROSE}</p>") == f"{PROSE.strip()} {PROSE.strip()}"
