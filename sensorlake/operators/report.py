@@ -60,12 +60,12 @@ def page(
         vals = list(after) if isinstance(after, (tuple, list)) else [after]
         if len(vals) != len(cols):
             raise ValueError("after must give one value per order column")
-        out = out.where(_after(cols, vals))
+        out = out.where(after_key(cols, vals))
     out = out.orderBy(*[F.col(c).asc() for c in cols])
     return out if size is None else out.limit(size)
 
 
-def _after(cols: list[str], vals: list) -> Column:
+def after_key(cols: list[str], vals: list) -> Column:
     """Lexicographic ``(cols) > (vals)`` as an OR of prefix equalities; a NULL comes before
     every value, as in Spark's ascending order."""
     cond = None

@@ -33,6 +33,7 @@ from sensorlake.operators.keys import token_range, token_splits, unexpired, with
 from sensorlake.operators.quality import range_flags, step_flags, temperature_residual
 from sensorlake.operators.readings import presentation, report_columns, select_columns, with_id
 from sensorlake.operators.report import (
+    after_key,
     latest,
     lookup,
     newest_first,
@@ -188,16 +189,27 @@ def q_stored_step_flags(spark, sf_dir):
 
 
 def q_table_pages_all(spark, sf_dir):
-    """All pages of a table that holds rows without a time, put one behind the other."""
-    table = _ingest(spark, sf_dir, "table_pages_all", corrupt=True)
-    size = -(-read_table(spark, table).count() // TABLE_PAGES)
-    pages, after = [], None
+    """A table that holds rows without a time, as key ranges put one behind the other: each
+    begins with a page of at most ``PAGE_SIZE`` rows, the rest of the range follows that page's
+    last key. Where ranges end is read off the sliced row numbers."""
+    table, key = _ingest(spark, sf_dir, "table_pages_all", corrupt=True), ["timestamp", "id"]
+    stored = read_table(spark, table)
+    size = max(1, -(-stored.count() // TABLE_PAGES))
+    numbered = number_rows(stored.select(*key), key)
+    ends = {r.row_number // size: (r.timestamp, r.id) for r in numbered.where(F.col("row_number") % size == 0).collect()}
+    ranges, after = [], None
     for number in range(TABLE_PAGES):
-        found = page_table(spark, table, size, after)
-        pages.append(found.select("id", utc_wall_clock("timestamp").alias("timestamp"), F.lit(number).alias("page")))
+        inside = ~F.coalesce(after_key(key, ends[number + 1]), F.lit(False)) if number + 1 in ends else F.lit(True)
+        found = page_table(spark, table, PAGE_SIZE, after)
         last = found.orderBy(F.col("timestamp").desc_nulls_last(), F.col("id").desc()).first()
-        after = (last.timestamp, last.id)
-    return reduce(DataFrame.unionByName, pages)
+        parts = [found.where(inside)]
+        if last is not None:
+            parts.append(page(report_columns(stored.where(inside)), key, None, (last.timestamp, last.id)))
+        ranges += [x.select("id", utc_wall_clock("timestamp").alias("timestamp"), F.lit(number).alias("page")) for x in parts]
+        if number + 1 not in ends:
+            break
+        after = ends[number + 1]
+    return reduce(DataFrame.unionByName, ranges)
 
 
 def q_compacted_table(spark, sf_dir):

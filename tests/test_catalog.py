@@ -5,12 +5,13 @@ from __future__ import annotations
 
 import math
 import os
+import re
 
 import duckdb
 import pytest
 
 import __spark_entry__ as E
-from sensorlake.plans.catalog import QUERIES
+from sensorlake.plans.catalog import PAGE_SIZE, QUERIES
 
 from tests.conftest import SMOKE_DIR
 
@@ -71,3 +72,9 @@ def test_results_do_not_depend_on_the_session_zone(spark, con, name):
     res = con.execute(E.oracle_sql()[name])
     ocols = [d[0] for d in res.description]
     assert canon(df.columns, rows) == canon(ocols, res.fetchall())
+
+
+def test_all_pages_need_no_limit_that_grows(spark):
+    plan = QUERIES["table_pages_all"](spark, SMOKE_DIR)._jdf.queryExecution().optimizedPlan().toString()
+    limits = [int(n) for n in re.findall(r"Limit (\d+)", plan)]
+    assert limits and max(limits) <= PAGE_SIZE
