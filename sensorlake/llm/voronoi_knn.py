@@ -1,7 +1,7 @@
 """Exact top-k search as a Voronoi kNN join.
 
 Queries and rows are grouped by their nearest pivot. A summary of each cell (its radius
-and the distances of its k+1 rows nearest to the pivot) bounds the distance at which the
+and the distances of its k+1 ids nearest to the pivot) bounds the distance at which the
 k best rows of every query of a cell must lie; a row is sent to a group of queries only if
 the triangle inequality lets it be that near. Groups are then solved in blocks of bounded
 size, and the blocks' best rows merged.
@@ -45,13 +45,17 @@ def farthest_first(points: np.ndarray, n: int) -> np.ndarray:
 def bounds(pivots: np.ndarray, cells: list, near: list, k: int, top: float) -> list[tuple]:
     """For each pair of a query cell i and a row cell j: (i, j, lo, hi); only rows whose
     distance from pivot j lies in lo..hi can be among the k best of a query of cell i.
-    ``cells``: (cell, radius) of the query cells; ``near``: (cell, distance) of the k+1 rows
-    nearest to each pivot. k+1, as one of them may be the query's own."""
+    ``cells``: (cell, radius) of the query cells; ``near``: (cell, distance, id) of the k+1
+    ids nearest to each pivot. k+1, as one of them may be the query's own, and an id counts
+    once, as all its rows would be."""
     between, out = distances(pivots, pivots), []
-    at, d = np.array([c for c, _ in near], dtype=int), np.array([x for _, x in near])
+    at, d = np.array([c for c, _, _ in near], dtype=int), np.array([x for _, x, _ in near])
+    ids = np.array([i for _, _, i in near], dtype="int64")
     slack = SLACK * (1 + np.sqrt(top) + (d.max() if len(d) else 0) + between.max())
     for i, radius in cells:
-        reach = np.sort(between[i, at] + d)
+        order = np.argsort(between[i, at] + d, kind="stable")
+        first = np.sort(np.unique(ids[order], return_index=True)[1])
+        reach = (between[i, at] + d)[order[first]]
         theta = radius + reach[k] if len(reach) > k else np.inf
         for j in sorted(set(at.tolist())):
             lo = between[i, j] - radius - theta - slack
@@ -121,9 +125,8 @@ def voronoi_knn(
     queries = rows.where(is_query).mapInPandas(cell(True), celled)
 
     nearest = Window.partitionBy("cell").orderBy("d", "vec_id")
-    near = (
-        data.drop("v").withColumn("r", F.row_number().over(nearest)).where(F.col("r") <= k + 1).select("cell", "d").collect()
-    )
+    ids = data.groupBy("cell", "vec_id").agg(F.min("d").alias("d"))
+    near = ids.withColumn("r", F.row_number().over(nearest)).where(F.col("r") <= k + 1).select("cell", "d", "vec_id").collect()
     sizes = queries.groupBy("cell").agg(F.max("d").alias("radius"), F.count("*").alias("n")).collect()
     if not sizes:
         return merge_best(spark.createDataFrame([], schema), k)
@@ -136,7 +139,7 @@ def voronoi_knn(
         g = len(parts) - 1
         group[s["cell"]], filled = g, filled + s["n"]
         parts[g] = max(parts[g], -(-s["n"] // queries_per_group))
-    pairs = bounds(pivots, [(s["cell"], s["radius"]) for s in sizes], [(r["cell"], r["d"]) for r in near], k, top)
+    pairs = bounds(pivots, [(s["cell"], s["radius"]) for s in sizes], [(r["cell"], r["d"], r["vec_id"]) for r in near], k, top)
     wide: dict[tuple[int, int], tuple[float, float]] = {}
     for i, j, lo, hi in pairs:
         was = wide.get((group[i], j), (np.inf, -np.inf))

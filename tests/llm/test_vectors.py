@@ -66,6 +66,24 @@ def test_knn_does_not_depend_on_its_parameters(spark, pivots, per_group, per_blo
     assert sorted((r.query_id, r["rank"], r.vec_id, float(r.score)) for r in got.collect()) == brute(rows, 50, 5, True)
 
 
+@pytest.mark.parametrize("pivots", [1, 8])
+def test_knn_where_one_id_has_several_vectors(spark, pivots):
+    rng = np.random.default_rng(4)
+    turn = rng.uniform(1.5, 4.5, 200)  # on the far side of a circle
+    rows = [(i, [float(round(1000 * np.cos(t))), float(round(1000 * np.sin(t)))]) for i, t in enumerate(turn) if i % 50]
+    rows += [(50, [1000.0, float(j)]) for j in range(9)]
+    df = spark.createDataFrame(rows, "vec_id long, v array<double>")
+    got = voronoi_knn(df, F.col("vec_id") % 50 == 0, 5, pivots)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE s (id BIGINT, v DOUBLE[])")
+    con.executemany("INSERT INTO s VALUES (?, ?)", rows)
+    want = con.execute("""
+        SELECT query_id, rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank
+        FROM (SELECT q.id AS query_id, c.id AS vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+              FROM (SELECT DISTINCT * FROM s) q JOIN (SELECT DISTINCT * FROM s) c ON q.id <> c.id WHERE q.id % 50 = 0)) WHERE rank <= 5""").fetchall()
+    assert sorted((r.query_id, r["rank"], r.score) for r in got.collect()) == sorted((q, r, x) for q, r, _, x in want)
+
+
 def test_knn_matches_sql_on_the_given_table(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{SMOKE_DIR}/embeddings.parquet')")
