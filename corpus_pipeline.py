@@ -4,8 +4,9 @@ Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 and read again as the next one's ``docs``. All but the last return the columns of ``docs``.
 
 Defined cases: null and empty texts have no letters, so the language stage rejects them if
-the quality stage has not; rows that repeat a doc_id are copies of one document, and the
-near-duplicate stage keeps one; empty tables pass through; extra columns are carried along.
+the quality stage has not; rows that repeat a doc_id and its text are copies of one
+document, and the near-duplicate stage keeps one; different texts of one doc_id are judged
+each by itself; empty tables pass through; extra columns are carried along.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import os
 import sys
 from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ROOT = os.path.dirname(os.path.abspath(__file__))
@@ -59,15 +60,22 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @on_workers
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five words, 0.8)."""
-    groups = minhash_dedup.link_groups(docs.select("doc_id", "text"), n=5, percent=80)
-    key = unused(docs, "_id")
-    same = F.col("doc_id").cast("long") == F.col(key)
-    gone = groups.where(~F.col("kept")).select(F.col("doc_id").alias(key)).distinct()
-    left = docs.join(gone, same, "left_anti")
-    counts = groups.where("doc_id is not null").groupBy("doc_id").count()
-    copied = counts.where("count > 1").select(F.col("doc_id").alias(key))
-    once = left.join(copied, same, "left_semi").dropDuplicates(["doc_id"])
-    return left.join(copied, same, "left_anti").unionByName(once)
+    groups = minhash_dedup.link_groups(docs.select("doc_id", "text"), n=5, percent=80, by_text=True)
+    one = ["doc_id", "text_key"]
+    rows = groups.where("doc_id is not null").groupBy(*one, "component", "kept").count()
+    # Of the least doc_id's texts in a group one stays; texts without words are no group.
+    group = F.coalesce("component", "text_key")
+    stays = rows.where("kept").groupBy("doc_id", group.alias("group")).agg(F.min("text_key").alias("text_key"))
+    gone = rows.join(stays, one, "left_anti")
+    key, digest, place = (unused(docs, c) for c in ("_id", "_text_key", "_place"))
+    keyed = docs.withColumns({key: F.col("doc_id").cast("long"), digest: F.xxhash64(F.col("text").cast("string"))})
+    named = [F.col(a).alias(b) for a, b in zip(one, (key, digest), strict=True)]
+    left = keyed.join(gone.select(*named), [key, digest], "left_anti")
+    copied = rows.where("count > 1").select(*named)
+    order = Window.partitionBy(key, digest).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    once = left.join(copied, [key, digest], "left_semi").withColumn(place, F.row_number().over(order)).where(F.col(place) == 1)
+    kept = left.join(copied, [key, digest], "left_anti").unionByName(once.drop(place))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 @on_workers

@@ -101,8 +101,9 @@ def digest(s: np.ndarray) -> int | None:
 
 
 def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, node (digest of the set), keys (one for each band)."""
-    names = ["doc_id", "n_shingles", "node", "keys"]
+    """doc_id, n_shingles, node (digest of the set), keys (one for each band), text_key
+    (digest of the text)."""
+    names = ["doc_id", "n_shingles", "node", "keys", "text_key"]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,11 +114,12 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                 sizes.append(len(s))
                 nodes.append(digest(s))
                 keys.append(band_keys(signature(s, bands * rows), rows) if len(s) else None)
-            columns = [b.column(0), *(pa.array(c, t) for c, t in zip((sizes, nodes, keys), types[1:], strict=True))]
+            columns = [b.column(0), *(pa.array(c, t) for c, t in zip((sizes, nodes, keys), types[1:], strict=True)), b.column(2)]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return columns.mapInArrow(sign, "doc_id long, n_shingles long, node long, keys array<long>")
+    text = F.col("text").cast("string")
+    columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
+    return columns.mapInArrow(sign, "doc_id long, n_shingles long, node long, keys array<long>, text_key long")
 
 
 def full_sets(docs: DataFrame, n: int) -> DataFrame:
@@ -181,9 +183,12 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
     return sets.select("node", "set").mapInArrow(first, "bucket long, node long, n long, place long")
 
 
-def link_groups(docs: DataFrame, n: int = 5, percent: int = 80, bands: int = 32, rows: int = 4) -> DataFrame:
+def link_groups(
+    docs: DataFrame, n: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, by_text: bool = False
+) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs`` (doc_id, text); texts
-    with 100 * intersection >= ``percent`` * union are linked."""
+    with 100 * intersection >= ``percent`` * union are linked. ``by_text``: also text_key and
+    component (null without shingles), which tell apart different texts of one doc_id."""
     checkpoint_dir(docs.sparkSession)
     signed = signatures(docs, n, bands, rows).checkpoint()
     real = signed.where("node is not null and doc_id is not null")
@@ -257,11 +262,12 @@ def link_groups(docs: DataFrame, n: int = 5, percent: int = 80, bands: int = 32,
 
     named = classes.select("node", "least").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_node = named.join(ids, "component").select("node", "component_id")
+    of_node = named.join(ids, "component").select("node", "component", "component_id")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return signed.join(of_node, "node", "left").select(
         "doc_id",
         "n_shingles",
         own.alias("component_id"),
         F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"),
+        *(["text_key", "component"] if by_text else []),
     )

@@ -37,6 +37,18 @@ def test_one_document_of_each_group_stays(spark, documents):
     assert sorted(got) == sorted(want)
 
 
+def test_different_texts_of_one_id_are_judged_by_themselves(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a, 1), (2, a, 2), (2, b, 3), (3, c, 4), (3, b + " more", 5), (4, "", 6), (4, " ", 7), (5, c + " x", 8), (5, c + " x", 8), (6, c, 9), (6, c + " y", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    got = sorted((r.doc_id, r.text) for r in P.near_duplicates(spark, docs, SMOKE_DIR).collect())
+    assert got == sorted([(1, a), (2, b), (3, c), (4, ""), (4, " ")])
+    same = [(7, a), (7, a + " z"), (7, a), (8, b)]  # two near copies under one id
+    docs = spark.createDataFrame(same, "doc_id long, text string")
+    got = sorted(r.doc_id for r in P.near_duplicates(spark, docs, SMOKE_DIR).collect())
+    assert got == [7, 8]
+
+
 def test_passages_change_texts_and_their_length(spark, documents):
     got = P.repeated_passages(spark, documents, SMOKE_DIR)
     assert got.schema.names == documents.schema.names and got.count() == documents.count()
