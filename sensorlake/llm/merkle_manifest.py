@@ -28,16 +28,19 @@ names.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sensorlake.llm.components import tasks_for
 from sensorlake.operators.sequence import number_rows
-from sensorlake.session import checkpoint_dir
+from sensorlake.session import scratch_path
 
 #: Rows of a table that is broadcast, at most (paths are about a kilobyte each).
 SMALL = 4096
+#: Levels of paths in one plan.
+LINEAGE = 6
 
 STEP = "struct<before:binary,after:binary>"
 
@@ -79,23 +82,28 @@ def proof_digest(path: Column) -> Column:
 
 @dataclass
 class Tree:
-    """levels[l]: (tree, idx, children, digest) for each run of level l, children an array of
-    (digest, payload); the runs whose only child is the subroot have ``done``."""
+    """levels[l]: (tree, idx, children, digest, done) for each run of level l, children an
+    array of (digest, payload); a run whose only child is its tree's last node is ``done``."""
 
     levels: list[DataFrame]
     rows: list[int]  # a bound on the rows of each level
+    heights: list[int]  # the levels on which trees end
     arity: int
 
-    def tops(self) -> DataFrame:
-        """(tree, level, digest, payload): the last node of each tree."""
-        found = [
-            t.where("done").select("tree", F.lit(at).alias("level"), F.col("children")[0].alias("top"))
-            for at, t in enumerate(self.levels)
-        ]
-        out = found[0]
-        for more in found[1:]:
-            out = out.unionByName(more)
-        return out.select("tree", "level", "top.digest", "top.payload")
+    def tops(self, height: int) -> DataFrame:
+        """(tree, top): the last node of each tree that ends on this level."""
+        return self.levels[height].where("done").select("tree", F.col("children")[0].alias("top"))
+
+    def all_tops(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, [self.tops(h) for h in self.heights]).select("tree", "top.digest", "top.payload")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder. A checkpoint would pass on what Catalyst knows
+    of the columns, which grows with every level."""
+    path = scratch_path(df.sparkSession, "merkle")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
@@ -106,8 +114,12 @@ def build_tree(nodes: DataFrame, arity: int) -> Tree:
     """All levels above ``nodes`` (tree, idx from 0 without gaps, digest, payload)."""
     sizes = nodes.groupBy("tree").agg(F.count(F.lit(1)).alias("n"))
     size = sizes.agg(F.max("n").alias("most"), F.sum("n").alias("rows"), F.count(F.lit(1)).alias("trees")).first()
-    most, rows = int(size["most"] or 0), int(size["rows"] or 0)
-    levels, bounds = [], []
+    rows, levels, bounds = int(size["rows"] or 0), [], []
+    # Runs of runs, as long as the largest tree has several nodes; a tree ends on the level
+    # whose power reaches its size.
+    powers = [arity**k for k in range(64) if arity**k < int(size["most"] or 0)]
+    height = reduce(Column.__add__, [F.when(F.col("n") > p, 1).otherwise(0) for p in powers], F.lit(0))
+    heights = sorted({0} | {r["h"] for r in sizes.select(height.alias("h")).distinct().collect()})
     while True:
         slots = nodes.withColumn("slot", F.pmod("idx", F.lit(arity)))
         children = [F.struct("digest", "payload")]
@@ -129,11 +141,10 @@ def build_tree(nodes: DataFrame, arity: int) -> Tree:
             ((F.col("idx") == 0) & (F.size("children") == 1)).alias("done"),
         )
         rows = -(-rows // arity) + int(size["trees"])
-        levels.append(level.coalesce(tasks_for(rows)).checkpoint())
+        levels.append(stored(level.coalesce(tasks_for(rows))))
         bounds.append(rows)
-        if most <= 1:
-            return Tree(levels, bounds, arity)
-        most = -(-most // arity)
+        if len(levels) > len(powers):
+            return Tree(levels, bounds, heights, arity)
         payload = F.lit(None).cast(nodes.schema["payload"].dataType).alias("payload")
         nodes = levels[-1].where("not done").select("tree", "idx", "digest", payload)
 
@@ -142,9 +153,6 @@ def paths(tree: Tree, above: DataFrame) -> DataFrame:
     """(tree, payload, leaf, path, and what ``above`` has) for each leaf of the trees.
     ``above``: (tree, path, ...) for each tree, the path of its subroot."""
     carried = [c for c in above.columns if c not in ("tree", "path")]
-    tops = tree.tops().join(small(above, tree.rows[-1]), "tree").select(
-        "tree", "level", F.lit(0).cast("long").alias("idx"), F.struct("digest", "payload").alias("child"), "path", *carried
-    )
     nodes = None
     for at in reversed(range(len(tree.levels))):
         if nodes is not None:
@@ -158,9 +166,12 @@ def paths(tree: Tree, above: DataFrame) -> DataFrame:
             nodes = runs.join(small(parents, tree.rows[at]), ["tree", "idx"]).select(
                 "tree", F.col("own").alias("idx"), "child", F.concat("step", "path").alias("path"), *carried
             )
-        # Trees whose last node stands on this level.
-        here = tops.where(F.col("level") == at).drop("level")
-        nodes = here if nodes is None else nodes.unionByName(here.select(*nodes.columns))
+        if at in tree.heights:
+            here = tree.tops(at).join(small(above, tree.rows[-1]), "tree")
+            here = here.select("tree", F.lit(0).cast("long").alias("idx"), F.col("top").alias("child"), "path", *carried)
+            nodes = here if nodes is None else nodes.unionByName(here)
+        if at and at % LINEAGE == 0:  # a small part of the leaves: plans stay short
+            nodes = stored(nodes)
     return nodes.select("tree", "child.payload", F.col("child.digest").alias("leaf"), "path", *carried)
 
 
@@ -168,7 +179,6 @@ def manifest(docs: DataFrame, fields: list[str], group: str, order: str, carry:
     """One row for each row of ``docs``: ``order``, the columns of ``carry`` (name to
     expression over ``docs``), leaf, subroot and root (bytes), and path, an array of (before,
     after): the siblings on either side, from the leaf's run up to the root's."""
-    checkpoint_dir(docs.sparkSession)
     carry = {"key": F.col(f"`{order}`"), **{f"c_{k}": v for k, v in (carry or {}).items()}}
     name = F.col(f"`{group}`").cast("string")
     leaves = docs.select(
@@ -176,18 +186,21 @@ def manifest(docs: DataFrame, fields: list[str], group: str, order: str, carry:
         record_digest(*[F.col(f"`{f}`") for f in fields]).alias("digest"),
         F.struct(*[v.alias(k) for k, v in carry.items()]).alias("payload"),
         F.col(f"`{order}`").alias("place"),
-    ).checkpoint()
+    )
+    leaves = stored(leaves)
     # The numbers are written once, so that no later scan can number equal rows otherwise.
     numbered = number_rows(leaves, ["place", "digest"], "tree", name="idx")
-    nodes = numbered.select("tree", (F.col("idx") - 1).alias("idx"), "digest", "payload").checkpoint()
+    nodes = stored(numbered.select("tree", (F.col("idx") - 1).alias("idx"), "digest", "payload"))
     tree = build_tree(nodes, arity)
 
-    subroots = number_rows(tree.tops().select("tree", "digest"), ["tree"], name="idx")
+    tops = stored(tree.all_tops().select("tree", "digest"))
+    subroots = number_rows(tops, ["tree"], name="idx")
     named = F.struct("tree").alias("payload")
-    over = build_tree(subroots.select(F.lit("").alias("tree"), (F.col("idx") - 1).alias("idx"), "digest", named).checkpoint(), arity)
-    root = over.tops().select("digest").first()
+    over = build_tree(stored(subroots.select(F.lit("").alias("tree"), (F.col("idx") - 1).alias("idx"), "digest", named)), arity)
+    root = over.all_tops().select("digest").first()
     top = docs.sparkSession.createDataFrame([("", [])], f"tree string, path array<{STEP}>")
     above = paths(over, top).select("payload.tree", F.col("leaf").alias("subroot"), "path")
+    above = stored(above)
 
     found = paths(tree, above)
     return found.select(
