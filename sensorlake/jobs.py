@@ -4,7 +4,7 @@
     report     newest n readings of the table, display headers (printed or written)
     copy-to    table -> CSV files, COPY TO options
     copy-from  CSV files -> table (append), COPY FROM options; bad lines to --errfile
-    compact    rewrite the table's small files, time-sorted
+    compact    rewrite the table's small files, time-sorted; without --out in place, beside its streams
     quality    range / step / baseline flags of the table -> Parquet
 
 COPY options are given as ``--option NAME=value`` with the COPY option names
@@ -26,7 +26,7 @@ from sensorlake.schema import ENVELOPE, METRICS, TABLE
 from sensorlake.session import get_session
 from sensorlake.sources.csv import export_csv, import_csv
 from sensorlake.sources.messages import kafka_options, read_messages
-from sensorlake.sources.table import read_table, utc_date, write_batch
+from sensorlake.sources.table import read_table, retire_batches, utc_date, write_batch
 from sensorlake.streaming.ingest import compact_table, ingest_frame, quarantine_frame, start_ingest
 
 # COPY option names and the keyword each maps to.
@@ -126,7 +126,10 @@ def cmd_copy_from(spark: SparkSession, args) -> None:
 
 
 def cmd_compact(spark: SparkSession, args) -> None:
-    compact_table(spark, args.table, args.out)
+    if args.out:
+        compact_table(spark, args.table, args.out)
+    else:
+        retire_batches(spark, args.table)
 
 
 def cmd_quality(spark: SparkSession, args) -> None:
@@ -182,7 +185,7 @@ def parser() -> argparse.ArgumentParser:
 
     s = sub.add_parser("compact")
     s.add_argument("--table", required=True)
-    s.add_argument("--out", required=True)
+    s.add_argument("--out")
     s.set_defaults(fn=cmd_compact)
 
     s = sub.add_parser("quality")

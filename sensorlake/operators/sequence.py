@@ -13,7 +13,7 @@ and the window runs per ``(key, slice)``:
    ``SAMPLE_PER_SLICE`` for each slice) gives the split points: quantiles of the whole order
    tuple, so that outliers, bursts, equal times and NULL or NaN times are cut evenly too;
 3. each row gets ``_slice``: 0 for light keys, the number of split points not after it for
-   heavy keys. The window is partitioned by ``(key, _slice)``: one shuffle of the data;
+   heavy keys, found by binary search. The window is partitioned by ``(key, _slice)``: one shuffle of the data;
 4. what crosses a slice border (row counts before a slice, the last row of the previous
    slice) comes from a per-(heavy key, slice) aggregate whose size has the same bound,
    broadcast back.
@@ -140,12 +140,23 @@ def slice_keys(
         joined = base.withColumns({_CUTS: cuts.select(_CUTS).scalar(), _NS: F.lit(n_slices).cast("long")})
     else:
         joined = _null_safe_join(base, cuts, keys, "left", n_heavy, max_broadcast_rows)
-    passed = F.size(F.filter(_CUTS, lambda cut: cut <= place)).cast("long")
+    passed = _cuts_passed(place, n_slices).cast("long")
     slice_ = (F.col(_NS) - 1 - passed) if descending else passed
     out = joined.withColumn(_SLICE, F.when(F.col(_CUTS).isNull(), F.lit(0).cast("long")).otherwise(slice_)).drop(_CUTS)
     return Sliced(out, keys, cuts, n_heavy, n_slices, max_broadcast_rows, tuple(helpers))
 
 
+def _cuts_passed(place: Column, n_slices: int) -> Column:
+    """How many of a row's ascending cuts are not after its place: a binary search, whose
+    steps are the powers of two up to the number of slices."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(max(1, n_slices).bit_length()))])
+
+    def advance(found: Column, step: Column) -> Column:
+        return found + F.when(F.get(_CUTS, found + step - 1) <= place, step).otherwise(0)
+
+    return F.aggregate(steps, F.lit(0), advance)
+
+
 def _order_cols(order, descending: bool = False) -> list[Column]:
     return [F.col(c).desc() if descending else F.col(c) for c in _cols(order)]
 

@@ -55,7 +55,7 @@ from sensorlake.plans.fixtures import (
 from sensorlake.schema import METRICS, TABLE
 from sensorlake.session import parallelism, scratch_path
 from sensorlake.sources.csv import export_csv, import_csv
-from sensorlake.sources.table import append_result, read_table, write_batch
+from sensorlake.sources.table import append_result, read_table, retire_batches, write_batch
 from sensorlake.streaming.ingest import compact_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -171,6 +171,33 @@ def q_stream_restart(spark, sf_dir):
     return _table_out(read_table(spark, _stream(spark, base)))
 
 
+def q_stream_new_checkpoint(spark, sf_dir):
+    """Half of the messages are streamed, the checkpoint is lost, and a stream with a new one at
+    the same path adds the other half: no row is replaced."""
+    base = scratch_path(spark, "stream_new_checkpoint")
+    env = envelopes_from_events(events(spark, sf_dir))
+    table, checkpoint = f"{base}/table", f"{base}/checkpoint"
+    for half in (0, 1):
+        _messages(spark, env.where(F.pmod(F.col("offset"), F.lit(2)) == half), f"{base}/messages-{half}")
+        ingest_to_table(spark, f"{base}/messages-{half}", table, checkpoint)
+        if half == 0:  # nothing is left of the checkpoint
+            spark.range(0).write.mode("overwrite").parquet(checkpoint)
+    return _table_out(read_table(spark, table))
+
+
+def q_stream_compact_stream(spark, sf_dir):
+    """A stream whose finished batches are retired while it goes on: half of the messages are
+    streamed, the batches so far retired, then the other half, and every row is read once."""
+    base = scratch_path(spark, "stream_compact_stream")
+    env = envelopes_from_events(events(spark, sf_dir))
+    for half in (0, 1):
+        _messages(spark, env.where(F.pmod(F.col("offset"), F.lit(2)) == half), f"{base}/messages")
+        table = _stream(spark, base)
+        if half == 0:
+            retire_batches(spark, table)
+    return _table_out(read_table(spark, table))
+
+
 def q_stream_then_copy(spark, sf_dir):
     """A table that a stream and a bulk import (of its own export) have both written."""
     table = _ingest(spark, sf_dir, "stream_then_copy")
@@ -450,6 +477,16 @@ def q_csv_skip_max(spark, sf_dir):
     return widen(good)
 
 
+def q_csv_odd_names(spark, sf_dir):
+    """A range of rows over files in a folder whose name has blanks and signs of patterns."""
+    path = scratch_path(spark, "csv odd [names] 100%")
+    src = _csv_source(spark, sf_dir).repartitionByRange(parallelism(spark), "event_id").sortWithinPartitions("event_id")
+    export_csv(src, path, **CSV_OPTIONS)
+    pattern = path.replace("[", "\\[").replace("]", "\\]")
+    good, _ = import_csv(spark, f"{pattern}/*.csv", CSV_SCHEMA, skiprows=CSV_SKIPROWS, maxrows=CSV_MAXROWS, **CSV_OPTIONS)
+    return widen(good)
+
+
 TEXT_SCHEMA = StructType([StructField("event_id", LongType()), StructField("t", StringType())])
 
 
@@ -463,6 +500,16 @@ def q_csv_encoding_skip(spark, sf_dir):
     return import_csv(spark, path, TEXT_SCHEMA, skiprows=CSV_SKIPROWS, maxrows=CSV_MAXROWS, **opts)[0]
 
 
+def q_csv_control_chars(spark, sf_dir):
+    """Text with each of the control characters but line ends, and blanks around it."""
+    path = scratch_path(spark, "csv_control")
+    code = F.pmod(F.col("event_id"), F.lit(30))
+    sign = F.chr(F.when(code == 10, 30).when(code == 13, 31).otherwise(code))
+    text = events(spark, sf_dir).select("event_id", F.concat(sign, F.lit(" y"), sign, F.lit("z "), sign).alias("t"))
+    export_csv(text, path)
+    return import_csv(spark, path, TEXT_SCHEMA, maxparseerrors=0)[0]
+
+
 def q_csv_multiline(spark, sf_dir):
     """Quoted fields with line breaks, separators and quotes."""
     path = scratch_path(spark, "csv_multiline")
@@ -587,6 +634,8 @@ QUERIES: dict[str, Query] = {
     "props_json": q_props_json,
     "stream_ingest": q_stream_ingest,
     "stream_restart": q_stream_restart,
+    "stream_new_checkpoint": q_stream_new_checkpoint,
+    "stream_compact_stream": q_stream_compact_stream,
     "stream_then_copy": q_stream_then_copy,
     "stored_step_flags": q_stored_step_flags,
     "table_pages_all": q_table_pages_all,
@@ -618,7 +667,9 @@ QUERIES: dict[str, Query] = {
     "csv_stream_import": q_csv_stream_import,
     "csv_bad_lines": q_csv_bad_lines,
     "csv_skip_max": q_csv_skip_max,
+    "csv_odd_names": q_csv_odd_names,
     "csv_encoding_skip": q_csv_encoding_skip,
+    "csv_control_chars": q_csv_control_chars,
     "csv_multiline": q_csv_multiline,
     "append_result": q_append_result,
     "hash_range_cover": q_hash_range_cover,

@@ -118,6 +118,8 @@ ORACLE: dict[str, str] = {
     "props_json": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events",
     "stream_ingest": _with(f'SELECT {REPORT}, CAST("timestamp" AS DATE) AS reading_date FROM rid'),
     "stream_restart": _with(f'SELECT {REPORT}, CAST("timestamp" AS DATE) AS reading_date FROM rid'),
+    "stream_new_checkpoint": _with(f'SELECT {REPORT}, CAST("timestamp" AS DATE) AS reading_date FROM rid'),
+    "stream_compact_stream": _with(f'SELECT {REPORT}, CAST("timestamp" AS DATE) AS reading_date FROM rid'),
     "stream_then_copy": _with(
         f'SELECT {REPORT}, CAST("timestamp" AS DATE) AS reading_date FROM rid UNION ALL '
         f'SELECT {REPORT}, CAST("timestamp" AS DATE) AS reading_date FROM rid'
@@ -239,6 +241,12 @@ FROM events WHERE event_id % 4 <> 0
         f'SELECT event_id, sensor, {W}, "timestamp", co2 BETWEEN {CO2_MIN} AND {CO2_MAX} AS co2_in_range '
         f"FROM r ORDER BY event_id LIMIT {CSV_MAXROWS} OFFSET {CSV_SKIPROWS}"
     ),
+    "csv_odd_names": _with(
+        f'SELECT event_id, sensor, {W}, "timestamp", co2 BETWEEN {CO2_MIN} AND {CO2_MAX} AS co2_in_range '
+        f"FROM r ORDER BY event_id LIMIT {CSV_MAXROWS} OFFSET {CSV_SKIPROWS}"
+    ),
+    "csv_control_chars": "SELECT event_id, c || ' y' || c || 'z ' || c AS t FROM (SELECT event_id, "
+    "chr(CAST(CASE event_id % 30 WHEN 10 THEN 30 WHEN 13 THEN 31 ELSE event_id % 30 END AS INTEGER)) AS c FROM events)",
     "append_result": _with(f"SELECT {REPORT} FROM rid UNION ALL SELECT {REPORT} FROM rid"),
     "hash_range_cover": "SELECT count(*) AS n_rows, count(DISTINCT event_id) AS n_distinct FROM events",
     "expiry": f"""

@@ -4,15 +4,19 @@ Import reads whole lines in the file's charset, parses each once into text field
 converts each column by the option set, and splits the rows into ``(good, bad)``: a line
 with the wrong number of fields, or a value that does not convert, goes to ``bad`` with the
 source line as it stands in the file, the file and the reason. Every option goes through
-the same reader; only ``multiline`` (quoted fields with line breaks) must let Spark's CSV
-reader find the rows, and then a bad row's line is written anew from its fields. Export
+the same reader; with ``multiline`` (quoted fields with line breaks) a row is a record of
+several lines, found in parallel (``multiline``); only on streams, and in charsets of wider
+units, Spark's CSV reader finds the rows, a file is then one task, and a bad row's line is
+written anew from its fields. Export
 formats each column to text by type and writes with Spark's CSV writer; parallelism is the
 DataFrame's partitions.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -37,6 +41,7 @@ from sensorlake.functions.time import format_ts, strftime_to_spark, utc_wall_clo
 from sensorlake.operators.keys import hash_range
 from sensorlake.schema import CORRUPT_COLUMN
 from sensorlake.session import checkpoint_dir
+from sensorlake.sources.multiline import records
 
 # Option defaults of the COPY command.
 DEFAULTS = {
@@ -56,6 +61,9 @@ DEFAULTS = {
 REASON_MALFORMED_LINE = "malformed_line"
 REASON_BAD_VALUE = "bad_value"
 _LINE = "_line"
+_WHOLE = "_whole"
+#: Charsets in which a line feed is one byte that is part of no other character.
+_BYTEWISE = ("utf-8", "us-ascii", "iso-8859-1")
 
 
 class ParseErrorLimitExceeded(RuntimeError):
@@ -110,17 +118,32 @@ def _convert(text: Column, field: StructField, fmt: str, decimalsep: str, thousa
 
 def _lines(reader, encoding: str, header: bool):
     """A reader of whole lines in the given charset, each file's header left out: a CSV reader
-    whose separator and quote don't occur in text."""
+    of one field, whose separator and quote are no characters of any text. Should a line hold
+    them all the same, it has too many fields and comes back whole in ``_whole``."""
     return (
-        reader.schema(StructType([StructField(_LINE, StringType(), True)]))
-        .option("sep", "\u0001")
-        .option("quote", "\u0000")
-        .option("escape", "\u0000")
+        reader.schema(StructType([StructField(_LINE, StringType(), True), StructField(_WHOLE, StringType(), True)]))
+        .option("columnNameOfCorruptRecord", _WHOLE)
+        .option("sep", "\ufdd0")
+        .option("quote", "\ufdd1")
+        .option("escape", "\ufdd1")
         .option("encoding", _charset(encoding))
         .option("header", str(bool(header)).lower())
     )
 
 
+def _physical_lines(reader, where, encoding: str, meta: list[Column]) -> DataFrame:
+    """All lines, empty ones too, with their split and a number that ascends within it."""
+    raw = reader.option("lineSep", "\n").text(where).select("value", *meta, F.monotonically_increasing_id().alias("_m"))
+    text = F.col("value") if _charset(encoding) != "iso-8859-1" else F.decode(F.col("value").cast("binary"), "ISO-8859-1")
+    return raw.select("source", "_block", "_m", F.regexp_replace(text, "\r$", "").alias(_LINE))
+
+
+def _literal_path(uri: str) -> str:
+    """The path that names exactly the file of a ``_metadata.file_path``, which is encoded as a
+    URI; a reader takes paths as patterns."""
+    return re.sub(r"([\\{}\[\]*?])", r"\\\1", unquote(uri))
+
+
 def _between_rows(rows: DataFrame, read_file, first: int, stop: int | None) -> DataFrame:
     """Rows whose 0-based position over the files (sorted by path, then by place) is in
     ``[first, stop)``. ``rows`` has ``source`` (the file).
@@ -142,7 +165,10 @@ def _between_rows(rows: DataFrame, read_file, first: int, stop: int | None) -> D
             parts.append((r["source"], lo, hi))
     out = rows.where(F.col("source").between(whole[0], whole[-1]) if whole else F.lit(False))
     for source, lo, hi in parts:
-        placed = read_file(source).withColumn("_m", F.monotonically_increasing_id()).checkpoint()
+        placed = read_file(_literal_path(source))
+        if "_m" not in placed.columns:
+            placed = placed.withColumn("_m", F.monotonically_increasing_id())
+        placed = placed.checkpoint()
         blocks = placed.groupBy("_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_m").alias("_m0"))
         # One row for each split of one file.
         before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
@@ -185,8 +211,8 @@ def import_csv(
     schema's). ``good`` has the converted columns minus ``skipcols``; ``bad`` has
     ``line``, ``source`` and ``reason``. ``header`` drops the first line of every file.
     ``skiprows``/``maxrows`` count rows over the files sorted by path, without headers and
-    empty lines. ``multiline`` reads quoted fields with line breaks (a file is then one
-    task). ``maxparseerrors`` >= 0 counts bad lines first and raises
+    empty lines. ``multiline`` reads quoted fields with line breaks; a break within a field
+    comes as a line feed. ``maxparseerrors`` >= 0 counts bad lines first and raises
     ``ParseErrorLimitExceeded`` above it; ``errfile`` appends the bad lines as text. ``ttl`` (seconds) adds ``expires_at`` = import time +
     ttl (no column: rows never expire).
 
@@ -219,13 +245,27 @@ def import_csv(
         if stream and max_files_per_trigger:
             reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
         meta = [F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("_block")]
-        if multiline:
+        if multiline and (stream or not quote or _charset(encoding) not in _BYTEWISE):
             reader = reader.schema(text_schema).options(**opts).option("header", str(bool(header)).lower())
             found = reader.option("multiLine", "true").csv(where).select("*", *meta)
-            return found.withColumn(_LINE, F.col(f"`{CORRUPT_COLUMN}`"))
+            written = F.to_csv(
+                F.struct(*[F.col(f"`{n}`") for n in names]), {"sep": delimiter, "quote": quote, "escape": escape, "nullValue": null}
+            )
+            return found.withColumn(_LINE, F.coalesce(f"`{CORRUPT_COLUMN}`", written))
+        if multiline:
+            lines = records(_physical_lines(reader, where, encoding, meta), delimiter, quote, escape)
+            if header:  # a file's first record, however many lines it has
+                lines = lines.where((F.col("_block") > 0) | (F.col("_m") > 1))
+        else:
+            lines = _lines(reader, encoding, header).csv(where).select(F.coalesce(_WHOLE, _LINE).alias(_LINE), *meta)
         ddl = ", ".join(f"`{f.name}` string" for f in text_schema.fields)
-        parsed = F.from_csv(F.col(_LINE), ddl, {k: v for k, v in opts.items() if k != "encoding"})
-        return _lines(reader, encoding, header).csv(where).select(_LINE, parsed.alias("_r"), *meta).select("_r.*", _LINE, "source", "_block")
+        # The parser takes these two for ends of its input, and would go wrong in the next line.
+        odd = F.col(_LINE).contains("\uffff") | F.col(_LINE).contains("\ufffe")
+        parsed = F.from_csv(F.when(~odd, F.col(_LINE)), ddl, {k: v for k, v in opts.items() if k != "encoding"})
+        corrupt = F.when(odd, F.col(_LINE)).otherwise(F.col(f"_r.`{CORRUPT_COLUMN}`")).alias(CORRUPT_COLUMN)
+        fields = [F.col(f"_r.`{n}`") for n in names]
+        place = [c for c in ("source", "_block", "_m") if c in lines.columns]
+        return lines.select(_LINE, parsed.alias("_r"), *place).select(*fields, corrupt, _LINE, *place)
 
     raw = read(plist[0] if stream else plist)
     if skiprows > 0 or maxrows >= 0:
@@ -237,12 +277,10 @@ def import_csv(
     }
     failed = [F.when(F.col(f"`{n}`").isNotNull() & converted[n].isNull(), F.lit(n)) for n in names if n not in skip]
     bad_cols = F.concat_ws(",", *failed) if failed else F.lit("")
-    fields = F.struct(*[F.col(f"`{n}`") for n in names])
-    written = F.to_csv(fields, {"sep": delimiter, "quote": quote, "escape": escape, "nullValue": null})
     tagged = raw.select(
         *[converted[n].alias(n) for n in names],
         F.col(CORRUPT_COLUMN),
-        (F.coalesce(_LINE, written) if multiline else F.col(_LINE)).alias(_LINE),
+        F.col(_LINE),
         bad_cols.alias("_bad_cols"),
         F.col("source"),
     )
@@ -358,6 +396,8 @@ def export_csv(
         .option("header", str(bool(header)).lower())
         .option("nullValue", null)
         .option("encoding", _charset(encoding))
+        .option("ignoreLeadingWhiteSpace", "false")
+        .option("ignoreTrailingWhiteSpace", "false")
     )
     if maxoutputsize and maxoutputsize > 0:
         w = w.option("maxRecordsPerFile", str(maxoutputsize))

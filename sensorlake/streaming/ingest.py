@@ -1,15 +1,17 @@
 """The ingest job: decode, type, id, and append to a date-partitioned Parquet table.
 
 Works on a streaming or a batch message DataFrame. Each micro-batch is written to a folder
-named after its number; offsets are logged before a micro-batch, so a batch that is run
-again after a failure has the same rows and replaces its folder: exactly once. Other
+named after its number, in a folder named after the stream's id; offsets are logged before a
+micro-batch, so a batch that is run again after a failure has the same rows and replaces its
+folder: exactly once. The id lies in the checkpoint, so a stream that starts with a new
+checkpoint, also at the path of a lost one, is another writer and replaces nothing. Other
 writers may add to the same table meanwhile. With ``id_mode="stable"`` the id is a function
 of (topic, partition, offset), so any other sink can be de-duplicated by ``id`` as well.
 """
 
 from __future__ import annotations
 
-import hashlib
+import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +20,7 @@ from pyspark.sql.streaming import StreamingQuery
 from sensorlake.operators.readings import type_readings, with_id
 from sensorlake.schema import METRICS, READING
 from sensorlake.sources.messages import decode_messages, split_malformed
-from sensorlake.sources.table import read_table, table_bytes, utc_date, write_batch
+from sensorlake.sources.table import read_table, table_bytes, utc_date, write_batch, write_sorted
 
 _COORDS = ("key", "topic", "partition", "offset")
 
@@ -53,6 +55,13 @@ def quarantine_frame(messages: DataFrame, id_mode: str = "stable", ntz: bool = F
     return _table_rows(good, id_mode, ntz), bad.drop("key")
 
 
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that Spark gave the stream when its checkpoint was made: the same after every
+    restart from it. (A copy of a checkpoint is the same stream.)"""
+    text = "".join(r.value for r in spark.read.text(f"{checkpoint.rstrip('/')}/metadata").collect())
+    return json.loads(text)["id"]
+
+
 def start_ingest(
     stream: DataFrame,
     table_path: str,
@@ -63,17 +72,21 @@ def start_ingest(
     fmt: str = "parquet",
 ) -> StreamingQuery:
     """Append ``stream`` to ``table_path``, exactly once, beside any other writer. The
-    stream's folder in the table is named after its checkpoint.
+    stream's folder in the table is named after the stream's id. If a checkpoint is lost, rows
+    that the new stream reads again are in the table twice, with the same stable id;
+    ``compact_table(one_per_id=True)`` keeps one of them.
 
     ``trigger``: ``None`` (next batch as soon as the previous ends), or a dict such as
     ``{"processingTime": "30 seconds"}`` (fewer, larger files) or
     ``{"availableNow": True}`` (drain what is there, then stop). Rows with a NULL
     timestamp land in the default partition, late rows in their own date.
     """
-    source = "stream-" + hashlib.md5(checkpoint.rstrip("/").encode()).hexdigest()[:12]
+    names: list[str] = []
 
     def save(batch: DataFrame, number: int) -> None:
-        write_batch(batch, table_path, source, number, partition_by, fmt)
+        if not names:
+            names.append("stream-" + stream_id(batch.sparkSession, checkpoint))
+        write_batch(batch, table_path, names[0], number, partition_by, fmt)
 
     w = stream.writeStream.foreachBatch(save).outputMode("append").option("checkpointLocation", checkpoint)
     if trigger:
@@ -93,6 +106,7 @@ def compact_table(
     partitions: int | None = None,
     max_records_per_file: int | None = None,
     target_file_bytes: int = TARGET_FILE_BYTES,
+    one_per_id: bool = False,
 ) -> None:
     """Rewrite the many small files of a streamed table into fewer, time-sorted ones.
 
@@ -100,13 +114,11 @@ def compact_table(
     several tasks instead of one, and sorted files give tight min/max statistics for
     time predicates. The number of ranges follows the table's size (about
     ``target_file_bytes`` per task), not a fixed shuffle setting, so a task never has
-    to sort a share that grows with the table."""
+    to sort a share that grows with the table. ``one_per_id`` keeps one row of each id
+    (messages that were read twice; one more shuffle, by id). ``sources.table.retire_batches``
+    does the same to the batches of a running stream, in place."""
     df = read_table(spark, table_path)
     n = partitions or max(1, -(-table_bytes(spark, table_path) // target_file_bytes))
-    out = df.repartitionByRange(n, "reading_date", "timestamp", "id").sortWithinPartitions(
-        "reading_date", "timestamp", "id"
-    )
-    w = out.write.mode("overwrite").partitionBy("reading_date")
-    if max_records_per_file:
-        w = w.option("maxRecordsPerFile", str(max_records_per_file))
-    w.parquet(out_path)
+    if one_per_id:
+        df = df.dropDuplicates(["id"])
+    write_sorted(df, out_path, n, max_records_per_file)
