@@ -121,7 +121,7 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     paths = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
-    return token_alignment.link_scores(docs, *paths)
+    return token_alignment.link_scores(docs, *paths, public_tokenizers.PATTERN)
 
 
 def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,8 @@
 """Alignment of two tokenizers' tokens over the same texts, by galloping intersection.
 
 1. Each text, with a space before it, becomes two lists of byte offsets at which tokens end:
-   that of a byte-level BPE vocabulary (A) and that of a sentencepiece model (B, which adds the
-   space itself). Words are looked up in a table of remembered words: at a single space
-   between other characters both tokenizers start a new token.
+   that of a byte-level BPE vocabulary (A, whose words ``pattern`` splits) and that of a
+   sentencepiece model (B, which adds the space itself).
 2. The shorter list drives: each of its ends starts from its proportional place in the longer
    list, doubles its step until the place lies between two probes, and halves the rest. All
    ends of a batch of texts gallop at once in numpy.
@@ -20,13 +19,15 @@ Defined cases: null and empty texts, and texts whose tokens of either kind do no
 text's own bytes (the sign U+2581, which B takes for a space), have no tokens: zeros, an empty
 digest, no pairs. Every row is a document of its own, also where doc_ids repeat or are null.
 Special tokens' strings are plain text. Texts of over ``SEGMENT`` characters are worked on
-piece by piece, cut at spaces as above, so memory is bounded but for a single word's. An empty
+piece by piece, cut at a single space between other characters, where both tokenizers start a
+new token, so memory is bounded but for a single word's. An empty
 table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
@@ -38,8 +39,11 @@ from pyspark.sql import functions as F
 
 from sensorlake.session import scratch_path
 
-#: Words whose tokens are remembered in a task, at most, and their length.
-REMEMBERED, LONGEST = 300_000, 48
+#: Texts of these characters alone (Latin letters and punctuation) are split into words alike by
+#: all libraries, whatever their version of Unicode.
+COMMON = re.compile("[\\0-\u024f\u2010-\u2027\u2030-\u205e\u20ac]*")
+#: A space between other characters; neither tokenizer's tokens reach over its left side.
+SEAM = re.compile(r"[^\s▁] (?=[^\s▁])")
 #: Characters of text that are aligned at once, about.
 SEGMENT = 1 << 19
 #: Rows of the pair table that are broadcast, at most (two longs each).
@@ -61,88 +65,64 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class Pair:
-    """Both tokenizers, the bytes of their tokens, and the words met so far."""
+    """Both tokenizers and the bytes of their tokens. ``tiktoken`` reads the byte-level
+    vocabulary (an id is its token's merge rank) several times faster than ``tokenizers``; texts
+    with other characters than ``COMMON`` go to the latter, whose tables of letters count."""
 
-    def __init__(self, bpe_path: str, piece_path: str) -> None:
+    def __init__(self, bpe_path: str, piece_path: str, pattern: str) -> None:
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(bpe_path)
-        self.a.encode_special_tokens = True
+        self.library = Tokenizer.from_file(bpe_path)
+        self.library.encode_special_tokens = True
         with open(bpe_path, encoding="utf-8") as f:
-            vocabulary = {**json.load(f)["model"]["vocab"]}
+            vocabulary = json.load(f)["model"]["vocab"]
         code = byte_alphabet()
-        self.a_bytes = [b""] * (max(vocabulary.values()) + 1)
-        for token, i in vocabulary.items():
-            if all(c in code for c in token):
-                self.a_bytes[i] = bytes(code[c] for c in token)
+        ranks = {bytes(code[c] for c in t): i for t, i in vocabulary.items() if all(c in code for c in t)}
+        special = {t for t in self.library.get_added_tokens_decoder()}
+        ranks = {t: i for t, i in ranks.items() if i not in special}
+        self.a = tiktoken.Encoding("a", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.b = sentencepiece.SentencePieceProcessor(model_file=piece_path)
         size = self.b.get_piece_size()
         pieces = [self.b.id_to_piece(i) for i in range(size)]
-        self.b_bytes = [
-            bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)
-        ]
+        self.a_bytes = np.full(max(vocabulary.values()) + 1, b"", dtype=object)
+        for token, i in ranks.items():
+            self.a_bytes[i] = token
+        self.b_bytes = np.full(size, b"", dtype=object)
+        for i, piece in enumerate(pieces):
+            self.b_bytes[i] = bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode()
         self.a_size = np.array([len(x) for x in self.a_bytes])
         self.b_size = np.array([len(x) for x in self.b_bytes])
-        # Words can be looked up one by one if no piece reaches over a space.
+        # Texts can be cut at spaces if no piece reaches over one.
         identity = b"\x0a\x08identity" in self.b.serialized_model_proto()
         self.by_word = identity and not any("▁" in p.lstrip("▁") for p in pieces)
-        self.known: dict[str, tuple[bytes, bytes] | None] = {}
         self.labels = np.array([f"{i}{end}" for i in range(max(size, len(self.a_bytes))) for end in ",|;"], dtype=object)
 
-    def units(self, text: str) -> list[str]:
-        """``text`` with a space before it, cut before each single space between other
-        characters."""
-        if not self.by_word:
-            return [" " + text]
-        out, open_ = [], ""
-        for word in text.split(" "):
-            if open_ and (not word or word[0].isspace() or open_[-1].isspace()):
-                open_ += " " + word
-                continue
-            if open_:
-                out.append(open_)
-            open_ = " " + word
-        out.append(open_)
-        return out
-
-    def tokens(self, unit: str) -> tuple[bytes, bytes] | None:
-        """The ids of a unit as unsigned 32-bit bytes; None if they don't join to it."""
-        a = self.a.encode(unit, add_special_tokens=False).ids
-        b = self.b.encode(unit[1:])
-        raw = unit.encode()
-        same = b"".join([self.a_bytes[i] for i in a]) == raw == b"".join([self.b_bytes[i] for i in b])
-        found = (np.array(a, "<u4").tobytes(), np.array(b, "<u4").tobytes()) if same else None
-        if len(unit) <= LONGEST:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            self.known[unit] = found
-        return found
-
-    def ids(self, units: list[str]) -> tuple[bytes, bytes] | None:
-        known = self.known
-        found = [known[u] if u in known else self.tokens(u) for u in units]
-        return None if None in found else (b"".join([x[0] for x in found]), b"".join([x[1] for x in found]))
-
-    def segments(self, text: str) -> Iterator[tuple[bytes, bytes] | None]:
-        units = self.units(text)
-        if len(text) <= SEGMENT:
-            yield self.ids(units)
-            return
-        some, held = [], 0
-        for unit in units:
-            some.append(unit)
-            held += len(unit)
-            if held >= SEGMENT:
-                yield self.ids(some)
-                some, held = [], 0
-        if some:
-            yield self.ids(some)
+    def ids(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
+        """The ids of both kinds; None if they don't join to the text with a space before it."""
+        spaced = " " + text
+        if COMMON.fullmatch(spaced):
+            a = self.a.encode_to_numpy(spaced, disallowed_special=()).astype(np.int64)
+        else:
+            a = np.array(self.library.encode(spaced, add_special_tokens=False).ids, dtype=np.int64)
+        b, raw = np.array(self.b.encode(text), dtype=np.int64), spaced.encode()
+        same = b"".join(self.a_bytes[a].tolist()) == raw == b"".join(self.b_bytes[b].tolist())
+        return (a, b) if same else None
+
+    def segments(self, text: str) -> Iterator[tuple[np.ndarray, np.ndarray] | None]:
+        """``ids`` of the text in pieces of ``SEGMENT`` characters or more, cut before a single
+        space between other characters."""
+        begin = 0
+        while self.by_word and len(text) - begin > SEGMENT and (seam := SEAM.search(text, begin + SEGMENT)):
+            yield self.ids(text[begin : seam.start() + 1])
+            begin = seam.start() + 2
+        yield self.ids(text[begin:])
 
 
 @lru_cache(maxsize=2)
-def tokenizer_pair(bpe_path: str, piece_path: str) -> Pair:
-    return Pair(bpe_path, piece_path)
+def tokenizer_pair(bpe_path: str, piece_path: str, pattern: str) -> Pair:
+    return Pair(bpe_path, piece_path, pattern)
 
 
 def gallop(targets: np.ndarray, ends: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -185,11 +165,11 @@ def overlaps(short: np.ndarray, long: np.ndarray, start: np.ndarray) -> tuple[np
     return first, place - first + 1, common, place
 
 
-def aligned_batch(texts: list[tuple[bytes, bytes]], pair: Pair) -> Iterator[tuple[int, int, int, int, str, np.ndarray, np.ndarray]]:
+def aligned_batch(texts: list[tuple[np.ndarray, np.ndarray]], pair: Pair) -> Iterator[tuple[int, int, int, int, str, np.ndarray, np.ndarray]]:
     """n_a, n_b, n_groups, n_links, the groups as text, pairs and times for each of the texts
     (ids of both kinds), of which one tokenizer has the shorter list throughout."""
-    sizes = np.array([(len(a) // 4, len(b) // 4) for a, b in texts], dtype=np.int64).reshape(-1, 2)
-    ids = [np.frombuffer(b"".join([t[k] for t in texts]), "<u4").astype(np.int64) for k in (0, 1)]
+    sizes = np.array([(len(a), len(b)) for a, b in texts], dtype=np.int64)
+    ids = [np.concatenate([t[k] for t in texts]) for k in (0, 1)]
     ends = [np.cumsum(pair.a_size[ids[0]]), np.cumsum(pair.b_size[ids[1]])]
     offsets = np.vstack([[0, 0], np.cumsum(sizes, axis=0)])
     s, l = (0, 1) if sizes[:, 0].sum() <= sizes[:, 1].sum() else (1, 0)  # noqa: E741
@@ -228,7 +208,7 @@ def aligned_batch(texts: list[tuple[bytes, bytes]], pair: Pair) -> Iterator[tupl
         yield int(sizes[i, 0]), int(sizes[i, 1]), int(n_groups[i]), int(n_links[i]), groups, pairs[at], times[at]
 
 
-def aligned_text(segments: Iterator[tuple[bytes, bytes] | None], pair: Pair) -> tuple:
+def aligned_text(segments: Iterator[tuple[np.ndarray, np.ndarray] | None], pair: Pair) -> tuple:
     """The result of a long text, segment by segment."""
     total, digest, pairs, times, sep = np.zeros(4, dtype=np.int64), sha256(), np.zeros(0, np.int64), np.zeros(0, np.int64), b""
     for ids in segments:
@@ -246,12 +226,12 @@ def aligned_text(segments: Iterator[tuple[bytes, bytes] | None], pair: Pair) ->
 NOTHING = (0, 0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def align(docs: DataFrame, bpe_path: str, piece_path: str) -> DataFrame:
+def align(docs: DataFrame, bpe_path: str, piece_path: str, pattern: str) -> DataFrame:
     """row, doc_id, n_a, n_b, n_groups, n_links, groups_sha256, and the different linked
     (A id << ID_BITS | B id) ``pairs`` with their ``times``, for each row of ``docs``."""
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair = tokenizer_pair(bpe_path, piece_path)
+        pair = tokenizer_pair(bpe_path, piece_path, pattern)
         out: list[list] = [[] for _ in NAMES]
         waiting: list[list] = [[], []]  # (row, doc_id, ids), by which list is shorter
 
@@ -280,7 +260,7 @@ def align(docs: DataFrame, bpe_path: str, piece_path: str) -> DataFrame:
                     add(row, doc_id, NOTHING)
                 elif len(text) > SEGMENT:
                     add(row, doc_id, aligned_text(pair.segments(text), pair))
-                elif (ids := next(pair.segments(text))) is None:
+                elif (ids := pair.ids(text)) is None:
                     add(row, doc_id, NOTHING)
                 else:
                     waiting[len(ids[0]) > len(ids[1])].append((row, doc_id, ids))
@@ -311,12 +291,14 @@ def pair_counts(aligned: DataFrame) -> DataFrame:
     return counted.withColumn("best", F.col("n") == F.max("n").over(of_a))
 
 
-def link_scores(docs: DataFrame, bpe_path: str, piece_path: str, max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+def link_scores(
+    docs: DataFrame, bpe_path: str, piece_path: str, pattern: str, max_broadcast_rows: int = MAX_BROADCAST_ROWS
+) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best (links whose pair is a best one of its A id),
     count_sum (of the pairs' counts over all links), groups_sha256 for each row of ``docs``."""
     spark = docs.sparkSession
     path = scratch_path(spark, "token-alignment")
-    align(docs, bpe_path, piece_path).write.option("compression", "zstd").parquet(path)
+    align(docs, bpe_path, piece_path, pattern).write.option("compression", "zstd").parquet(path)
     aligned = spark.read.parquet(path)
     counts = pair_counts(aligned).checkpoint()
     # How often pairs occur, by powers of two: a few dozen rows.

@@ -21,6 +21,7 @@ from tests.conftest import SMOKE_DIR
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
+PATHS = (BPE, PIECES, public_tokenizers.PATTERN)
 
 
 @pytest.fixture(scope="module")
@@ -93,14 +94,14 @@ ODD = [
 def test_odd_texts(spark, libraries):
     docs = [(i if i % 7 else None, t) for i, t in enumerate([*ODD, *ODD])]
     df = spark.createDataFrame([(i, t, 1, "r") for i, t in docs], "doc_id long, text string, ROW int, pairs string")
-    assert rows(T.link_scores(df, BPE, PIECES)) == expected(docs, libraries)
+    assert rows(T.link_scores(df, *PATHS)) == expected(docs, libraries)
 
 
 def test_given_documents(spark, libraries):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMOKE_DIR}/documents.parquet").collect()]
     docs = sorted(docs, key=lambda d: len(d[1] or ""))[:120]
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    assert rows(T.link_scores(df, BPE, PIECES)) == expected(docs, libraries)
+    assert rows(T.link_scores(df, *PATHS)) == expected(docs, libraries)
 
 
 def test_query_covers_the_table(spark):
@@ -114,13 +115,13 @@ def test_rare_pairs_are_joined_when_the_table_is_large(spark, libraries):
     docs = [(i, t) for i, t in enumerate(ODD * 2 + ["one two three four", "one two", "one"])]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     for most in (0, 1, 40):
-        assert rows(T.link_scores(df, BPE, PIECES, max_broadcast_rows=most)) == expected(docs, libraries)
+        assert rows(T.link_scores(df, *PATHS, max_broadcast_rows=most)) == expected(docs, libraries)
 
 
 def test_long_texts_are_cut_into_segments(spark, libraries, monkeypatch):
-    pair = T.Pair(BPE, PIECES)
+    pair = T.tokenizer_pair(*PATHS)
     text = " ".join(f"word{i} naïve  你好, don't" for i in range(300))
-    whole = list(T.aligned_batch([next(pair.segments(text))], pair))[0]
+    whole = list(T.aligned_batch([pair.ids(text)], pair))[0]
     monkeypatch.setattr(T, "SEGMENT", 500)
     parts = T.aligned_text(pair.segments(text), pair)
     assert parts[:4] == whole[:4] and parts[4] == sha256(whole[4].encode()).hexdigest()
@@ -130,7 +131,7 @@ def test_long_texts_are_cut_into_segments(spark, libraries, monkeypatch):
 
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
-    assert T.link_scores(df, BPE, PIECES).collect() == []
+    assert T.link_scores(df, *PATHS).collect() == []
 
 
 @settings(max_examples=200, deadline=None)
@@ -148,11 +149,28 @@ def test_byte_alphabet_is_the_libraries():
     assert sorted(T.byte_alphabet().values()) == list(range(256))
 
 
+def test_ids_are_the_libraries(spark, libraries):
+    """On all given texts of sf0.01, and on every white space and sample of letters."""
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    spaces = [chr(c) for c in range(0x11000) if chr(c).isspace() or c % 97 == 0 and not 0xD800 <= c < 0xE000]
+    texts += [f"a{x}b {x}c{x} d{x}{x}1" for x in spaces if x != "▁"]
+    pair = T.tokenizer_pair(*PATHS)
+    for text in filter(None, texts):
+        a, b = pair.ids(text)
+        assert a.tolist() == libraries[0].encode(" " + text, add_special_tokens=False).ids
+        assert b.tolist() == libraries[1].encode(text)
+
+
 @settings(max_examples=150, deadline=None)
-@given(st.text(alphabet=st.sampled_from("ab1 .\t\n'é你 ▁́s"), max_size=30))
-def test_words_one_by_one_are_the_whole_text(text):
-    pair = T.tokenizer_pair(BPE, PIECES)
-    found = pair.ids(pair.units(text)) if text else None
-    if found is not None:
-        assert np.frombuffer(found[0], "<u4").tolist() == pair.a.encode(" " + text, add_special_tokens=False).ids
-        assert np.frombuffer(found[1], "<u4").tolist() == pair.b.encode(text)
+@given(st.text(alphabet=st.sampled_from("ab1 .\t\n'é你 ▁́s"), max_size=60))
+def test_segments_are_the_whole_text(text):
+    pair, old = T.tokenizer_pair(*PATHS), T.SEGMENT
+    try:
+        T.SEGMENT = 3
+        found = list(pair.segments(text))
+    finally:
+        T.SEGMENT = old
+    whole = pair.ids(text)
+    assert (None in [f and 1 for f in found]) == (whole is None)
+    if whole is not None:
+        assert [np.concatenate(x).tolist() for x in zip(*found, strict=True)] == [x.tolist() for x in whole]
