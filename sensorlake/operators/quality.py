@@ -1,7 +1,8 @@
 """Data-quality checks on readings, from the rules the sensor generator follows.
 
 ``range_flags`` and ``temperature_residual`` are row-local (streaming-safe);
-``step_flags`` compares each reading with the previous one of its sensor (batch only).
+``step_flags`` compares each reading with the previous one of its sensor (batch only;
+``streaming.steps.step_flags_stream`` does so on a stream).
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ HUMIDITY_STEP_WARM = (-0.8, 0.2)  # temperature above 24
 HUMIDITY_STEP_COOL = (-0.2, 0.8)
 WARM_ABOVE = 24.0
 TEMPERATURE_NOISE = 0.3
+STEP_METRICS = ["pm25", "pm10", "co2", "humidity"]
 # Slack for rounding to two places and float32 storage.
 STEP_SLACK = 0.006
 RESIDUAL_SLACK = 0.005
@@ -55,9 +57,13 @@ def step_flags(
     current reading's temperature (strictly above 24 is warm; NULL counts as cool).
     First reading of a sensor: NULL steps and flags (batch only)."""
     tb = [tiebreak] if isinstance(tiebreak, str) else list(tiebreak)
-    metrics = ["pm25", "pm10", "co2", "humidity"]
-    prev = with_previous(df, sensor, [ts, *tb], metrics, prefix="_prev_", rows_per_slice=rows_per_slice)
-    d = {m: F.col(m).cast("double") - F.col(f"_prev_{m}").cast("double") for m in metrics}
+    prev = with_previous(df, sensor, [ts, *tb], STEP_METRICS, prefix="_prev_", rows_per_slice=rows_per_slice)
+    return flags_from_previous(prev)
+
+
+def flags_from_previous(prev: DataFrame) -> DataFrame:
+    """Replace ``_prev_<metric>`` (the previous reading's) by the steps and their flags."""
+    d = {m: F.col(m).cast("double") - F.col(f"_prev_{m}").cast("double") for m in STEP_METRICS}
     warm = F.col("temperature") > WARM_ABOVE
     hum_ok = F.when(
         d["humidity"].isNotNull(),
@@ -67,7 +73,7 @@ def step_flags(
     )
     return prev.select(
         *[c for c in prev.columns if not c.startswith("_prev_")],
-        *[d[m].alias(f"{m}_step") for m in metrics],
+        *[d[m].alias(f"{m}_step") for m in STEP_METRICS],
         _within(d["pm25"], *PM_STEP).alias("pm25_step_ok"),
         _within(d["pm10"], *PM_STEP).alias("pm10_step_ok"),
         _within(d["co2"], *CO2_STEP).alias("co2_step_ok"),

@@ -52,11 +52,20 @@ from sensorlake.plans.fixtures import (
     props_k,
     split_readings,
 )
-from sensorlake.schema import METRICS, TABLE
+from sensorlake.schema import ENVELOPE, METRICS, READING, TABLE
 from sensorlake.session import parallelism, scratch_path
 from sensorlake.sources.csv import export_csv, import_csv
-from sensorlake.sources.table import append_result, read_table, retire_batches, write_batch
-from sensorlake.streaming.ingest import compact_table
+from sensorlake.sources.messages import decode_messages, read_messages
+from sensorlake.sources.table import (
+    append_result,
+    read_table,
+    read_token_range,
+    retire_batches,
+    write_batch,
+    write_by_token,
+)
+from sensorlake.streaming.ingest import compact_table, ingest_frame
+from sensorlake.streaming.steps import step_flags_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -215,6 +224,41 @@ def q_stored_step_flags(spark, sf_dir):
     return s.select("id", "sensor", F.round("co2_step", 6).alias("co2_step"), "pm25_step_ok", "co2_step_ok", "humidity_step_ok")
 
 
+def q_stream_step_flags(spark, sf_dir):
+    """Steps of ``stored_step_flags`` found on the stream, which is stopped and started again
+    three times: each quarter of the time range is one micro-batch."""
+    base = scratch_path(spark, "stream_step_flags")
+    env = envelopes_from_events(events(spark, sf_dir))
+    micros = F.unix_micros("timestamp")
+    low, high = env.agg(F.min(micros), F.max(micros)).first()
+    env = env.withColumn("quarter", F.floor(4 * (micros - F.lit(low)) / F.lit(high - low + 1)))
+    for n in range(4):
+        _messages(spark, env.where(F.col("quarter") == n).drop("quarter"), f"{base}/messages")
+        messages = read_messages(spark, fmt="parquet", path=f"{base}/messages", schema=ENVELOPE)
+        flags = step_flags_stream(ingest_frame(messages))
+        sink = flags.writeStream.format("parquet").option("checkpointLocation", f"{base}/checkpoint")
+        sink.trigger(availableNow=True).start(f"{base}/flags").awaitTermination()
+    s = spark.read.schema(flags.schema).parquet(f"{base}/flags").where("not late")
+    return s.select("id", "sensor", F.round("co2_step", 6).alias("co2_step"), "pm25_step_ok", "co2_step_ok", "humidity_step_ok")
+
+
+def q_stored_lookup(spark, sf_dir):
+    """The reading of one event by its id, on the compacted table."""
+    table = _ingest(spark, sf_dir, "stored_lookup")
+    compact_table(spark, table, f"{table}_compacted")
+    wanted = lookup(_readings(spark, sf_dir), "event_id", LOOKUP_EVENT_ID).select("id").first().id
+    return _table_out(lookup(read_table(spark, f"{table}_compacted"), "id", wanted))
+
+
+def q_token_ranges(spark, sf_dir):
+    """The readings stored by token and read back range by range: their union is the table."""
+    path = scratch_path(spark, "token_ranges")
+    readings = _readings(spark, sf_dir).select("event_id", "sensor", *METRICS, "timestamp")
+    write_by_token(readings, path, ["sensor", "event_id"], max(N_TOKEN_RANGES, parallelism(spark)))
+    parts = [read_token_range(spark, path, b, e) for b, e in token_splits(N_TOKEN_RANGES)]
+    return widen(reduce(DataFrame.unionByName, parts).drop("token"))
+
+
 def q_table_pages_all(spark, sf_dir):
     """A table that holds rows without a time, as key ranges put one behind the other: each
     begins with a page of at most ``PAGE_SIZE`` rows, the rest of the range follows that page's
@@ -352,7 +396,8 @@ def q_row_numbers_outlier(spark, sf_dir):
 
 
 def q_row_count(spark, sf_dir):
-    return row_count(_readings(spark, sf_dir))
+    """Counting needs no field of the messages, so none is written or parsed."""
+    return row_count(decode_messages(envelopes_from_events(events(spark, sf_dir)), READING, keep=["offset"], parse_once=False))
 
 
 def q_unpivot(spark, sf_dir):
@@ -638,6 +683,9 @@ QUERIES: dict[str, Query] = {
     "stream_compact_stream": q_stream_compact_stream,
     "stream_then_copy": q_stream_then_copy,
     "stored_step_flags": q_stored_step_flags,
+    "stream_step_flags": q_stream_step_flags,
+    "stored_lookup": q_stored_lookup,
+    "token_ranges": q_token_ranges,
     "table_pages_all": q_table_pages_all,
     "compacted_table": q_compacted_table,
     "dashboard": q_dashboard,

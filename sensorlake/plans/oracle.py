@@ -131,6 +131,13 @@ ORACLE: dict[str, str] = {
         f"THEN {_between('humidity_step', *HUMIDITY_STEP_WARM)} "
         f"ELSE {_between('humidity_step', *HUMIDITY_STEP_COOL)} END AS humidity_step_ok FROM steps"
     ),
+    "stream_step_flags": _with(
+        f", {_STEP_STORED} SELECT id, sensor, round(co2_step, 6) AS co2_step, "
+        f"{_between('pm25_step', *PM_STEP)} AS pm25_step_ok, {_between('co2_step', *CO2_STEP)} AS co2_step_ok, "
+        f"CASE WHEN humidity_step IS NULL THEN NULL WHEN temperature > {WARM_ABOVE} "
+        f"THEN {_between('humidity_step', *HUMIDITY_STEP_WARM)} "
+        f"ELSE {_between('humidity_step', *HUMIDITY_STEP_COOL)} END AS humidity_step_ok FROM steps"
+    ),
     "table_pages_all": _with(
         ', t AS (SELECT id, CASE WHEN event_id % 10 <> 0 THEN "timestamp" END AS "timestamp" FROM rid), '
         'n AS (SELECT *, row_number() OVER (ORDER BY "timestamp" NULLS FIRST, id) - 1 AS place FROM t) '
@@ -241,6 +248,10 @@ FROM events WHERE event_id % 4 <> 0
         f'SELECT event_id, sensor, {W}, "timestamp", co2 BETWEEN {CO2_MIN} AND {CO2_MAX} AS co2_in_range '
         f"FROM r ORDER BY event_id LIMIT {CSV_MAXROWS} OFFSET {CSV_SKIPROWS}"
     ),
+    "stored_lookup": _with(
+        f'SELECT {REPORT}, CAST("timestamp" AS DATE) AS reading_date FROM rid WHERE event_id = {LOOKUP_EVENT_ID}'
+    ),
+    "token_ranges": _with(f'SELECT event_id, sensor, {W}, "timestamp" FROM r'),
     "csv_odd_names": _with(
         f'SELECT event_id, sensor, {W}, "timestamp", co2 BETWEEN {CO2_MIN} AND {CO2_MAX} AS co2_in_range '
         f"FROM r ORDER BY event_id LIMIT {CSV_MAXROWS} OFFSET {CSV_SKIPROWS}"

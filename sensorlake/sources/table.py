@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sensorlake.functions.time import utc_wall_clock
+from sensorlake.operators.keys import token
 from sensorlake.schema import TABLE
 
 
@@ -131,9 +132,11 @@ def retire_batches(spark: SparkSession, table_path: str, target_file_bytes: int
 
 def write_sorted(df: DataFrame, out_path: str, tasks: int, max_records_per_file: int | None = None) -> None:
     """Rows of the table in time-sorted files, range-partitioned on (reading_date, timestamp,
-    id), so that a busy day spreads over several tasks and time predicates skip files."""
+    id), so that a busy day spreads over several tasks and time predicates skip files. Every row
+    group has a Bloom filter of its ids, so a lookup by id reads few of them."""
     order = ["reading_date", "timestamp", "id"]
     w = df.repartitionByRange(tasks, *order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("reading_date")
+    w = w.option("parquet.bloom.filter.enabled#id", "true").option("parquet.bloom.filter.adaptive.enabled", "true")
     if max_records_per_file:
         w = w.option("maxRecordsPerFile", str(max_records_per_file))
     w.parquet(out_path)
@@ -185,6 +188,25 @@ def table_bytes(spark: SparkSession, table_path: str) -> int:
     return sum(_bytes(spark, f"{table_path.rstrip('/')}/{f}") for f in live_folders(spark, table_path, mark))
 
 
+def write_by_token(df: DataFrame, path: str, keys, files: int) -> None:
+    """Store ``df`` clustered by the hash of its keys (``operators.keys.token``, stored as the
+    column ``token``): each of about ``files`` files holds one contiguous range of tokens."""
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    with_token = df.withColumn("token", token(*keys))
+    with_token.repartitionByRange(files, "token").sortWithinPartitions("token").write.mode("overwrite").parquet(path)
+
+
+def read_token_range(spark: SparkSession, path: str, begin: int | None = None, end: int | None = None) -> DataFrame:
+    """Rows of a table of ``write_by_token`` with a token in ``[begin, end)``. The bounds reach
+    the Parquet reader, which skips all row groups whose least and greatest token lie outside."""
+    df = spark.read.parquet(path)
+    if begin is not None:
+        df = df.where(F.col("token") >= F.lit(begin))
+    if end is not None:
+        df = df.where(F.col("token") < F.lit(end))
+    return df
+
+
 def append_result(df: DataFrame, path: str, fmt: str = "parquet", **options) -> None:
     """Append a query result to files at ``path`` (the file form of capturing output)."""
     df.write.mode("append").format(fmt).options(**options).save(path)
