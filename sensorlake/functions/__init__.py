@@ -2,6 +2,7 @@
 
 from sensorlake.functions.numbers import (
     clamp,
+    fixed_text,
     format_number,
     localize,
     parse_number,
@@ -30,6 +31,7 @@ __all__ = [
     "clamp",
     "decode_epoch_ms",
     "diurnal_baseline",
+    "fixed_text",
     "format_bool",
     "format_number",
     "format_ts",

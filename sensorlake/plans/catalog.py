@@ -619,9 +619,7 @@ def q_parse_bool(spark, sf_dir):
 
 def q_format_columns(spark, sf_dir):
     r = _readings(spark, sf_dir)
-    # A double whose exact decimal expansion ends before 12 places (a multiple of 2^-10):
-    # formatting needs no rounding, so it cannot hit a binary tie where Java rounds half
-    # up and C rounds half to even.
+    # A multiple of 2^-10.
     wide = F.col("event_id").cast("double") / F.lit(1024.0)
     return r.select(
         "event_id",
@@ -632,6 +630,19 @@ def q_format_columns(spark, sf_dir):
     )
 
 
+def q_format_exact(spark, sf_dir):
+    """Numbers at half a unit of the last digit: exactly (ties), and only in their shortest form."""
+    ev = events(spark, sf_dir)
+    i = F.col("event_id").cast("double")
+    return ev.select(
+        "event_id",
+        format_number((i + 0.5) / F.lit(8.0), 3, trim_zeros=False).alias("tie_text"),
+        format_number((i * 2 + 1) / F.lit(-2000.0), 3, trim_zeros=False).alias("near_tie_text"),
+        format_number(i + 0.5, 0).alias("whole_text"),
+        format_number(F.col("value") * F.lit(1e9), 6, trim_zeros=False).alias("large_text"),
+    )
+
+
 def q_clamp_round(spark, sf_dir):
     r = _readings(spark, sf_dir)
     return widen(
@@ -726,6 +737,7 @@ QUERIES: dict[str, Query] = {
     "parse_number": q_parse_number,
     "parse_bool": q_parse_bool,
     "format_columns": q_format_columns,
+    "format_exact": q_format_exact,
     "clamp_round": q_clamp_round,
     "range_flags": q_range_flags,
     "step_flags": q_step_flags,

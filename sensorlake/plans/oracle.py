@@ -295,6 +295,10 @@ FROM events
         f"{_PM10_TEXT} AS pm10_text, {_VALUE_TEXT} AS value_text, {_GROUPED_TEXT} AS grouped_text, "
         "strftime(\"timestamp\", '%Y-%m-%d %H:%M:%S') AS ts_text FROM r"
     ),
+    "format_exact": "SELECT event_id, printf('%.3f', (event_id::DOUBLE + 0.5::DOUBLE) / 8.0::DOUBLE) AS tie_text, "
+    "printf('%.3f', (event_id::DOUBLE * 2 + 1) / -2000.0::DOUBLE) AS near_tie_text, "
+    "printf('%.0f', event_id::DOUBLE + 0.5::DOUBLE) AS whole_text, "
+    "printf('%.6f', value * 1e9::DOUBLE) AS large_text FROM events",
     "clamp_round": _with(
         "SELECT event_id, round(CAST(pm25 AS DOUBLE) / 3.0::DOUBLE, 2) AS pm25_third, "
         "CAST(least(greatest(pm10, 5.0), 50.0) AS DOUBLE) AS pm10_clamped, "

@@ -11,6 +11,7 @@ from sensorlake.functions import (
     clamp,
     decode_epoch_ms,
     diurnal_baseline,
+    fixed_text,
     format_bool,
     format_number,
     norm_name,
@@ -117,3 +118,22 @@ def test_format_ts_in_a_zone(spark):
     assert got[:2] == ["08:30-0330", "09:30-0230"]
     ntz = spark.createDataFrame(rows, "t timestamp_ntz")
     assert ntz.select(format_ts("t", "%Y-%m-%dT%H:%M:%S.%f%z", ntz=True)).first()[0] == "2024-01-15T12:00:00.000000+0000"
+
+
+def test_fixed_text_is_exact(spark):
+    """Against Python's correctly rounded formatting: ties, shortest forms at half a unit, carries,
+    signs, the largest and smallest numbers."""
+    import random
+
+    rng = random.Random(4)
+    values = [0.0, -0.0, 0.5, 1.5, 2.5, -0.5, 0.125, 0.375, 0.15, 0.25, 1.005, 2.675, 9.995, 0.9999999999995, 5e-324, 1e-310, 1e300]
+    values += [2.0**52 + 0.5, 2.0**53, 2.0**62, 123456789012345.67, 99999999.5, -1e-9, 0.045, 1e15 + 0.3]
+    values += [rng.uniform(-1, 1) * 10.0 ** rng.randrange(-12, 16) for _ in range(300)]
+    values += [rng.randrange(10**7) / 10**k for k in range(1, 8) for _ in range(40)]
+    values += [(2 * rng.randrange(10**6) + 1) / 2**k for k in range(1, 14) for _ in range(20)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for n in (0, 1, 2, 3, 5, 12, 15):
+        got = df.select("v", fixed_text("v", n).alias("t")).collect()
+        assert [(r.v, r.t) for r in got if r.t != f"{r.v:.{n}f}" and abs(r.v) < 2**63] == []
+    odd = spark.createDataFrame([(None,), (float("nan"),), (float("inf"),)], "v double")
+    assert [r[0] for r in odd.select(format_number("v", 3)).collect()] == [None, "NaN", "Infinity"]
