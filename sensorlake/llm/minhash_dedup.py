@@ -12,8 +12,11 @@
    order, and the order is by frequency, so these are the rare ones, not those of a large
    group of near copies. In each list of members with such a shingle the members of the
    smaller groups are compared with all members of other groups, until no list holds two
-   groups. So no link between bucket members is lost, no pair within a group is emitted, and
-   a group of very many copies costs in proportion to its size.
+   groups. Before a pair becomes a row, an exact bitmap filter looks at it: every member carries
+   the parities of its shingles in ``BITS`` classes, and two sets differ in at least as many
+   shingles as their parities differ in. So no link between bucket members is lost, no pair
+   within a group is emitted, hardly any pair that is no link, and a group of very many copies
+   costs in proportion to its size.
 5. Groups are connected components of the links.
 
 Sets are told apart by 64-bit digests; among n different sets two are confused with a
@@ -31,6 +34,8 @@ other; an empty table gives an empty result; other columns are ignored, whatever
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +49,9 @@ from sensorlake.session import checkpoint_dir
 #: Shingles worked on at once, for bounded memory with very long texts.
 CHUNK = 4096
 #: Members of smaller groups that are compared in each list at a time; doubled in every round.
-CENTRES = 64
+CENTRES = 256
+#: Parities that a member carries, a multiple of 64. Any number is right.
+BITS = 256
 #: Counters of shingle frequencies. They order the prefix filter; any order is right.
 COUNTERS = 1 << 18
 
@@ -149,10 +156,21 @@ def links_among(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return sizes.where(100 * F.col("common") >= percent * (F.col("both") - F.col("common"))).select("a", "b")
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """For each of ``BITS`` classes of hashes one bit, whether the set holds an odd number of
+    them, as signed 64-bit numbers."""
+    odd = np.bincount((s >> np.uint64(20)) % np.uint64(BITS), minlength=BITS) & 1
+    return np.packbits(odd.astype(bool)).view("i8")
+
+
+def parity_columns(prefix: str = "") -> list[str]:
+    return [f"{prefix}bits{i}" for i in range(BITS // 64)]
+
+
 def prefixes(sets: DataFrame, percent: int) -> DataFrame:
     """node, n (size of its set), and its first shingles (bucket) with their place from 0, in
-    the order of their frequency among ``sets``. The frequencies are counted by hash, in a
-    table of fixed size."""
+    the order of their frequency among ``sets``, and the set's parities. The frequencies are
+    counted by hash, in a table of fixed size."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, dtype="i8")
@@ -168,19 +186,21 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            columns: list[list[np.ndarray]] = [[], [], [], []]
+            columns: list[list[np.ndarray]] = [[] for _ in names]
             for node, values in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 s = values.values.to_numpy().view("u8")
                 # Beyond this place no set of a linked size can have its first common shingle.
                 n, most = len(s), len(s) - -(-percent * len(s) // 100) + 1
                 order = np.lexsort((s, frequency[(s >> np.uint64(40)) % np.uint64(COUNTERS)]))[:most]
                 found = s[order].view("i8"), np.full(most, node), np.full(most, n), np.arange(most)
+                found += tuple(np.full(most, x) for x in parities(s))
                 for c, v in zip(columns, found, strict=True):
                     c.append(v)
             arrays = [pa.array(np.concatenate(c).astype("i8")) for c in columns]
-            yield pa.RecordBatch.from_arrays(arrays, ["bucket", "node", "n", "place"])
+            yield pa.RecordBatch.from_arrays(arrays, names)
 
-    return sets.select("node", "set").mapInArrow(first, "bucket long, node long, n long, place long")
+    names = ["bucket", "node", "n", "place", *parity_columns()]
+    return sets.select("node", "set").mapInArrow(first, ", ".join(f"{c} long" for c in names))
 
 
 def link_groups(
@@ -217,16 +237,18 @@ def link_groups(
         return grouped.join(several.select("bucket"), "bucket", "left_semi")
 
     listed = members.where("node <> centre").select("bucket", "node")
-    unclear = open_ones(listed, tasks_for(members.count())).select("node").distinct()
-    unclear = unclear.coalesce(tasks_for(1)).checkpoint()
+    tasks = tasks_for(members.count())
+    unclear = open_ones(listed, tasks).select("node").distinct().coalesce(tasks).checkpoint()
     members = prefixes(sets.join(unclear, "node", "left_semi"), percent).checkpoint()
     chosen = None
     # With at least this much in common, the first common shingle stands before either set's rest.
     least_common = F.ceil((F.col("n") + F.col("other_n")) * percent / (100 + percent) - 1e-9)
     near = (F.col("place") <= F.col("n") - least_common) & (F.col("other_place") <= F.col("other_n") - least_common)
+    differing = [F.bit_count(F.col(x).bitwiseXOR(F.col(y))) for x, y in zip(parity_columns(), parity_columns("other_"), strict=True)]
+    near = near & (reduce(add, differing) <= F.col("n") + F.col("other_n") - 2 * least_common)
     centres = CENTRES
     while True:
-        members = open_ones(members.select("bucket", "node", "n", "place"), tasks_for(members.count()))
+        members = open_ones(members.select("bucket", "node", "n", "place", *parity_columns()), tasks_for(members.count()))
         if chosen is not None:  # they have met all others of their lists
             met = chosen.select("bucket", F.col("other").alias("node"))
             members = members.join(met, ["bucket", "node"], "left_anti")
@@ -245,6 +267,7 @@ def link_groups(
             F.col("place").alias("other_place"),
             F.col("component").alias("other_component"),
             F.col("part").alias("other_part"),
+            *[F.col(c).alias("other_" + c) for c in parity_columns()],
         )
         chosen = chosen.coalesce(tasks_for(chosen.count())).checkpoint()
         # A member that stands before the chosen one is chosen too and meets it from its side.

@@ -113,6 +113,18 @@ def test_signatures():
     assert abs(agree - 0.5) < 0.08
 
 
+def test_parities_never_differ_more_than_the_sets():
+    rng = np.random.default_rng(1)
+    for size in (1, 5, 60, 300, 5000):
+        for changed in (0, 1, 3, 30, size):
+            a = np.unique(rng.integers(0, 1 << 63, size).astype("u8"))
+            b = np.unique(np.concatenate([a[min(changed, len(a)) :], rng.integers(0, 1 << 63, changed).astype("u8")]))
+            x, y = (minhash_dedup.parities(s).view("u8") for s in (a, b))
+            differing = sum(int(v).bit_count() for v in x ^ y)
+            assert len(x) * 64 == minhash_dedup.BITS and differing <= len(np.setxor1d(a, b))
+            assert (differing - len(np.setxor1d(a, b))) % 2 == 0  # two that fall together cancel out
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (9, 8), (8, 7), (3, 10), (5, 5), (2, 1), *[(100 + i, 101 + i) for i in range(60)]]
     df = spark.createDataFrame(links, "a long, b long")
