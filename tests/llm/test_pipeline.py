@@ -82,5 +82,5 @@ def test_stages_with_odd_rows(spark):
 
 
 def test_every_operator_has_a_query():
-    assert sorted(int(k[2:].split("_")[0]) for k in Q.QUERIES) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in Q.QUERIES) == list(range(1, 14))
     assert [n for n, _ in P.STAGES] == ["quality classifier", "language ID", "MinHash near-dedup", "substring dedup", "packing"]
