@@ -8,10 +8,10 @@ passage of ``min_words`` words or more is found, whatever its words.
 1. A gear hash rolls over the words and forgets those older than ``gear`` words. A text is cut
    where the hash is the least of any ``reach`` consecutive places (the last of equal ones), so
    insertions move no cut but those beside them, and a chunk is what lies between two cuts, both
-   gear windows included. With ``gear - 1 + 2 * reach = min_words`` every run of ``min_words``
+   gear windows included. With ``gear - 1 + 2 * reach <= min_words`` every run of ``min_words``
    words holds a whole chunk, and its chunks depend on its words only. Of a run's chunks the one
-   with the least digest stands for it; about one chunk in two stands for a run. These digests
-   are counted over all documents, after a first count in each task.
+   with the least digest stands for it: about one chunk in four, one for seven words. These
+   digests are counted over all documents, after a first count in each task.
 2. In documents with a chunk that several documents have, the digests of all runs of
    ``min_words`` words that such a chunk stands for are compared in the same way; runs that are
    also in a document of smaller doc_id are marked. So a shared chunk is extended to the
@@ -99,10 +99,9 @@ def cuts(h: np.ndarray, gear: int, reach: int) -> np.ndarray:
     return at + np.arange(n)
 
 
-def standing(h: np.ndarray, min_words: int, gear: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def standing(h: np.ndarray, min_words: int, gear: int, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Digest and first word of every chunk; for every run of ``min_words`` words, the chunk
     that stands for it: of its chunks, the last with the least digest."""
-    reach = (min_words - gear + 1) // 2
     at = cuts(h, gear, reach)
     n = max(0, len(h) - min_words + 1)
     new = np.ones(len(at), dtype=bool)
@@ -123,14 +122,14 @@ def texts_of(docs: DataFrame) -> DataFrame:
     return columns.where("doc_id is not null and text is not null")
 
 
-def all_chunks(docs: DataFrame, min_words: int, gear: int) -> DataFrame:
+def all_chunks(docs: DataFrame, min_words: int, gear: int, reach: int) -> DataFrame:
     """doc_id, digest (each of a document's standing chunks once), again (whether it also stands
     ``min_words`` words or more further down)."""
     names = ["doc_id", "digest", "again"]
 
     def batch(ids: list[int], hashes: list[np.ndarray]) -> pa.RecordBatch:
         h, of = np.concatenate(hashes), np.repeat(np.arange(len(ids)), [len(x) for x in hashes])
-        d, starts, best = standing(h, min_words, gear)
+        d, starts, best = standing(h, min_words, gear, reach)
         best = best[of[: len(best)] == of[min_words - 1 :]]  # runs within one text
         kept = np.zeros(len(d), dtype=bool)
         kept[best] = True
@@ -162,10 +161,10 @@ def all_chunks(docs: DataFrame, min_words: int, gear: int) -> DataFrame:
     return texts_of(docs).mapInArrow(run, "doc_id long, digest long, again boolean")
 
 
-def repeated_chunks(docs: DataFrame, min_words: int, gear: int) -> DataFrame:
+def repeated_chunks(docs: DataFrame, min_words: int, gear: int, reach: int) -> DataFrame:
     """doc_id, _chunks (its chunks that several documents have), _again (whether the document
     may repeat itself)."""
-    found = all_chunks(docs, min_words, gear)
+    found = all_chunks(docs, min_words, gear, reach)
     counted = found.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max("again").alias("any"))
     counted = counted.where("first < last or any").select("digest", (F.col("first") < F.col("last")).alias("shared"))
     marked = found.join(counted, "digest").where("shared or again")
@@ -173,7 +172,7 @@ def repeated_chunks(docs: DataFrame, min_words: int, gear: int) -> DataFrame:
     return marked.groupBy("doc_id").agg(shared.alias("_chunks"), F.max("again").alias("_again"))
 
 
-def shared_runs(docs: DataFrame, marks: DataFrame, min_words: int, gear: int) -> DataFrame:
+def shared_runs(docs: DataFrame, marks: DataFrame, min_words: int, gear: int, reach: int) -> DataFrame:
     """doc_id, digest of each of its runs of ``min_words`` words that a shared chunk stands for."""
     names = ["doc_id", "digest"]
 
@@ -187,7 +186,7 @@ def shared_runs(docs: DataFrame, marks: DataFrame, min_words: int, gear: int) ->
         for b in batches:
             for doc_id, text, shared in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
                 h = word_hashes(text.as_py().split())
-                d, _, best = standing(h, min_words, gear)
+                d, _, best = standing(h, min_words, gear, reach)
                 near = np.isin(d, shared.values.to_numpy())[best]
                 if near.any():
                     ids.append(doc_id)
@@ -210,12 +209,12 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def repeats(docs: DataFrame, min_words: int, gear: int) -> DataFrame:
+def repeats(docs: DataFrame, min_words: int, gear: int, reach: int) -> DataFrame:
     """doc_id and _repeats, the digests of its runs that a document of smaller doc_id has;
     an empty array for documents that may only repeat themselves."""
-    marks = repeated_chunks(docs, min_words, gear).checkpoint()
+    marks = repeated_chunks(docs, min_words, gear, reach).checkpoint()
     release(docs.sparkSession)
-    runs = shared_runs(docs, marks, min_words, gear).checkpoint()
+    runs = shared_runs(docs, marks, min_words, gear, reach).checkpoint()
     release(docs.sparkSession)
     originals = (
         runs.groupBy("digest")
@@ -256,12 +255,14 @@ def passages(text: str, repeated: np.ndarray, min_words: int) -> list[tuple[int,
     return [(at[a][0], at[b][0] if b < len(at) else len(text)) for a, b in zip(edges[::2], edges[1::2], strict=True)]
 
 
-def remove_repeats(docs: DataFrame, min_words: int = 20, gear: int = 5) -> DataFrame:
+def remove_repeats(docs: DataFrame, min_words: int = 20, gear: int = 6, reach: int = 3) -> DataFrame:
     """``docs`` (doc_id, text, ...) with repeated passages cut from the text, and two more
     columns: spans (start and end of each cut in the text as it was) and n_removed
     (characters)."""
+    if gear - 1 + 2 * reach > min_words:
+        raise ValueError("a run of min_words words must hold two cuts: gear - 1 + 2 * reach <= min_words")
     checkpoint_dir(docs.sparkSession)
-    marks = repeats(docs.select("doc_id", "text"), min_words, gear).checkpoint()
+    marks = repeats(docs.select("doc_id", "text"), min_words, gear, reach).checkpoint()
     release(docs.sparkSession)
 
     @F.pandas_udf("array<struct<start:int,end:int>>")

@@ -170,7 +170,7 @@ def test_chunks_resist_insertions():
     rng = np.random.default_rng(2)
     h = rng.integers(0, 1 << 62, 2000).astype("u8")
     more = np.concatenate([rng.integers(0, 1 << 62, 37).astype("u8"), h[:900], h[:1], h[900:]])
-    a, b = (set(chunk_dedup.standing(x, 20, 5)[0].tolist()) for x in (h, more))
+    a, b = (set(chunk_dedup.standing(x, 20, 6, 3)[0].tolist()) for x in (h, more))
     assert len(a & b) > 0.98 * len(a)
 
 
@@ -178,19 +178,19 @@ def test_chunks_resist_insertions():
 def test_every_run_holds_the_chunk_that_stands_for_it(variety):
     rng = np.random.default_rng(variety % 1000)
     values = rng.integers(0, 1 << 63, min(variety, 5000)).astype("u8")
-    for n, gear in ((20, 5), (21, 6), (51, 8)):
+    for n, gear, reach in ((20, 6, 3), (20, 5, 8), (21, 6, 8), (51, 8, 20)):
         run = values[rng.integers(0, len(values), n)]
         stands = set()
         for _ in range(30):
             before, after = (values[rng.integers(0, len(values), rng.integers(0, 60))] for _ in range(2))
             h = np.concatenate([before, run, after])
-            d, starts, best = chunk_dedup.standing(h, n, gear)
+            d, starts, best = chunk_dedup.standing(h, n, gear, reach)
             assert len(best) == len(h) - n + 1
             k = best[len(before)]
             assert len(before) <= starts[k] <= len(before) + n - gear - 1
             stands.add(int(d[k]))
         assert len(stands) == 1  # whatever stands around the run
-    assert len(chunk_dedup.standing(values[:0], 20, 5)[2]) == len(chunk_dedup.standing(values[:1].repeat(19), 20, 5)[2]) == 0
+    assert len(chunk_dedup.standing(values[:0], 20, 6, 3)[2]) == len(chunk_dedup.standing(values[:1].repeat(19), 20, 6, 3)[2]) == 0
 
 
 def test_texts_of_one_doc_id(spark):
