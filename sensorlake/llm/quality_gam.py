@@ -183,7 +183,9 @@ def feature_rows(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, n_sample: int = 8000) -> QualityModel:
     """A model from the texts of ``docs`` (doc_id, text) that have a row in ``labels``
-    (doc_id, label 0 or 1)."""
+    (doc_id, label 0 or 1). The sample is bounded twice: by ``n_sample`` rows of ``labels``, by a
+    hash of the doc_id, and by ``4 * n_sample`` rows of documents joined with them, those of the
+    least doc_ids, should ids be repeated so often."""
     chosen = (
         labels.select("doc_id", F.col("label").cast("double").alias("label"))
         .where("doc_id is not null and label is not null")
