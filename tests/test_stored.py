@@ -84,6 +84,37 @@ def test_steps_with_whole_number_tiebreak_and_wall_clocks(spark, scratch):
     assert got == {9: (None, when), 10: (1.0, when), 100: (1.0, when)}
 
 
+def test_steps_of_many_sensors_share_buckets(spark, scratch):
+    """The state function and its state are a bucket's, however many sensors there are."""
+    def sensors(batch):
+        i, late = F.col("id"), F.col("id") % 5 == 0
+        # Sensors of the second batch: half of the first's and as many new ones; a fifth is late.
+        minute = F.when(F.lit(batch == 1) & late, -1).otherwise(batch * 10 + i % 3)
+        rows = spark.range(4500).select(
+            F.concat(F.lit(f"{batch}-"), i.cast("string")).alias("id"),
+            (i % 1500 + 750 * batch).cast("string").alias("sensor"),
+            F.lit(NOON).cast("timestamp") + F.make_dt_interval(mins=minute) + F.make_dt_interval(secs=(i * 1e-4).cast("decimal(18,6)")),
+            *[(i % 7 + batch).cast("float").alias(m) for m in METRICS],
+        )
+        return rows.toDF("id", "sensor", "timestamp", *METRICS)
+
+    for batch in (0, 1):
+        sensors(batch).coalesce(1).write.mode("append").parquet(f"{scratch}/in")
+        flags = step_flags_stream(spark.readStream.schema(sensors(0).schema).parquet(f"{scratch}/in"))
+        sink = flags.writeStream.format("parquet").option("checkpointLocation", f"{scratch}/c").trigger(availableNow=True)
+        q = sink.start(f"{scratch}/out")
+        q.awaitTermination()
+        assert 0 < q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 1024
+    out = spark.read.schema(flags.schema).parquet(f"{scratch}/out")
+    # Late are the second batch's moved-back readings of sensors that the first batch had.
+    moved = sensors(1).where("substr(id, 3) % 5 = 0 and sensor < 1500").select("id")
+    assert sorted(r.id for r in out.where("late").collect()) == sorted(r.id for r in moved.collect())
+    on_time = sensors(0).unionByName(sensors(1)).join(moved, "id", "left_anti")
+    columns = [c for c in out.columns if c != "late"]
+    batch = step_flags(on_time, "sensor", "timestamp", ("id",))
+    assert comparable(out.where("not late"), columns) == comparable(batch, columns)
+
+
 def rows_scanned(df) -> int:
     """Rows that the scan of an executed plan has handed on."""
     df.collect()
