@@ -116,6 +116,13 @@ def _convert(text: Column, field: StructField, fmt: str, decimalsep: str, thousa
     return text.try_cast(dt)
 
 
+def _once(value: Column, name: str) -> Column:
+    """``value`` as a column that is computed once a row. A filter on a plain column is pushed
+    below it with a copy of its expression, and each field taken from a struct is another copy;
+    neither goes below a generator (as in ``messages``)."""
+    return F.explode(F.array(value)).alias(name)
+
+
 def _lines(reader, encoding: str, header: bool):
     """A reader of whole lines in the given charset, each file's header left out: a CSV reader
     of one field, whose separator and quote are no characters of any text. Should a line hold
@@ -265,20 +272,23 @@ def import_csv(
         corrupt = F.when(odd, F.col(_LINE)).otherwise(F.col(f"_r.`{CORRUPT_COLUMN}`")).alias(CORRUPT_COLUMN)
         fields = [F.col(f"_r.`{n}`") for n in names]
         place = [c for c in ("source", "_block", "_m") if c in lines.columns]
-        return lines.select(_LINE, parsed.alias("_r"), *place).select(*fields, corrupt, _LINE, *place)
+        return lines.select(_LINE, *place, _once(parsed, "_r")).select(*fields, corrupt, _LINE, *place)
 
     raw = read(plist[0] if stream else plist)
     if skiprows > 0 or maxrows >= 0:
         stop = skiprows + maxrows if maxrows >= 0 else None
         raw = _between_rows(raw, read, max(0, skiprows), stop)
 
-    converted = {
-        n: _convert(F.col(f"`{n}`"), by_name[n], datetimeformat, decimalsep, thousandssep, boolstyle) for n in names
-    }
-    failed = [F.when(F.col(f"`{n}`").isNotNull() & converted[n].isNull(), F.lit(n)) for n in names if n not in skip]
+    values = F.struct(
+        *[_convert(F.col(f"`{n}`"), by_name[n], datetimeformat, decimalsep, thousandssep, boolstyle).alias(n) for n in names]
+    )
+    read_once = raw.select("*", _once(values, "_v"))
+    failed = [
+        F.when(F.col(f"`{n}`").isNotNull() & F.col(f"_v.`{n}`").isNull(), F.lit(n)) for n in names if n not in skip
+    ]
     bad_cols = F.concat_ws(",", *failed) if failed else F.lit("")
-    tagged = raw.select(
-        *[converted[n].alias(n) for n in names],
+    tagged = read_once.select(
+        *[F.col(f"_v.`{n}`").alias(n) for n in names],
         F.col(CORRUPT_COLUMN),
         F.col(_LINE),
         bad_cols.alias("_bad_cols"),

@@ -249,3 +249,17 @@ def test_columns_with_dots(spark, scratch):
     export_csv(df, f"{scratch}/o")
     good, _ = import_csv(spark, f"{scratch}/o", schema)
     assert sorted(map(tuple, good.collect()), key=repr) == sorted(map(tuple, df.collect()), key=repr)
+
+
+def test_lines_are_parsed_and_converted_once(spark, scratch):
+    """Neither the fields nor the filter on the reason copy the parse or a conversion."""
+    lines = ["1.5,2024-01-01 00:00:00+0000", "x,2024-01-01 00:00:00+0000", "2,3,4"]
+    with open(f"{scratch}/f.csv", "w") as f:
+        f.write("\n".join(lines))
+    schema = StructType([StructField("v", DoubleType()), StructField("t", TimestampType())])
+    good, bad = import_csv(spark, f"{scratch}/f.csv", schema)
+    for side in (good, bad):
+        plan = side._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("from_csv(") == plan.count("gettimestamp(") == plan.count("cast(trim(") == 1, plan
+    assert [r.v for r in good.collect()] == [1.5]
+    assert sorted(r.reason for r in bad.collect()) == ["bad_value:v", "malformed_line"]
