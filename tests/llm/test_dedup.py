@@ -260,3 +260,15 @@ def test_a_passage_repeated_in_its_own_document_stays_once(spark):
     got = chunk_dedup.remove_repeats(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     assert got.text.split() == exact_cuts([(1, text)])[1]
     assert " ".join(passage) not in got.text[len(" ".join(passage)) :] and len(got.spans) == 98
+
+
+def test_release_deletes_the_files_of_a_finished_step(spark):
+    """They are gone when it returns, not when the next step has written its own."""
+    disk = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    chunk_dedup.release(spark)
+    before = disk.getAllBlocks().size()
+    kept = spark.range(1000).repartition(4).groupBy("id").count().checkpoint()
+    assert disk.getAllBlocks().size() > before
+    chunk_dedup.release(spark)
+    assert disk.getAllBlocks().size() <= before
+    assert kept.count() == 1000
