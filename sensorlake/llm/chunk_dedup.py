@@ -51,8 +51,9 @@ from sensorlake.session import checkpoint_dir
 #: Odd base of the digests' polynomial, and its inverse modulo 2^64.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
-#: Seconds for Spark's cleaner to delete files after a collection.
+#: Seconds for Spark's cleaner to delete files after a collection, and collections.
 SETTLED_S = 0.5
+COLLECTIONS = 4
 #: Digests held in a task before they go back to the JVM, about.
 BATCH_ROWS = 1 << 18
 #: Words whose chunks are sought at once, about.
@@ -208,9 +209,10 @@ def shared_runs(docs: DataFrame, marks: DataFrame, min_words: int, gear: int, re
 
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of tables that are no longer used. What Python has let
-    go of is let go of in the JVM a moment later, and files are deleted after a collection there,
-    so a single one would leave them until the next step's are written too."""
-    for _ in range(2):
+    go of is let go of in the JVM a moment later, and files are deleted after a collection there
+    (on a cluster the second or third finds them), so a single one would leave them until the
+    next step's are written too."""
+    for _ in range(COLLECTIONS):
         gc.collect()
         spark.sparkContext._jvm.System.gc()
         time.sleep(SETTLED_S)
