@@ -49,7 +49,7 @@ def op5_srs_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_window_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pseudo-log-likelihood of every document under a network trained on all of them."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = window_lm.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return window_lm.score(docs, *window_lm.train(docs))
 
 

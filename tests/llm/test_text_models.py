@@ -137,3 +137,66 @@ def test_language_model_edge_cases(spark):
         assert (r.score is None) == (r.n_tokens == 0) and (r.n_tokens > 0 or r.log_prob == 0)
     empty = docs.where("false")
     assert window_lm.score(empty, *window_lm.train(empty)).count() == 0
+
+
+def test_stored_tokens_score_like_texts_and_no_text_is_split_again(spark):
+    docs = odd(spark)
+    coded = window_lm.encode(docs)
+    vocabulary, net = window_lm.train(coded)
+    assert vocabulary is coded.vocabulary
+    scored = window_lm.score(coded, vocabulary, net)
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan and "text" not in plan
+    assert "ArrowEvalPython" in window_lm.score(docs, vocabulary, net)._jdf.queryExecution().executedPlan().toString()
+    assert sorted(scored.collect(), key=str) == sorted(window_lm.score(docs, vocabulary, net).collect(), key=str)
+    words = "a b! !! c-d e-f-g 7 77 x7 ß é, \u0301a abcdefghijklmnopqrstuvw a.b. ,abc \u4e2d\u6587 ab123456789012345".split()
+    assert [t - 1 for t in window_lm.Vocabulary([], {}).tokens(" ".join(words))] == list(map(window_lm.shape, words))
+
+
+def test_steps_equal_those_over_all_parameters():
+    rng = np.random.default_rng(2)
+    size, near = window_lm.CLASSES * window_lm.MEMBERS, window_lm.WINDOW
+    net, g = window_lm.Network(8), window_lm.Network(8)
+    squares = window_lm.Network(8, np.full(len(net.flat), 1e-6))
+    slow, sums = net.flat.astype("f8"), np.full(len(net.flat), 1e-6)
+    for _ in range(4):
+        t = rng.integers(0, size, 60) // rng.integers(1, 30, 60)
+        plain, grad = window_lm.Network(8), np.zeros(len(slow))
+        plain.flat[:] = np.arange(len(slow))  # each parameter's number, exact in a float
+        at = [x.astype("i8") for x in (plain.embed, plain.bias, plain.wc, plain.wm)]
+        for i in range(2, len(t) - 2):  # a token at a time
+            cells = [at[0][t[i + b], k * 8 : k * 8 + 8] for k, b in enumerate(near)]
+            h = np.append(np.tanh(slow[at[1]] + sum(slow[c] for c in cells)), 1)
+            dh = np.zeros(9)
+            for w, y in ((at[2], t[i] // 32), (at[3][t[i] // 32], t[i] % 32)):
+                e = np.exp(h @ slow[w])
+                d = e / e.sum() - (np.arange(32) == y)
+                grad[w] += np.outer(h, d) / (len(t) - 4)
+                dh += slow[w] @ d / (len(t) - 4)
+            for c in [at[1], *cells]:
+                grad[c] += dh[:8] * (1 - h[:8] ** 2)
+        sums += grad**2
+        slow -= 0.15 * grad / np.sqrt(sums)
+        before = net.embed.copy()
+        net.gradient(t, g)
+        net.descend(g, squares, 0.15)
+        assert g.flat == pytest.approx(grad, abs=1e-5)
+        untouched = np.setdiff1d(np.arange(size), t)
+        assert (net.embed[untouched] == before[untouched]).all() and not g.embed[untouched].any()
+    assert net.flat == pytest.approx(slow, abs=1e-3)
+
+
+def test_large_weights_and_runs_longer_than_a_tile():
+    rng = np.random.default_rng(3)
+    net = window_lm.Network(8)
+    net.wm[:] = rng.normal(0, 60, net.wm.shape)
+    t = rng.integers(0, 1024, 5)
+    every = np.tile(t, (1024, 1))
+    every[:, 2] = np.arange(1024)
+    assert not net.bounded()
+    assert sum(np.exp(net.log_probabilities(r)[0].astype("f8")) for r in every) == pytest.approx(1, abs=1e-4)
+    net = window_lm.Network(8)
+    net.flat[:] = rng.normal(0, 0.3, len(net.flat))
+    t = rng.integers(0, 1024, 3 * window_lm.TILE + 11) // rng.integers(1, 40, 3 * window_lm.TILE + 11)
+    one = [net.log_probabilities(t[i : i + 5])[0] for i in range(len(t) - 4)]
+    assert net.bounded() and net.log_probabilities(t) == pytest.approx(np.array(one), abs=1e-4)
