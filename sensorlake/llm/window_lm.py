@@ -12,7 +12,8 @@ share a token with those of their shape, and each of a shape's words (counted ov
 documents) has an equal part of that token's probability. Training is data-parallel: in each round every task trains in
 numpy on its part of the documents, from the common parameters on, and the results are
 averaged by Spark, weighted by their tokens. Each document is in one round, so all of the
-corpus is learnt from once.
+corpus is learnt from once. Documents may be encoded before, so that training and scoring
+share their tokens.
 
 Defined cases: null texts count as empty; a text without words has n_tokens 0, log_prob 0
 and a null score; null and repeated ids are scored like any other row (rows without an id
