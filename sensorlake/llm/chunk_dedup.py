@@ -33,27 +33,22 @@ all others are kept.
 
 from __future__ import annotations
 
-import gc
 import re
-import time
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
 from sensorlake.llm.columns import unused
-from sensorlake.session import checkpoint_dir
+from sensorlake.session import checkpoint_dir, release
 
 #: Odd base of the digests' polynomial, and its inverse modulo 2^64.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
-#: Seconds for Spark's cleaner to delete files after a collection, and collections.
-SETTLED_S = 0.5
-COLLECTIONS = 4
 #: Digests held in a task before they go back to the JVM, about.
 BATCH_ROWS = 1 << 18
 #: Words whose chunks are sought at once, about.
@@ -207,17 +202,6 @@ def shared_runs(docs: DataFrame, marks: DataFrame, min_words: int, gear: int, re
     return joined.mapInArrow(run, "doc_id long, digest long")
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of tables that are no longer used. What Python has let
-    go of is let go of in the JVM a moment later, and files are deleted after a collection there
-    (on a cluster the second or third finds them), so a single one would leave them until the
-    next step's are written too."""
-    for _ in range(COLLECTIONS):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(SETTLED_S)
-
-
 def repeats(docs: DataFrame, min_words: int, gear: int, reach: int) -> DataFrame:
     """doc_id and _repeats, the digests of its runs that a document of smaller doc_id has;
     an empty array for documents that may only repeat themselves."""

@@ -16,6 +16,12 @@ def tasks_for(rows: int) -> int:
     return max(LEAST_TASKS, -(-rows // ROWS_PER_TASK))
 
 
+def state_of(links: DataFrame) -> tuple:
+    """The number of links (u, v) and two sums by which two tables of them are told apart."""
+    h = F.xxhash64("u", "v")
+    return tuple(links.agg(F.count("*"), F.bit_xor(h), F.sum(h % 1000003)).first())
+
+
 def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component) for every node of ``links`` (two columns of long); the component is
     its smallest node.
@@ -30,9 +36,9 @@ def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
 
     links = lower(links.select(F.col(a).alias("u"), F.col(b).alias("v")))
     links = links.coalesce(tasks_for(links.count())).checkpoint()
-    before = None
+    before = state_of(links)
     while True:
-        tasks = tasks_for(links.count())
+        tasks = tasks_for(before[0])
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).coalesce(tasks)
         large = links.select(F.col("v").alias("u"), F.col("u").alias("v")).join(least, "u")
@@ -40,7 +46,7 @@ def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m")).coalesce(tasks)
         hung = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(tasks)
         links = lower(hung.unionByName(least.select("u", F.col("m").alias("v")))).coalesce(tasks).checkpoint()
-        state = links.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v") % 1000003)).first()
+        state = state_of(links)
         if state == before:
             break
         before = state

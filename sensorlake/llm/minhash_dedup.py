@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
 from sensorlake.llm.components import connected_components, tasks_for
-from sensorlake.session import checkpoint_dir
+from sensorlake.session import checkpoint_dir, release
 
 #: Shingles worked on at once, for bounded memory with very long texts.
 CHUNK = 4096
@@ -212,7 +212,7 @@ def link_groups(
     checkpoint_dir(docs.sparkSession)
     signed = signatures(docs, n, bands, rows).checkpoint()
     real = signed.where("node is not null and doc_id is not null")
-    classes = real.groupBy("node").agg(F.min("doc_id").alias("least"), F.max("n_shingles").alias("n"))
+    classes = real.groupBy("node").agg(F.min("doc_id").alias("least"), F.max("n_shingles").alias("n")).checkpoint()
     filed = real.select("node", F.col("n_shingles").alias("n"), F.explode("keys").alias("bucket"))
     shared = filed.groupBy("bucket").agg(F.min("node").alias("centre"), F.max("node").alias("last")).where("centre < last")
     members = filed.join(shared.select("bucket", "centre"), "bucket").distinct().checkpoint()
@@ -228,7 +228,9 @@ def link_groups(
     sizes = classes.select(F.col("node").alias("centre"), F.col("n").alias("other_n"))
     pairs = first.join(sizes, "centre").where(alike).select(F.col("centre").alias("a"), F.col("node").alias("b"))
     links = links_among(pairs, sets, percent).checkpoint()
+    release(docs.sparkSession)
     groups = connected_components(links, "a", "b").checkpoint()
+    release(docs.sparkSession)
 
     def open_ones(listed: DataFrame, tasks: int) -> DataFrame:
         """Members of the lists that hold several groups, with their group."""
@@ -240,6 +242,7 @@ def link_groups(
     tasks = tasks_for(members.count())
     unclear = open_ones(listed, tasks).select("node").distinct().coalesce(tasks).checkpoint()
     members = prefixes(sets.join(unclear, "node", "left_semi"), percent).checkpoint()
+    release(docs.sparkSession)
     chosen = None
     # With at least this much in common, the first common shingle stands before either set's rest.
     least_common = F.ceil((F.col("n") + F.col("other_n")) * percent / (100 + percent) - 1e-9)
@@ -247,15 +250,17 @@ def link_groups(
     differing = [F.bit_count(F.col(x).bitwiseXOR(F.col(y))) for x, y in zip(parity_columns(), parity_columns("other_"), strict=True)]
     near = near & (reduce(add, differing) <= F.col("n") + F.col("other_n") - 2 * least_common)
     centres = CENTRES
+    tasks = tasks_for(members.count())
     while True:
-        members = open_ones(members.select("bucket", "node", "n", "place", *parity_columns()), tasks_for(members.count()))
+        members = open_ones(members.select("bucket", "node", "n", "place", *parity_columns()), tasks)
         if chosen is not None:  # they have met all others of their lists
             met = chosen.select("bucket", F.col("other").alias("node"))
             members = members.join(met, ["bucket", "node"], "left_anti")
         members = members.checkpoint()
-        tasks = tasks_for(members.count())
-        if members.isEmpty():
+        left = members.count()
+        if not left:
             break
+        tasks = tasks_for(left)
         parts = members.groupBy("bucket", "component").agg(F.count("*").alias("part"))
         sized = members.join(parts, ["bucket", "component"]).coalesce(tasks)
         order = ["part", "component", "node"]
@@ -269,7 +274,7 @@ def link_groups(
             F.col("part").alias("other_part"),
             *[F.col(c).alias("other_" + c) for c in parity_columns()],
         )
-        chosen = chosen.coalesce(tasks_for(chosen.count())).checkpoint()
+        chosen = chosen.coalesce(tasks).checkpoint()
         # A member that stands before the chosen one is chosen too and meets it from its side.
         behind = F.struct(*order) > F.struct("other_part", "other_component", "other")
         pairs = (
@@ -280,7 +285,9 @@ def link_groups(
             .distinct()
         )
         links = links.unionByName(links_among(pairs, sets, percent)).checkpoint()
+        release(docs.sparkSession)
         groups = connected_components(links, "a", "b").checkpoint()
+        release(docs.sparkSession)
         centres *= 2
 
     named = classes.select("node", "least").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))

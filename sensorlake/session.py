@@ -8,8 +8,10 @@ own is set only when the session names none (local tests).
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import SparkSession
@@ -24,6 +26,10 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+#: Seconds for Spark's cleaner to delete files after a collection, and collections.
+SETTLED_S = 0.5
+COLLECTIONS = 4
+
 
 def get_session(
     master: str | None = None,
@@ -105,3 +111,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if not base:
         raise ValueError("the session names no spark.checkpoint.dir for intermediate files")
     return f"{base.rstrip('/')}/sensorlake-scratch/{name}-{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of tables that are no longer used, and the driver give
+    back the heap that their plans took. What Python has let go of is let go of in the JVM a
+    moment later, and files are deleted after a collection there (on a cluster the second or
+    third finds them), so a single one would leave them until the next step's are written too."""
+    for _ in range(COLLECTIONS):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(SETTLED_S)

@@ -49,6 +49,12 @@ def test_different_texts_of_one_id_are_judged_by_themselves(spark):
     assert got == [7, 8]
 
 
+def test_the_groups_stand_in_no_join_of_the_documents(spark, documents, capsys):
+    P.near_duplicates(spark, documents, SMOKE_DIR).explain()
+    plan = capsys.readouterr().out
+    assert "Join" in plan and "Aggregate" not in plan
+
+
 def test_passages_change_texts_and_their_length(spark, documents):
     got = P.repeated_passages(spark, documents, SMOKE_DIR)
     assert got.schema.names == documents.schema.names and got.count() == documents.count()
